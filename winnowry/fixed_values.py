@@ -68,8 +68,10 @@ PREVIEW_PREFIX = "回答预览："
 ANONYMOUS_AUTHOR = "匿名用户"
 
 # White space as the cleaning and the browser side define it, as regular-expression classes.
-TEXT_SPACE = "\\t-\\r\\x1c-\\x20" "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PAGE_SPACE = "\\t-\\r\\x20" "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+TEXT_BREAKS = "\\t-\\r\\x1c-\\x1f" "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TEXT_SPACE = "\\x20" + TEXT_BREAKS
+PAGE_BREAKS = "\\t-\\r" "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+PAGE_SPACE = "\\x20" + PAGE_BREAKS
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 # Character caps before a model sees the text.

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from .annotations import result, task_entry
@@ -55,8 +55,9 @@ def example_snippet(text: Column) -> Column:
 
 _LINE_BREAKS = r"\n\r\x{2028}\x{2029}"
 _LINE_START, _LINE_END = f"(?<![^{_LINE_BREAKS}])", f"(?![^{_LINE_BREAKS}])"
-LIST_LINE = rf"{_LINE_START}[0-9]+[.、][{fv.PAGE_SPACE}]*[^\n]{{0,10}}{_LINE_END}"
+LIST_LINE = rf"(?=[0-9]){_LINE_START}[0-9]+[.、][{fv.PAGE_SPACE}]*[^\n]{{0,10}}{_LINE_END}"
 RUN_PATTERNS = ["[!！]{2,}", "[?？]{2,}", "[a-zA-Z]{5,}", "[0-9]{8,}"]
+SENTENCE_END = "[.!?。！？]"
 SENTENCE = rf"[^{fv.PAGE_SPACE}。！？.!?][^。！？.!?]*"
 PLAIN = rf"[\p{{L}}\p{{N}}{fv.PAGE_SPACE}]+"
 
@@ -71,13 +72,15 @@ def _occurrences(c: Column, word: str) -> Column:
 def keyword_occurrences(c: Column, keywords) -> Column:
     """Occurrences of every keyword, each counted alone, upper and lower case alike.
 
-    One scan for the keywords' telling characters comes first: most rows have none of them.
+    One scan for the characters the keywords are made of comes first: most rows have none of them.
     """
-    telling = "".join(sorted({max(k) for k in keywords if max(k) > "\x7f"}))
-    ascii_words = [k for k in keywords if max(k) <= "\x7f"]
-    gate = "(?i)" + "|".join(([f"[{telling}]"] if telling else []) + ascii_words)
+    telling = [max(k) for k in keywords if max(k) > "\x7f"]
+    gates = [f"[{min(telling)}-{max(telling)}]"] if telling else []
+    for k in keywords:
+        if max(k) <= "\x7f":
+            gates.append("".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else f"[{x}]" for x in k))
     total = reduce(lambda a, b: a + b, [_occurrences(c, k) for k in keywords])
-    return F.when(c.rlike(gate), total).otherwise(F.lit(0))
+    return F.when(c.rlike("|".join(gates)), total).otherwise(F.lit(0))
 
 
 def pattern_occurrences(c: Column) -> Column:
@@ -85,13 +88,18 @@ def pattern_occurrences(c: Column) -> Column:
 
 
 def low_quality_parts(c: Column, keywords=None) -> dict[str, Column]:
-    """The measurements behind the rule score."""
+    """The measurements behind the rule score.
+
+    Sentences are counted only where they can be short on average: there are at most as many as sentence
+    ends and one more. Elsewhere the count is given as 0, which is never short.
+    """
     keywords = fv.RULE_SCORE_KEYWORDS if keywords is None else keywords
+    ends = F.regexp_count(c, F.lit(SENTENCE_END)) + 1
     return {
         "n_chars": F.length(c),
         "n_keywords": keyword_occurrences(c, keywords),
         "n_patterns": pattern_occurrences(c),
-        "n_sentences": F.regexp_count(c, F.lit(SENTENCE)),
+        "n_sentences": F.when(F.length(c) < ends * 10, F.regexp_count(c, F.lit(SENTENCE))).otherwise(F.lit(0)),
         "n_special": F.length(F.regexp_replace(c, PLAIN, "")),
     }
 
@@ -126,8 +134,12 @@ def low_quality_from_parts(parts: dict[str, Column]) -> Column:
     )
 
 
-def low_quality_score(c: Column, keywords=None) -> Column:
-    return low_quality_from_parts(low_quality_parts(c, keywords))
+def with_low_quality_score(df: DataFrame, text: str, name: str, keywords=None) -> DataFrame:
+    """Adds the rule score. Its parts are columns of their own first, so that each is measured once."""
+    parts = low_quality_parts(F.col(text), keywords)
+    measured = df.withColumns({f"_{n}": c for n, c in parts.items()})
+    score = low_quality_from_parts({n: F.col(f"_{n}") for n in parts})
+    return measured.withColumn(name, score).drop(*[f"_{n}" for n in parts])
 
 
 def fallback_rule_score(c: Column, task_id: str, keywords=None) -> Column:

@@ -1,6 +1,7 @@
 """Cleaning and derived text."""
 
 import html
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -8,8 +9,9 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
 
-_SPACE_RUN = f"[{fv.TEXT_SPACE}]+"
-_PAGE_SPACE_RUN = f"[{fv.PAGE_SPACE}]+"
+# Runs of white space other than a single blank, which already is what a run becomes.
+_SPACE_RUN = rf"[{fv.TEXT_BREAKS}][{fv.TEXT_SPACE}]*|\x20[{fv.TEXT_SPACE}]+"
+_PAGE_SPACE_RUN = rf"[{fv.PAGE_BREAKS}][{fv.PAGE_SPACE}]*|\x20[{fv.PAGE_SPACE}]+"
 _HIDDEN_BLOCKS = "(?is)" + "|".join(
     [r"<!--.*?(?:-->|\z)"]
     + [rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "svg", "noscript")]
@@ -38,12 +40,24 @@ class TextStages(NamedTuple):
     clean: Column
 
 
+def strip_tags(c: Column) -> Column:
+    return F.regexp_replace(c, "<[^>]+>", " ")
+
+
+def strip_zero_width(c: Column) -> Column:
+    return F.regexp_replace(c, f"[{fv.ZERO_WIDTH}]", "")
+
+
+def collapse_space(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, _SPACE_RUN, " "))
+
+
 def text_stages(c: Column, entities: bool = True) -> TextStages:
     source = text_or_empty(c)
     decoded = decode_entities(source) if entities else source
-    without_tags = F.regexp_replace(decoded, "<[^>]+>", " ")
-    visible = F.regexp_replace(without_tags, f"[{fv.ZERO_WIDTH}]", "")
-    clean = F.trim(F.regexp_replace(visible, _SPACE_RUN, " "))
+    without_tags = strip_tags(decoded)
+    visible = strip_zero_width(without_tags)
+    clean = collapse_space(visible)
     return TextStages(source, decoded, without_tags, visible, clean)
 
 
@@ -63,8 +77,13 @@ def clean_flags(c: Column, entities: bool = True) -> dict[str, Column]:
 
 
 def has_contact_hint(c: Column, phrases=None) -> Column:
+    """Any of the phrases, upper and lower case alike. Phrases in scripts without case are plain byte searches."""
     phrases = fv.CONTACT_PHRASES if phrases is None else phrases
-    return c.rlike("(?iu)" + "|".join(phrases))
+    cased = [p for p in phrases if p.upper() != p.lower()]
+    found = [c.contains(p) for p in phrases if p not in cased]
+    if cased:
+        found.append(c.rlike("(?iu)" + "|".join(cased)))
+    return reduce(lambda a, b: a | b, found)
 
 
 def is_cut(c: Column, n: int = fv.PREVIEW_CHARS) -> Column:

@@ -8,8 +8,20 @@ from ..functions.annotations import empty_annotations
 from .dedup import answer_text
 
 
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by costly computed columns without computing them twice.
+
+    Catalyst would push such a filter below the projection and spell the columns out again inside it. A row
+    number that the filter also looks at keeps it above. (A stream has none; there the filter is pushed.)
+    """
+    if df.isStreaming:
+        return df.filter(condition)
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.filter(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def drop_short(df: DataFrame, column: str = "answer_full_clean", n: int = fv.MIN_ANSWER_CHARS) -> DataFrame:
-    return df.filter(F.length(column) >= n)
+    return filter_computed(df, F.length(column) >= n)
 
 
 def purge_invalid(raw: DataFrame, n: int = fv.MIN_RAW_ANSWER_CHARS) -> DataFrame:
@@ -34,9 +46,9 @@ def _derived(raw: DataFrame, entities: bool) -> DataFrame:
                 "_decoded": answer.decoded,
             }
         )
-        .withColumn("_bare", F.regexp_replace("_decoded", "<[^>]+>", " "))
-        .withColumn("_visible", F.regexp_replace("_bare", f"[{fv.ZERO_WIDTH}]", ""))
-        .withColumn("_clean", F.trim(F.regexp_replace("_visible", f"[{fv.TEXT_SPACE}]+", " ")))
+        .withColumn("_bare", tx.strip_tags(F.col("_decoded")))
+        .withColumn("_visible", tx.strip_zero_width(F.col("_bare")))
+        .withColumn("_clean", tx.collapse_space(F.col("_visible")))
         .withColumns(
             {
                 "_had_html": F.col("_bare") != F.col("_decoded"),
@@ -111,9 +123,9 @@ def cleaning_example_view(raw: DataFrame, order: str, n: int = 5, entities: bool
     """The first n records whose preview differs from the old one, with clipped columns."""
     d = _derived(raw, entities)
     clip = lambda name, size: F.substring(F.coalesce(F.col(name), F.lit("")), 1, size)
+    changed = (F.col("_legacy") != "") & (F.col("_legacy") != F.col("_preview"))
     return (
-        drop_short(d, "_clean")
-        .filter((F.col("_legacy") != "") & (F.col("_legacy") != F.col("_preview")))
+        filter_computed(d, (F.col("_after") >= fv.MIN_ANSWER_CHARS) & changed)
         .orderBy(order)
         .limit(n)
         .select(
