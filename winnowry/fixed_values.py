@@ -68,10 +68,12 @@ PREVIEW_PREFIX = "回答预览："
 ANONYMOUS_AUTHOR = "匿名用户"
 
 # White space as the cleaning and the browser side define it, as regular-expression classes.
-TEXT_BREAKS = "\\t-\\r\\x1c-\\x1f" "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-TEXT_SPACE = "\\x20" + TEXT_BREAKS
-PAGE_BREAKS = "\\t-\\r" "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-PAGE_SPACE = "\\x20" + PAGE_BREAKS
+WIDE_SPACE = "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+TEXT_NARROW = "\\t\\n\\x0b\\f\\r\\x1c\\x1d\\x1e\\x1f" "\u0085\u00a0"
+TEXT_SPACE = "\\x20" + TEXT_NARROW + WIDE_SPACE
+PAGE_NARROW = "\\t\\n\\x0b\\f\\r" "\u00a0"
+PAGE_WIDE = WIDE_SPACE + "\ufeff"
+PAGE_SPACE = "\\x20" + PAGE_NARROW + PAGE_WIDE
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 # Character caps before a model sees the text.

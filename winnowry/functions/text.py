@@ -9,9 +9,6 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
 
-# Runs of white space other than a single blank, which already is what a run becomes.
-_SPACE_RUN = rf"[{fv.TEXT_BREAKS}][{fv.TEXT_SPACE}]*|\x20[{fv.TEXT_SPACE}]+"
-_PAGE_SPACE_RUN = rf"[{fv.PAGE_BREAKS}][{fv.PAGE_SPACE}]*|\x20[{fv.PAGE_SPACE}]+"
 _HIDDEN_BLOCKS = "(?is)" + "|".join(
     [r"<!--.*?(?:-->|\z)"]
     + [rf"<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)" for tag in ("script", "style", "svg", "noscript")]
@@ -48,8 +45,21 @@ def strip_zero_width(c: Column) -> Column:
     return F.regexp_replace(c, f"[{fv.ZERO_WIDTH}]", "")
 
 
+def _single_blanks(c: Column, narrow: str, wide: str) -> Column:
+    """White-space runs to one blank, ends stripped. A single blank is no match: it stays as it is.
+
+    Most texts hold narrow white space only; a class of those characters is one table look-up per character.
+    """
+    runs = lambda chars: rf"[{chars}][\x20{chars}]*|\x20[\x20{chars}]+"
+    has_wide = c.rlike(f"[{wide}]")
+    collapsed = F.when(has_wide, F.regexp_replace(c, runs(narrow + wide), " ")).otherwise(
+        F.regexp_replace(c, runs(narrow), " ")
+    )
+    return F.trim(collapsed)
+
+
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, _SPACE_RUN, " "))
+    return _single_blanks(c, fv.TEXT_NARROW, fv.WIDE_SPACE)
 
 
 def text_stages(c: Column, entities: bool = True) -> TextStages:
@@ -129,11 +139,11 @@ def html_to_text(c: Column, entities: bool = True) -> Column:
     """Visible text of markup: hidden blocks and tags out, then entities, then white space."""
     bare = F.regexp_replace(F.regexp_replace(text_or_empty(c), _HIDDEN_BLOCKS, " "), "<[^>]*>", " ")
     decoded = decode_entities(bare) if entities else bare
-    return F.trim(F.regexp_replace(decoded, _PAGE_SPACE_RUN, " "))
+    return page_space(decoded)
 
 
 def page_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(text_or_empty(c), _PAGE_SPACE_RUN, " "))
+    return _single_blanks(text_or_empty(c), fv.PAGE_NARROW, fv.PAGE_WIDE)
 
 
 def parse_count(c: Column) -> Column:
