@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import annotations, cleaning  # noqa: F401
+from . import annotations, cleaning, models, scoring  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
