@@ -27,10 +27,6 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _is_object(v: Column) -> Column:
-    return _kind(v).startswith("OBJECT")
-
-
 def unwrap_response(body: Column, provider: Column, prompt: Column, tokens=estimate_tokens) -> Column:
     """Reply text and token counts from a provider's response body."""
     v = F.try_parse_json(body)
@@ -51,22 +47,36 @@ def unwrap_response(body: Column, provider: Column, prompt: Column, tokens=estim
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def reply_json(content: Column) -> Column:
-    """From the first opening to the last closing brace, as a variant; null if that is no JSON."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(content, r"(?s)\{.*\}", 0), F.lit("")))
+    """From the first opening to the last closing brace, as a variant; null if that is not one JSON value.
+
+    The text is parsed as the only entry of an array, since the parser ignores what follows a whole value.
+    """
+    body = F.regexp_extract(content, r"(?s)\{.*\}", 0)
+    listed = F.try_parse_json(F.when(body != "", F.concat(F.lit("["), body, F.lit("]"))))
+    return let(
+        listed, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+    )
 
 
-def _entry(v: Column, task_id: str) -> Column:
-    return F.try_variant_get(v, f"$.task_results['{task_id}']", "variant")
+def _entries(v: Column, task_ids) -> Column:
+    """The results' type and every task's entry."""
+    return F.struct(
+        F.schema_of_variant(F.try_variant_get(v, "$.task_results", "variant")).alias("kind"),
+        *[F.try_variant_get(v, f"$.task_results['{t}']", "variant").alias(t) for t in task_ids],
+    )
 
 
-def _well_formed(v: Column, task_ids) -> Column:
+def _well_formed(v: Column, found: Column, task_ids) -> Column:
     """The reply parsed, and neither the results nor any task's entry is something other than an object."""
-    results = F.try_variant_get(v, "$.task_results", "variant")
-    good = v.isNotNull() & (results.isNull() | _is_object(results))
+    good = v.isNotNull() & F.coalesce(found["kind"].startswith("OBJECT"), F.lit(True))
     for t in task_ids:
-        e = _entry(v, t)
-        good = good & (e.isNull() | _is_object(e))
+        good = good & F.coalesce(_kind(found[t]).startswith("OBJECT"), F.lit(True))
     return good
 
 
@@ -82,59 +92,69 @@ def _number(entry: Column, path: str = "$.confidence") -> Column:
 def parse_task_results(content: Column, annotator: Column, task_ids=None) -> Column:
     """Annotations of every task, or null with an error text if the reply as a whole is unusable."""
     task_ids = fv.TASK_IDS if task_ids is None else task_ids
-    v = reply_json(content)
 
-    def one(t):
-        e = _entry(v, t)
+    def one(e):
         return annotation(
             _label(e),
             F.coalesce(F.try_variant_get(e, "$.reason", "string"), F.lit("")),
             annotator,
             F.lit("auto"),
-            F.coalesce(round2(_number(e)), F.lit(0.0)),
+            F.coalesce(let(_number(e), round2), F.lit(0.0)),
         )
 
-    good = F.coalesce(_well_formed(v, task_ids), F.lit(False))
-    return F.struct(
-        F.when(good, task_map(one, task_ids)).alias("annotations"),
-        F.when(~good, F.lit(fv.NO_JSON_REASON)).alias("error"),
+    def results(v):
+        return let(
+            _entries(v, task_ids),
+            lambda found: F.when(_well_formed(v, found, task_ids), task_map(lambda t: one(found[t]), task_ids)),
+        )
+
+    return let(
+        let(reply_json(content), results),
+        lambda m: F.struct(m.alias("annotations"), F.when(m.isNull(), F.lit(fv.NO_JSON_REASON)).alias("error")),
     )
 
 
 def parse_service_results(content: Column, task_ids=None) -> Column:
     """Task results; null if the reply, a confidence or a reason cannot be used, so that scoring goes on."""
     task_ids = fv.TASK_IDS if task_ids is None else task_ids
-    v = reply_json(content)
-    good = _well_formed(v, task_ids)
 
     def label(e):
         raw = F.try_variant_get(e, "$.label", "variant")
         number = F.when(_kind(raw).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(e, "$.label", "double"))
         return F.coalesce(_label(e), F.when(number == 1.0, True).when(number == 0.0, False))
 
-    for t in task_ids:
-        e = _entry(v, t)
+    def usable(e):
         confidence = F.try_variant_get(e, "$.confidence", "variant")
         reason = F.try_variant_get(e, "$.reason", "variant")
-        good = good & (confidence.isNull() | _number(e).isNotNull())
-        good = good & (reason.isNull() | (_kind(reason) == "STRING"))
+        return (confidence.isNull() | _number(e).isNotNull()) & (reason.isNull() | (_kind(reason) == "STRING"))
+
+    def one(e):
+        return result(label(e), let(_number(e), round2), F.try_variant_get(e, "$.reason", "string"))
 
-    def one(t):
-        e = _entry(v, t)
-        return result(label(e), round2(_number(e)), F.try_variant_get(e, "$.reason", "string"))
+    def results(v):
+        def of(found):
+            good = _well_formed(v, found, task_ids)
+            for t in task_ids:
+                good = good & usable(found[t])
+            return F.when(good, task_map(lambda t: one(found[t]), task_ids))
 
-    return F.when(good, task_map(one, task_ids))
+        return let(_entries(v, task_ids), of)
+
+    return let(reply_json(content), results)
 
 
 def parse_single_label(content: Column, task_id: str) -> Column:
     """One task's reply; an unusable one has no label, a fixed reason and no confidence."""
-    v = reply_json(content)
-    good = F.coalesce(_is_object(v), F.lit(False))
-    text = lambda path, default: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(default))
-    return F.struct(
-        F.when(good, text("$.task_id", task_id)).otherwise(F.lit(task_id)).alias("task_id"),
-        F.when(good, _label(v)).alias("label"),
-        F.when(good, text("$.reason", "")).otherwise(F.lit(fv.UNPARSED_REASON)).alias("reason"),
-        F.when(good, text("$.evidence", "")).otherwise(F.lit("")).alias("evidence"),
-        F.when(good, F.coalesce(_number(v), F.lit(0.0))).otherwise(F.lit(0.0)).alias("confidence"),
-    )
+
+    def parsed(v):
+        good = F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))
+        text = lambda path, default: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(default))
+        return F.struct(
+            text("$.task_id", task_id).alias("task_id"),
+            _label(v).alias("label"),
+            F.when(good, text("$.reason", "")).otherwise(F.lit(fv.UNPARSED_REASON)).alias("reason"),
+            text("$.evidence", "").alias("evidence"),
+            F.coalesce(_number(v), F.lit(0.0)).alias("confidence"),
+        )
+
+    return let(reply_json(content), parsed)

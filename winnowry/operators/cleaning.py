@@ -6,18 +6,7 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.annotations import empty_annotations
 from .dedup import answer_text
-
-
-def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter by costly computed columns without computing them twice.
-
-    Catalyst would push such a filter below the projection and spell the columns out again inside it. A row
-    number that the filter also looks at keeps it above. (A stream has none; there the filter is pushed.)
-    """
-    if df.isStreaming:
-        return df.filter(condition)
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.filter(condition & (F.col("_row") >= 0)).drop("_row")
+from .stages import filter_computed
 
 
 def drop_short(df: DataFrame, column: str = "answer_full_clean", n: int = fv.MIN_ANSWER_CHARS) -> DataFrame:

@@ -13,7 +13,7 @@ REPLY = "struct<reply:string,error:string>"
 def model_replies(prompt: Column, predict_fn) -> Column:
     """Replies of ``predict_fn(prompts: pandas.Series) -> sequence of str``, in Arrow batches.
 
-    If a batch fails it is tried again row by row, so that an error stays with its own row. Rows with a
+    The model counts as nondeterministic, so a plan asks it once per row. If a batch fails it is tried again row by row, so that an error stays with its own row. Rows with a
     null prompt never reach the model.
     """
 
@@ -32,7 +32,7 @@ def model_replies(prompt: Column, predict_fn) -> Column:
                     errors[i] = str(e)
         return pd.DataFrame({"reply": replies, "error": errors})
 
-    return call(prompt)
+    return call.asNondeterministic()(prompt)
 
 
 def label_with_model(

@@ -10,6 +10,7 @@ from ..functions.replies import parse_service_results
 from ..session import materialize
 from .knn import collect_base, default_examples, example_rows, knn_join_cells, nearest_examples
 from .labeling import model_replies
+from .stages import pinned
 
 
 NEIGHBOR_LIST = f"array<struct<id:string,distance:double,text:string,{fv.LOW_QUALITY}:int,{fv.AI_GENERATED}:int>>"
@@ -66,8 +67,8 @@ def classify(
     )
     fields = ["id", "text", *fv.TASK_IDS, "embedding"]
     local = collect_base(base, fields)
-    scored = _with_model(df, predict_fn, threshold)
-    vector = embed(F.when(F.col("_model").isNull(), F.col("text")))
+    scored, always = pinned(_with_model(df, predict_fn, threshold))
+    vector = embed(F.when(F.col("_model").isNull() & always, F.col("text")))
     if local is not None:
         payload = {"text": "string", fv.LOW_QUALITY: "int", fv.AI_GENERATED: "int"}
         scored = scored.withColumn("_embedding", vector)
