@@ -6,6 +6,7 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.regions import find_regions
 from .ordering import first_per_key, hash_key
+from .stages import filter_computed
 
 
 def _strip(c: Column) -> Column:
@@ -38,9 +39,9 @@ def extract_answers(pages: DataFrame, collected_at: Column, selectors=None) -> D
     )
     author = _first(F.col("item.author"))
     named = _strip(F.coalesce(F.nullif(author["text"], F.lit("")), author["content"]))
+    long_enough = _first(F.col("item.text")).isNotNull() & (F.length("answer_full") >= fv.MIN_RAW_ANSWER_CHARS)
     return (
-        found.withColumn("answer_full", text("item.text"))
-        .filter(_first(F.col("item.text")).isNotNull() & (F.length("answer_full") >= fv.MIN_RAW_ANSWER_CHARS))
+        filter_computed(found.withColumn("answer_full", text("item.text")), long_enough)
         .select(
             "page_id", "position", "question", "question_detail", "answer_full",
             tx.truncate_legacy(F.col("answer_full")).alias("answer_truncated"),
@@ -77,7 +78,7 @@ def extract_cards(pages: DataFrame, selectors=None) -> DataFrame:
     question = F.coalesce(first_long_enough(texts("card.question", "text"), 4), tx.page_space(F.col("title")))
     return (
         found.select("page_id", "url", "position", question.alias("question"), preview.alias("answer_preview"))
-        .filter(F.length("answer_preview") >= 20)
+        .transform(lambda d: filter_computed(d, F.length("answer_preview") >= 20))
         .withColumn("model_input", tx.build_model_input(F.col("question"), F.col("answer_preview")))
     )
 
@@ -95,7 +96,7 @@ def filter_post_like(cards: DataFrame, text: str = "text", markup: str = "markup
     """Cards of 10 characters that carry a signal word, or of more than 20 that carry a picture."""
     html = F.lower(markup)
     signal = html.rlike("|".join(fv.POST_SIGNALS)) | ((F.length(text) > 20) & html.contains("<img"))
-    return cards.filter((F.length(text) >= 10) & signal)
+    return filter_computed(cards, (F.length(text) >= 10) & signal)
 
 
 def is_detail_page(url: Column) -> Column:

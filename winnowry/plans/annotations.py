@@ -76,13 +76,17 @@ MODEL = f"""model AS (
 
 
 def model_annotations(spark, sf):
+    return annotate(table(spark, sf, "documents"))
+
+
+def annotate(documents):
     n, text = F.col("n_chars"), lambda s: F.lit(s)
     low = F.when(n % 5 != 0, n % 3 == 0)
     ai = F.when(n % 7 != 0, n % 4 == 0)
     one = lambda t, label, conf: an.annotation(
         label, F.when(label, text(LOW_REASON if t == LOW else AI_REASON)).otherwise(""), text("m"), text("auto"), conf
     )
-    return table(spark, sf, "documents").select(
+    return documents.select(
         "doc_id", F.col("doc_id").cast("string").alias("sample_id"),
         F.create_map(
             text(LOW), one(LOW, low, (n % 101) / F.lit(100.0)), text(AI), one(AI, ai, (n % 97) / F.lit(96.0))

@@ -1,9 +1,10 @@
 """Incremental ingest, scoring and counting."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.dedup import anti_existing, dedup_key, dedup_new
+from ..operators.labeling import label_stats
 
 
 def dedup_within(stream: DataFrame, time: str, delay: str) -> DataFrame:
@@ -25,12 +26,11 @@ def ingest_exact(stream: DataFrame, store: str, checkpoint: str, order: str):
 
     A batch writes its own folder, so a batch that is run again replaces what it wrote before.
     """
-    schema = stream.schema
+    stored = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        others = stored_records(spark, store, schema.add("batch", "int") if "batch" not in schema.names else schema)
-        others = others.filter(F.col("batch") != batch_id).select(*batch.columns)
+        others = stored_records(spark, store, stored).filter(F.col("batch") != batch_id).select(*batch.columns)
         new = anti_existing(dedup_new(batch, order), others)
         new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
@@ -63,6 +63,4 @@ def stream_score(posts: DataFrame, score, key: str = "post_id", time: str | None
 
 def stream_label_stats(stream: DataFrame, field: str) -> DataFrame:
     """Running positive, negative and unknown counts per task, for update mode."""
-    from ..operators.labeling import label_stats
-
     return label_stats(stream, field)
