@@ -74,7 +74,7 @@ TEXT_SPACE = "\\x20" + TEXT_NARROW + WIDE_SPACE
 PAGE_NARROW = "\\t\\n\\x0b\\f\\r" "\u00a0"
 PAGE_WIDE = WIDE_SPACE + "\ufeff"
 PAGE_SPACE = "\\x20" + PAGE_NARROW + PAGE_WIDE
-ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
+ZERO_WIDTH = "\u200b-\u200d\ufeff"
 
 # Character caps before a model sees the text.
 LABEL_CHARS = 1200

@@ -1,6 +1,7 @@
 """Keyword, example and rule scores. Doubles are added in a fixed order, so flags at a cutoff agree."""
 
 from functools import reduce
+from string import ascii_letters, digits
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -56,10 +57,13 @@ def example_snippet(text: Column) -> Column:
 _LINE_BREAKS = r"\n\r\x{2028}\x{2029}"
 _LINE_START, _LINE_END = f"(?<![^{_LINE_BREAKS}])", f"(?![^{_LINE_BREAKS}])"
 LIST_LINE = rf"(?=[0-9]){_LINE_START}[0-9]+[.、][{fv.PAGE_SPACE}]*[^\n]{{0,10}}{_LINE_END}"
-RUN_PATTERNS = ["[!！]{2,}", "[?？]{2,}", "[a-zA-Z]{5,}", "[0-9]{8,}"]
+# Runs, and characters without which a text has none.
+RUN_PATTERNS = {"[!！]{2,}": "!！", "[?？]{2,}": "?？", "[a-zA-Z]{5,}": "", "[0-9]{8,}": ""}
 SENTENCE_END = "[.!?。！？]"
 SENTENCE = rf"[^{fv.PAGE_SPACE}。！？.!?][^。！？.!?]*"
 PLAIN = rf"[\p{{L}}\p{{N}}{fv.PAGE_SPACE}]+"
+# Spelled out, the commonest plain characters are one table look-up each.
+COMMON = f"[{ascii_letters}{digits} ]+"
 
 
 def _occurrences(c: Column, word: str) -> Column:
@@ -72,19 +76,26 @@ def _occurrences(c: Column, word: str) -> Column:
 def keyword_occurrences(c: Column, keywords) -> Column:
     """Occurrences of every keyword, each counted alone, upper and lower case alike.
 
-    One scan for the characters the keywords are made of comes first: most rows have none of them.
+    Keywords beyond ASCII are looked for only in texts with a character of their range.
     """
-    telling = [max(k) for k in keywords if max(k) > "\x7f"]
-    gates = [f"[{min(telling)}-{max(telling)}]"] if telling else []
-    for k in keywords:
-        if max(k) <= "\x7f":
-            gates.append("".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else f"[{x}]" for x in k))
-    total = reduce(lambda a, b: a + b, [_occurrences(c, k) for k in keywords])
-    return F.when(c.rlike("|".join(gates)), total).otherwise(F.lit(0))
+    add = lambda a, b: a + b
+    wide = [k for k in keywords if not k.isascii()]
+    total = reduce(add, [_occurrences(c, k) for k in keywords if k.isascii()], F.lit(0))
+    if wide:
+        telling = [max(k) for k in wide]
+        found = c.rlike(f"[{min(telling)}-{max(telling)}]")
+        total = total + F.when(found, reduce(add, [_occurrences(c, k) for k in wide])).otherwise(F.lit(0))
+    return total
 
 
 def pattern_occurrences(c: Column) -> Column:
-    return reduce(lambda a, b: a + b, [F.regexp_count(c, F.lit(p)) for p in [LIST_LINE, *RUN_PATTERNS]])
+    total = F.regexp_count(c, F.lit(LIST_LINE))
+    for pattern, needed in RUN_PATTERNS.items():
+        count = F.regexp_count(c, F.lit(pattern))
+        if needed:
+            count = F.when(reduce(lambda a, b: a | b, [c.contains(x) for x in needed]), count).otherwise(F.lit(0))
+        total = total + count
+    return total
 
 
 def low_quality_parts(c: Column, keywords=None) -> dict[str, Column]:
@@ -100,7 +111,7 @@ def low_quality_parts(c: Column, keywords=None) -> dict[str, Column]:
         "n_keywords": keyword_occurrences(c, keywords),
         "n_patterns": pattern_occurrences(c),
         "n_sentences": F.when(F.length(c) < ends * 10, F.regexp_count(c, F.lit(SENTENCE))).otherwise(F.lit(0)),
-        "n_special": F.length(F.regexp_replace(c, PLAIN, "")),
+        "n_special": F.length(F.regexp_replace(c, f"{COMMON}|{PLAIN}", "")),
     }
 
 

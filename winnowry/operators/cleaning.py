@@ -74,8 +74,8 @@ def clean_answers(raw: DataFrame, include_answer_in_id: bool = False, entities:
         F.col("_clean").alias("answer_full_clean"),
         empty_annotations().alias("task_annotations"),
         col("author", "").alias("author"),
-        col("votes", 0).cast("int").alias("votes"),
-        col("comment_count", 0).cast("int").alias("comment_count"),
+        col("votes", 0).cast("bigint").alias("votes"),
+        col("comment_count", 0).cast("bigint").alias("comment_count"),
         platform.alias("platform"),
         col("url", "").alias("url"),
         col("collected_at", "").alias("collected_at"),

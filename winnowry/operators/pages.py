@@ -46,8 +46,8 @@ def extract_answers(pages: DataFrame, collected_at: Column, selectors=None) -> D
             "page_id", "position", "question", "question_detail", "answer_full",
             tx.truncate_legacy(F.col("answer_full")).alias("answer_truncated"),
             F.when(author.isNull(), F.lit(fv.ANONYMOUS_AUTHOR)).otherwise(named).alias("author"),
-            tx.parse_count(text("item.votes")).cast("int").alias("votes"),
-            tx.parse_comment_count(text("item.comments")).cast("int").alias("comment_count"),
+            tx.parse_count(text("item.votes")).alias("votes"),
+            tx.parse_comment_count(text("item.comments")).alias("comment_count"),
             F.lit(fv.DEFAULT_PLATFORM).alias("platform"),
             "url",
             collected_at.cast("string").alias("collected_at"),

@@ -99,56 +99,53 @@ def reviewed_record(df: DataFrame, keep=()) -> DataFrame:
 def undo_last(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Decisions that survive the undo rows of their session.
 
-    Every undo row cancels the last sample still standing; on an empty history it does nothing. With
-    +1 for a sample and -1 for an undo, ``level`` is the running sum held at or above zero, and a sample
-    stands if the level never falls below its own later on.
+    Every undo row cancels the last sample still standing; on an empty history it does nothing. All rows of
+    one ``seq`` are one sample.
 
-    A session may be long, so it is cut into chunks of ``seq``. Running values are computed inside a
-    chunk, carried across chunks by a window over one row per chunk, and put together again.
+    A session may be long, so it is cut into chunks of ``seq``. With +1 for a sample and -1 for an undo, a
+    chunk alone tells which of its samples outlive its own undo rows and at which height they lie, how far it
+    digs into earlier chunks, and how many it leaves. One row per chunk then carries that across the session:
+    a sample stands if no later chunk digs down to its height. Rows move once, by chunk.
     """
     session = ["reviewer", "session"]
-    undo = F.col("choice") == "undo"
     piece = [*session, "_chunk"]
-    steps = (
-        log.groupBy(*session, "seq")
-        .agg(F.max(F.when(undo, -1).otherwise(1)).alias("_step"))
-        .withColumn("_chunk", F.floor(F.col("seq") / chunk))
+    undo = F.col("choice") == "undo"
+    inside = Window.partitionBy(*piece).orderBy("seq", "task_id") if "task_id" in log.columns else (
+        Window.partitionBy(*piece).orderBy("seq")
     )
-    inside = Window.partitionBy(*piece).orderBy("seq")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     from_here = inside.rowsBetween(0, Window.unboundedFollowing)
+    repeated = F.lag("seq").over(inside).eqNullSafe(F.col("seq"))
+
+    rows = (
+        log.withColumn("_chunk", F.floor(F.col("seq") / chunk))
+        .withColumn("_step", F.when(repeated, 0).when(undo, -1).otherwise(1))
+        .withColumn("_sum", F.sum("_step").over(so_far))
+        .withColumn("_low", F.least(F.lit(0), F.min("_sum").over(so_far)))
+        .withColumn("_height", F.col("_sum") - F.col("_low"))
+        .withColumn("_least", F.min("_height").over(from_here))
+    )
     across = Window.partitionBy(*session).orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     later = across.rowsBetween(1, Window.unboundedFollowing)
-    many = 1 << 60
-
-    running = steps.withColumn("_sum", F.sum("_step").over(so_far)).withColumn("_low", F.min("_sum").over(so_far))
-    starts = (
-        running.groupBy(*piece)
-        .agg(F.sum("_step").alias("_total"), F.min("_sum").alias("_lowest"))
-        .withColumn("_base", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-        .withColumn("_before", F.coalesce(F.min(F.col("_base") + F.col("_lowest")).over(earlier), F.lit(0)))
-        .select(*piece, "_base", "_before")
-    )
-    level = (
-        running.join(starts, piece)
-        .withColumn("_raw", F.col("_base") + F.col("_sum"))
-        .withColumn("_floor", F.least(F.lit(0), F.col("_before"), F.col("_base") + F.col("_low")))
-        .withColumn("_level", F.col("_raw") - F.col("_floor"))
-        .withColumn("_least", F.min("_level").over(from_here))
-    )
-    ends = (
-        level.groupBy(*piece)
-        .agg(F.min("_level").alias("_end"))
-        .withColumn("_after", F.coalesce(F.min("_end").over(later), F.lit(many)))
-        .select(*piece, "_after")
+    floor = F.coalesce(F.min(F.col("_start") + F.col("_dig")).over(earlier), F.lit(0))
+    chunks = (
+        rows.groupBy(*piece)
+        .agg(F.sum("_step").alias("_total"), F.min("_low").alias("_dig"))
+        .withColumn("_start", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+        .withColumn("_floor", F.least(F.lit(0), floor))
+        # The height at which the chunk's own samples begin is also the lowest it digs to.
+        .withColumn("_bottom", F.greatest(F.lit(0), F.col("_start") + F.col("_dig") - F.col("_floor")))
+        .withColumn("_dug", F.min("_bottom").over(later))
+        .select(*piece, "_bottom", "_dug")
     )
-    standing = (
-        level.join(ends, piece)
-        .filter((F.col("_step") == 1) & (F.least("_least", "_after") >= F.col("_level")))
-        .select(*session, "seq")
+    standing = F.col("_dug").isNull() | (F.col("_bottom") + F.col("_height") <= F.col("_dug"))
+    return (
+        rows.filter(~undo & (F.col("_least") >= F.col("_height")))
+        .join(chunks, piece)
+        .filter(standing)
+        .select(*log.columns)
     )
-    return log.filter(~undo).join(standing, [*session, "seq"], "left_semi")
 
 
 def review_progress(samples: DataFrame, labeled: DataFrame) -> DataFrame:

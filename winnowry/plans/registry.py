@@ -29,9 +29,9 @@ PAGE_SPACE = f"[{fv.PAGE_SPACE}]"
 
 
 def entities(x: str) -> str:
-    """The entities that occur in the stored pages, the ampersand last."""
-    for name, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{char}')"
+    """The entities that occur in the stored pages, also without their semicolon, the ampersand last."""
+    for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
     return x
 
 

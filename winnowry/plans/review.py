@@ -15,22 +15,26 @@ CHOICE = "CASE event_type WHEN 'view' THEN 'y' WHEN 'click' THEN 'n' WHEN 'signu
 SAMPLE = "CASE WHEN event_type <> 'error' THEN CAST(event_id % 1000 AS STRING) END"
 
 
-def decision_log(spark, sf):
-    """Every event is a reviewed sample (both tasks) or an undo."""
-    events = table(spark, sf, "events")
-    # Two entries per event, one for each task.
-    tasks = F.explode(F.array(*[F.lit(t) for t in fv.TASK_IDS]))
-    return events.select(
+def review_log(spark, sf):
+    """Every event is a reviewed sample or an undo."""
+    return table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("reviewer"),
         (F.col("user_id") % 3).cast("string").alias("session"),
         F.col("event_id").alias("seq"),
         F.expr(SAMPLE).alias("sample_id"),
-        F.when(F.col("event_type") != "error", "task").alias("_t"),
         F.expr(CHOICE).alias("choice"),
         (F.col("event_id") % 9).cast("int").alias("reason_no"),
         F.col("ts").alias("decided_at"),
-        tasks.alias("task_id"),
-    ).withColumn("task_id", F.when(F.col("_t").isNotNull(), F.col("task_id"))).drop("_t").distinct()
+    )
+
+
+def decision_log(spark, sf):
+    """The same with one row per task of a reviewed sample."""
+    tasks = F.array(*[F.lit(t) for t in fv.TASK_IDS])
+    none = F.array(F.lit(None).cast("string"))
+    return review_log(spark, sf).withColumn(
+        "task_id", F.explode(F.when(F.col("choice") == "undo", none).otherwise(tasks))
+    )
 
 
 LOG = f"""log AS (SELECT CAST(user_id AS VARCHAR) AS reviewer, CAST(user_id % 3 AS VARCHAR) AS session, event_id AS seq, {SAMPLE} AS sample_id,
@@ -43,8 +47,7 @@ standing AS (SELECT reviewer, session, seq, sample_id, choice, reason_no FROM fu
 
 @query("undo_last", f"WITH {STANDING} SELECT reviewer, session, seq, sample_id, choice FROM standing")
 def undo_last(spark, sf):
-    log = decision_log(spark, sf).drop("task_id").distinct()
-    return rv.undo_last(log, chunk=1000).select("reviewer", "session", "seq", "sample_id", "choice")
+    return rv.undo_last(review_log(spark, sf), chunk=5000).select("reviewer", "session", "seq", "sample_id", "choice")
 
 
 def _decided(task, label, conf):

@@ -9,13 +9,13 @@ RESULTS = f"map<string,{PREDICTION}>"
 
 RAW_ANSWERS = (
     "question string, question_detail string, answer_full string, answer string, answer_truncated string, "
-    "author string, votes int, comment_count int, platform string, url string, collected_at string"
+    "author string, votes bigint, comment_count bigint, platform string, url string, collected_at string"
 )
 
 CLEANED_SAMPLES = (
     "sample_id string, question string, question_detail string, content string, model_input string, "
     f"answer_preview string, answer_full_clean string, task_annotations {ANNOTATIONS}, "
-    "author string, votes int, comment_count int, platform string, url string, collected_at string, "
+    "author string, votes bigint, comment_count bigint, platform string, url string, collected_at string, "
     "extra struct<preview_was_truncated:boolean,preview_max_chars:int,had_html:boolean,has_spam:boolean,"
     "has_contact_hint:boolean,source_answer_chars:int,clean_answer_chars:int>"
 )

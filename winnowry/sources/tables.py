@@ -32,8 +32,8 @@ def answers_from_documents(documents: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("answer"),
         truncate_legacy(F.col("text")).alias("answer_truncated"),
         F.col("source").alias("author"),
-        F.col("n_chars").cast("int").alias("votes"),
-        F.lit(0).alias("comment_count"),
+        F.col("n_chars").alias("votes"),
+        F.lit(0).cast("bigint").alias("comment_count"),
         F.lit(fv.DEFAULT_PLATFORM).alias("platform"),
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
         F.lit("").alias("collected_at"),
