@@ -158,31 +158,49 @@ ELEMENT = "struct<visible:string,markup:string>"
 FIELD = "struct<text:string,visible:string,content:string>"
 
 
-def find_regions(html: Column, scope: list[str] | None, fields: dict[str, list[str]]) -> Column:
-    """Per scope element (the page itself if ``scope`` is None), in document order and without repeats:
-    the element, and for every field the first match of each selector, in selector order."""
-    shape = ", ".join(f"{name}: array<{FIELD}>" for name in fields)
-    schema = f"array<struct<self: {ELEMENT}{', ' if shape else ''}{shape}>>"
-    scope_steps = None if scope is None else [_compile(s) for s in scope]
-    field_steps = {name: [_compile(s) for s in selectors] for name, selectors in fields.items()}
+def find_regions(
+    html: Column, page: dict[str, list[str]] | None = None, scope: list[str] | None = None,
+    fields: dict[str, list[str]] | None = None, element: bool = False,
+) -> Column:
+    """struct<page, items>, from one walk of each page.
+
+    ``page`` and ``fields`` name lists of selectors; the result holds the first match of every selector, in
+    selector order. ``items`` are the elements that match any ``scope`` selector, in document order and
+    without repeats; with ``element`` each also carries its own text and markup as ``self``.
+    """
+    page, scope, fields = page or {}, scope or [], fields or {}
+    shape = lambda names: ",".join(f"{n}:array<{FIELD}>" for n in names)
+    item = ",".join(filter(None, [f"self:{ELEMENT}" if element else "", shape(fields)]))
+    schema = f"struct<page:struct<{shape(page)}>,items:array<struct<{item}>>>" if scope else (
+        f"struct<page:struct<{shape(page)}>>"
+    )
+    scope_steps = [_compile(s) for s in scope]
+    compiled = lambda named: {name: [_compile(s) for s in selectors] for name, selectors in named.items()}
+    page_steps, field_steps = compiled(page), compiled(fields)
+
+    def firsts(node, steps_of):
+        missing = {(name, i): steps for name, all_steps in steps_of.items() for i, steps in enumerate(all_steps)}
+        found = dict.fromkeys(missing)
+        for n in node.walk() if missing else ():
+            for key in [k for k, steps in missing.items() if _matches(n, steps)]:
+                found[key] = n
+                del missing[key]
+            if not missing:
+                break
+        return {name: [_field(found[name, i]) for i in range(len(s))] for name, s in steps_of.items()}
 
     def one(text):
         tree = _Tree()
         tree.feed(text)
         tree.close()
-        nodes = [tree.root] if scope_steps is None else [
-            n for n in tree.root.walk() if any(_matches(n, s) for s in scope_steps)
-        ]
-        return [
-            {"self": _element(n)} | {
-                name: [_field(next((x for x in n.walk() if _matches(x, s)), None)) for s in steps]
-                for name, steps in field_steps.items()
-            }
-            for n in nodes
-        ]
+        out = {"page": firsts(tree.root, page_steps)}
+        if scope_steps:
+            nodes = [n for n in tree.root.walk() if any(_matches(n, s) for s in scope_steps)]
+            out["items"] = [({"self": _element(n)} if element else {}) | firsts(n, field_steps) for n in nodes]
+        return out
 
     @F.pandas_udf(schema)
-    def regions(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action="ignore")
+    def regions(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) if t is not None else {} for t in s], columns=["page", "items"][: 1 + bool(scope)])
 
     return regions(html)

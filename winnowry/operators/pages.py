@@ -22,18 +22,18 @@ def _first(regions: Column) -> Column:
 def extract_answers(pages: DataFrame, collected_at: Column, selectors=None) -> DataFrame:
     """Raw answers of question pages. Pages without a title give none; texts under 10 characters go."""
     s = fv.ANSWER_PAGE if selectors is None else selectors
-    head = find_regions(F.col("html"), None, {"title": [s["title"]], "detail": [s["detail"]]})
-    items = find_regions(
-        F.col("html"), [s["items"]], {name: [s[name]] for name in ("text", "author", "votes", "comments")}
+    regions = find_regions(
+        F.col("html"), {"title": [s["title"]], "detail": [s["detail"]]}, [s["items"]],
+        {name: [s[name]] for name in ("text", "author", "votes", "comments")},
     )
     text = lambda field: _strip(_first(F.col(field))["text"])
     found = (
-        pages.select("page_id", "url", _first(head).alias("h"), items.alias("items"))
+        pages.select("page_id", "url", regions.alias("r"))
         .select(
             "page_id", "url",
-            _strip(_first(F.col("h.title"))["text"]).alias("question"),
-            _strip(_first(F.col("h.detail"))["text"]).alias("question_detail"),
-            F.posexplode("items").alias("position", "item"),
+            text("r.page.title").alias("question"),
+            text("r.page.detail").alias("question_detail"),
+            F.posexplode("r.items").alias("position", "item"),
         )
         .filter(F.col("question") != "")
     )
@@ -66,14 +66,14 @@ def extract_cards(pages: DataFrame, selectors=None) -> DataFrame:
     selector whose visible text has 20. Cards without a preview of 20 characters go.
     """
     s = fv.CARD_PAGE if selectors is None else selectors
-    cards = find_regions(
-        F.col("html"), s["cards"], {"question": s["question"], "preview": s["preview"]}
+    regions = find_regions(
+        F.col("html"), {"question": s["page_question"]}, s["cards"], {"question": s["question"], "preview": s["preview"]}
     )
-    page = find_regions(F.col("html"), None, {"question": s["page_question"]})
     texts = lambda field, part: F.transform(F.col(field), lambda r: tx.page_space(r[part]))
-    found = pages.select(
-        "page_id", "url", cards.alias("cards"), _first(_first(page)["question"])["text"].alias("title")
-    ).select("page_id", "url", "title", F.posexplode("cards").alias("position", "card"))
+    found = pages.select("page_id", "url", regions.alias("r")).select(
+        "page_id", "url", _first(F.col("r.page.question"))["text"].alias("title"),
+        F.posexplode("r.items").alias("position", "card"),
+    )
     preview = tx.build_preview(first_long_enough(texts("card.preview", "visible"), 20))
     question = F.coalesce(first_long_enough(texts("card.question", "text"), 4), tx.page_space(F.col("title")))
     return (
@@ -85,8 +85,8 @@ def extract_cards(pages: DataFrame, selectors=None) -> DataFrame:
 
 def card_elements(pages: DataFrame, selectors=None) -> DataFrame:
     """The second platform's candidate elements with visible text and lower-cased markup."""
-    cards = find_regions(F.col("html"), fv.POST_CARDS if selectors is None else selectors, {})
-    return pages.select("page_id", "url", F.posexplode(cards).alias("position", "card")).select(
+    regions = find_regions(F.col("html"), scope=fv.POST_CARDS if selectors is None else selectors, element=True)
+    return pages.select("page_id", "url", F.posexplode(regions["items"]).alias("position", "card")).select(
         "page_id", "url", "position", tx.page_space(F.col("card.self.visible")).alias("text"),
         F.col("card.self.markup").alias("markup"),
     )
@@ -108,11 +108,11 @@ def is_detail_page(url: Column) -> Column:
 def extract_detail_text(pages: DataFrame, detail_only: bool = True, selectors=None) -> DataFrame:
     """The first content region of more than 50 characters, else the whole body."""
     chosen = fv.DETAIL_REGIONS if selectors is None else selectors
-    regions = find_regions(F.col("html"), None, {"region": chosen, "body": ["body"]})
+    regions = find_regions(F.col("html"), {"region": chosen, "body": ["body"]})
     wanted = pages.filter(is_detail_page(F.col("url"))) if detail_only else pages
     texts = F.transform(F.col("p.region"), lambda r: tx.page_space(r["visible"]))
     body = tx.page_space(_first(F.col("p.body"))["visible"])
-    return wanted.select("page_id", "url", _first(regions).alias("p")).select(
+    return wanted.select("page_id", "url", regions["page"].alias("p")).select(
         "page_id", "url", F.coalesce(first_long_enough(texts, 51), body).alias("text")
     )
 

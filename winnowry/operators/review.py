@@ -137,12 +137,13 @@ def undo_last(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
         # The height at which the chunk's own samples begin is also the lowest it digs to.
         .withColumn("_bottom", F.greatest(F.lit(0), F.col("_start") + F.col("_dig") - F.col("_floor")))
         .withColumn("_dug", F.min("_bottom").over(later))
-        .select(*piece, "_bottom", "_dug")
+        .select(*[F.col(c).alias(f"_of_{c}") for c in piece], "_bottom", "_dug")
     )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in piece])
     standing = F.col("_dug").isNull() | (F.col("_bottom") + F.col("_height") <= F.col("_dug"))
     return (
         rows.filter(~undo & (F.col("_least") >= F.col("_height")))
-        .join(chunks, piece)
+        .join(chunks, same)
         .filter(standing)
         .select(*log.columns)
     )
