@@ -203,4 +203,5 @@ def find_regions(
     def regions(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) if t is not None else {} for t in s], columns=["page", "items"][: 1 + bool(scope)])
 
-    return regions(html)
+    # Not repeatable as far as the plan is concerned: a later filter must not have pages parsed twice.
+    return regions.asNondeterministic()(html)

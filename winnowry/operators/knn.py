@@ -106,7 +106,8 @@ def nearest_examples(embedding: Column, base: pd.DataFrame, payload: dict[str, s
                 found[i] = row
         return found
 
-    return find(embedding)
+    # Not repeatable as far as the plan is concerned: a later filter must not repeat the search.
+    return find.asNondeterministic()(embedding)
 
 
 def knn_join(
@@ -121,7 +122,7 @@ def knn_join(
     if local is None:
         return knn_join_cells(queries, base, k, block)
     found = nearest_examples(F.col("embedding"), local, {}, k)
-    return queries.select("query_id", F.posexplode(found).alias("pos", "n")).select(
+    return queries.select("query_id", found.alias("f")).select("query_id", F.posexplode("f").alias("pos", "n")).select(
         "query_id", (F.col("pos") + 1).alias("neighbor_rank"), F.col("n.id").alias("id"), F.col("n.distance").alias("distance")
     )
 
