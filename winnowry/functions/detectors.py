@@ -66,25 +66,30 @@ PLAIN = rf"[\p{{L}}\p{{N}}{fv.PAGE_SPACE}]+"
 COMMON = f"[{ascii_letters}{digits} ]+"
 
 
-def _occurrences(c: Column, word: str) -> Column:
-    if not any(x.isascii() and x.isalpha() for x in word):
-        gone = F.octet_length(c) - F.octet_length(F.replace(c, F.lit(word), F.lit("")))
-        return (gone / F.lit(len(word.encode()))).cast("int")
-    return F.regexp_count(c, F.lit(f"(?i){word}"))
+def _cased(word: str) -> bool:
+    return word.upper() != word.lower()
 
 
 def keyword_occurrences(c: Column, keywords) -> Column:
     """Occurrences of every keyword, each counted alone, upper and lower case alike.
 
-    Keywords beyond ASCII are looked for only in texts with a character of their range.
+    Words without case are counted by the bytes that go missing when they are taken out; those beyond ASCII
+    only in texts with a character of their range.
     """
-    add = lambda a, b: a + b
-    wide = [k for k in keywords if not k.isascii()]
-    total = reduce(add, [_occurrences(c, k) for k in keywords if k.isascii()], F.lit(0))
+    size = F.octet_length
+    count = lambda k: F.when(
+        c.contains(k), ((size(c) - size(F.replace(c, k, F.lit("")))) / size(k)).cast("int")
+    ).otherwise(F.lit(0))
+    total = F.lit(0)
+    for cased in (k for k in keywords if _cased(k)):
+        total = total + F.regexp_count(c, F.lit(f"(?i){cased}"))
+    for word in (k for k in keywords if k.isascii() and not _cased(k)):
+        total = total + count(F.lit(word))
+    wide = [k for k in keywords if not k.isascii() and not _cased(k)]
     if wide:
         telling = [max(k) for k in wide]
-        found = c.rlike(f"[{min(telling)}-{max(telling)}]")
-        total = total + F.when(found, reduce(add, [_occurrences(c, k) for k in wide])).otherwise(F.lit(0))
+        each = F.aggregate(F.lit(wide), F.lit(0), lambda n, k: n + count(k))
+        total = total + F.when(c.rlike(f"[{min(telling)}-{max(telling)}]"), each).otherwise(F.lit(0))
     return total
 
 

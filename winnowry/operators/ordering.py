@@ -160,10 +160,10 @@ def split_at_ranks(df: DataFrame, cls: str, key: Column, ranks: dict, histogram:
 def _copies(keyed, same, size, places, names):
     """``size`` equal rows, numbered by a distributed range and divided at the given places."""
     row = keyed.filter(same).limit(1).withColumn("_one", F.lit(1))
-    numbered = keyed.sparkSession.range(size).withColumn("_one", F.lit(1))
+    numbered = keyed.sparkSession.range(size).select(F.col("id").alias("_n"), F.lit(1).alias("_one"))
     split = F.lit(names[places[-1][0] + 1])
     for i, below in reversed(places):
-        split = F.when(F.col("id") < below, F.lit(names[i])).otherwise(split)
+        split = F.when(F.col("_n") < below, F.lit(names[i])).otherwise(split)
     numbered = numbered.withColumn("split", split)
     return numbered.join(F.broadcast(row), "_one").select(*keyed.columns, "split")
 
