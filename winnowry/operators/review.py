@@ -60,16 +60,19 @@ def decide_annotations(decisions: DataFrame, predictions: DataFrame, order: str)
 
 
 def apply_review_decisions(
-    samples: DataFrame, predictions: DataFrame, decisions: DataFrame, prediction_order: str
+    samples: DataFrame, predictions: DataFrame, decisions: DataFrame, sample_order: str, prediction_order: str
 ) -> DataFrame:
-    """Reviewed samples: one record per reviewed sample, its tasks' valid decisions as a map."""
+    """Reviewed samples: one record per reviewed sample, its tasks' valid decisions as a map.
+
+    Sample ids may repeat; the last sample of an id counts, so that no review is joined to many samples.
+    """
     decided = decide_annotations(decisions, predictions, prediction_order).filter("valid")
     # A group is one review of one sample, so its list has one entry per task.
     entry = F.struct("task_id", "annotation")
     per_sample = decided.groupBy("reviewer", "session", "seq", "sample_id").agg(
         F.map_from_entries(F.collect_list(entry)).alias("task_annotations")
     )
-    unlabeled = samples.drop("task_annotations", "predicted_task_annotations")
+    unlabeled = latest_by_key(samples, "sample_id", sample_order).drop("task_annotations", "predicted_task_annotations")
     joined = per_sample.join(unlabeled, "sample_id")
     return reviewed_record(attach_predictions(joined, predictions, prediction_order), keep=["reviewer", "session", "seq"])
 

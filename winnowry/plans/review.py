@@ -80,10 +80,10 @@ SELECT d.reviewer, d.session, d.seq, d.sample_id, text AS model_input, bool_or(l
 FROM decided d JOIN model m USING (sample_id) JOIN documents USING (doc_id) WHERE valid GROUP BY ALL""")
 def apply_review_decisions(spark, sf):
     samples = table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("sample_id"), F.col("text").alias("content"), F.col("source").alias("url")
+        "doc_id", F.col("doc_id").cast("string").alias("sample_id"), F.col("text").alias("content"), F.col("source").alias("url")
     )
     log = rv.undo_last(decision_log(spark, sf))
-    done = rv.apply_review_decisions(samples, model_annotations(spark, sf), log, "doc_id")
+    done = rv.apply_review_decisions(samples, model_annotations(spark, sf), log, "doc_id", "doc_id")
     label = lambda c, t, n: an.task_label(F.col(c), t).alias(n)
     return done.select(
         "reviewer", "session", "seq", "sample_id", "model_input", label("task_annotations", LOW, "low_label"),

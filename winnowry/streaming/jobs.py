@@ -1,9 +1,9 @@
 """Incremental ingest, scoring and counting."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 
-from ..operators.dedup import anti_existing, dedup_key, dedup_new
+from ..operators.dedup import dedup_key, dedup_new
 from ..operators.labeling import label_stats
 
 
@@ -13,25 +13,28 @@ def dedup_within(stream: DataFrame, time: str, delay: str) -> DataFrame:
     return timed.withWatermark("_time", delay).dropDuplicatesWithinWatermark(["_key"]).drop("_time", "_key")
 
 
-def stored_records(spark, path: str, schema) -> DataFrame:
+def stored_records(spark, store: str, schema) -> DataFrame:
+    """What the store holds; nothing if it does not exist yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(store)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
 def ingest_exact(stream: DataFrame, store: str, checkpoint: str, order: str):
     """Append records whose key is in no earlier record: each batch is reduced to its first record per key
-    and anti-joined with the stored table.
+    and anti-joined with the stored keys.
 
-    A batch writes its own folder, so a batch that is run again replaces what it wrote before.
+    The store keeps a digest of every key in a column of its own, so a batch reads that narrow column and not
+    the stored texts. A batch writes its own folder: if it runs again, it replaces what it wrote before.
     """
-    stored = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    digest = "dedup_digest"
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        others = stored_records(spark, store, stored).filter(F.col("batch") != batch_id).select(*batch.columns)
-        new = anti_existing(dedup_new(batch, order), others)
+        keys = stored_records(batch.sparkSession, store, f"{digest} string, batch int")
+        earlier = keys.filter(F.col("batch") != batch_id).select(digest).distinct()
+        first = dedup_new(batch, order)
+        new = first.withColumn(digest, F.sha1(dedup_key(first))).join(earlier, digest, "left_anti")
         new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return (
