@@ -66,3 +66,15 @@ def test_progress_of_nothing(spark):
     none = spark.createDataFrame([], "sample_id string")
     row = rv.review_progress(none, none).first()
     assert (row["total"], row["percent"]) == (0, 100.0)
+
+
+def test_repeated_log_rows_and_sample_ids(spark):
+    low, ai = fv.TASK_IDS
+    predictions = spark.createDataFrame([], "sample_id string, n int, predicted_task_annotations map<string,struct<label:boolean,status:string,reason:string,annotator:string,source:string,confidence:double>>")
+    log = [("r", "s", 1, "a", t, "y", 1) for t in (low, ai, low)]
+    decisions = spark.createDataFrame(
+        log, "reviewer string, session string, seq bigint, sample_id string, task_id string, choice string, reason_no int"
+    )
+    samples = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "sample_id string, n int, content string")
+    rows = rv.apply_review_decisions(samples, predictions, decisions, "n", "n").collect()
+    assert len(rows) == 1 and rows[0]["text"] == "new" and set(rows[0]["task_annotations"]) == {low, ai}

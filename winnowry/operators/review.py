@@ -67,10 +67,13 @@ def apply_review_decisions(
     Sample ids may repeat; the last sample of an id counts, so that no review is joined to many samples.
     """
     decided = decide_annotations(decisions, predictions, prediction_order).filter("valid")
-    # A group is one review of one sample, so its list has one entry per task.
-    entry = F.struct("task_id", "annotation")
-    per_sample = decided.groupBy("reviewer", "session", "seq", "sample_id").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("task_annotations")
+    # One value per task, so a decision that was logged twice does no harm and nothing is collected.
+    of_task = [F.max(F.when(F.col("task_id") == t, F.col("annotation"))).alias(t) for t in fv.TASK_IDS]
+    entries = F.array(*[F.struct(F.lit(t).alias("key"), F.col(t).alias("value")) for t in fv.TASK_IDS])
+    per_sample = (
+        decided.groupBy("reviewer", "session", "seq", "sample_id").agg(*of_task)
+        .withColumn("task_annotations", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+        .drop(*fv.TASK_IDS)
     )
     unlabeled = latest_by_key(samples, "sample_id", sample_order).drop("task_annotations", "predicted_task_annotations")
     joined = per_sample.join(unlabeled, "sample_id")
