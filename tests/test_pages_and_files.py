@@ -65,6 +65,20 @@ def test_links_and_frontier(spark):
     assert [r["link_id"] for r in pg.build_link_frontier(links, cap=1).collect()] == ["7"]
 
 
+def test_link_quoting(spark):
+    page = "<a href='/question/1'>one</a><A class=x HREF=/question/2>two</A><a data-x href = \"/question/3\">three</a>"
+    links = pg.extract_links(pages(spark, ("u", page)))
+    assert sorted((r["link_id"], r["title"]) for r in links.collect()) == [("1", "one"), ("2", "two"), ("3", "three")]
+
+
+def test_blank_lines_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "blank.jsonl")
+    with open(path, "w") as f:
+        f.write('{"a": 1}\n\n   \n{"a": 2}\n')
+    assert jsonl.read_jsonl(spark, path, "a int").count() == 2
+    assert sorted(r["a"] for r in jsonl.read_jsonl(spark, path, "a int").collect()) == [1, 2]
+
+
 def test_strict_and_tolerant_reading(spark, tmp_path):
     path = str(tmp_path / "in.jsonl")
     with open(path, "w") as f:

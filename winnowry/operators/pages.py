@@ -125,11 +125,13 @@ def extract_links(
 
     Repeats are dropped inside the page's own array after sorting it by (id, position): no shuffle.
     """
-    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a\s*>"), 0)
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*href\s*=[^>]*>.*?</a\s*>"), 0)
+    quoted = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    address = lambda a: F.concat(*[F.regexp_extract(a, quoted, i) for i in (1, 2, 3)])
     link = F.transform(
         anchors,
         lambda a, i: F.struct(
-            F.regexp_extract(F.regexp_extract(a, r'(?is)href="([^"]*)"', 1), pattern, 1).alias("link_id"),
+            F.regexp_extract(address(a), pattern, 1).alias("link_id"),
             i.alias("position"),
             a.alias("anchor"),
         ),
