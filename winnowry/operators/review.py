@@ -116,11 +116,12 @@ def undo_last(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     session = ["reviewer", "session"]
     piece = [*session, "_chunk"]
     undo = F.col("choice") == "undo"
-    inside = Window.partitionBy(*piece).orderBy("seq", "task_id") if "task_id" in log.columns else (
-        Window.partitionBy(*piece).orderBy("seq")
-    )
+    order = [c for c in ("seq", "task_id") if c in log.columns]
+    inside = Window.partitionBy(*piece).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = inside.rowsBetween(0, Window.unboundedFollowing)
+    # A frame that ends at the last row is evaluated anew for every row; in reverse order it only grows.
+    backwards = Window.partitionBy(*piece).orderBy(*[F.desc(c) for c in order])
+    from_here = backwards.rowsBetween(Window.unboundedPreceding, 0)
     repeated = F.lag("seq").over(inside).eqNullSafe(F.col("seq"))
 
     rows = (
@@ -133,7 +134,7 @@ def undo_last(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
     across = Window.partitionBy(*session).orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*session).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     floor = F.coalesce(F.min(F.col("_start") + F.col("_dig")).over(earlier), F.lit(0))
     chunks = (
         rows.groupBy(*piece)
