@@ -186,7 +186,7 @@ o{depth} AS (SELECT *, budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED
 f{depth} AS (SELECT *, cap::HUGEINT * ws <= w::HUGEINT * rest AS filled FROM o{depth}),
 p{depth} AS (SELECT *, max(CASE WHEN NOT filled THEN rest END) OVER ({by}) AS pool,
                     max(CASE WHEN NOT filled THEN ws END) OVER ({by}) AS over_w FROM f{depth}),
-b{depth} AS (SELECT {own}, CASE WHEN filled THEN cap ELSE (w::HUGEINT * pool) // over_w END AS budget FROM p{depth})"""
+b{depth} AS (SELECT {own}, CASE WHEN filled THEN cap ELSE (w::HUGEINT * pool) // over_w END::BIGINT AS budget FROM p{depth})"""
 
 
 def sql(source: str = "documents", max_epochs: int = MAX_EPOCHS, share_sql: str = "1.0", seed: int = SEED) -> str:
