@@ -113,6 +113,8 @@ class _State:
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids (0 to LIMIT - 1) as bytes."""
+    if not blocks:
+        return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n, longest = len(blocks), max((len(b) for b in blocks), default=0)
     s = _State(n)
@@ -171,6 +173,8 @@ def _renewals(longest: int) -> list[int]:
 
 def decode(codes: list[bytes]) -> list[np.ndarray]:
     """The blocks back; raises if a header or checksum is wrong."""
+    if not codes:
+        return []
     heads = [struct.unpack_from(_HEADER, c) for c in codes]
     if any(h[0] != _MAGIC for h in heads):
         raise ValueError("not a token block")

@@ -148,7 +148,8 @@ def score(addresses: DataFrame, gains: DataFrame) -> DataFrame:
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The score at and above which an address is allowed: highest mean of both classes' shares judged right."""
+    """The score at and above which an address is allowed: highest mean of both classes' shares judged right,
+    in the middle of the scores that do equally well."""
     edges = scored.agg(F.min("score").alias("a"), F.max("score").alias("b")).first()
     if edges["a"] is None or edges["a"] == edges["b"]:
         return 0.0 if edges["a"] is None else edges["a"]
@@ -160,20 +161,20 @@ def calibrate(scored: DataFrame) -> float:
     blocks, allows = sum(c[0] for c in counts), sum(c[1] for c in counts)
     if not blocks or not allows:
         return edges["a"]
-    best, below = (-1.0, edges["a"]), [0, 0]
-    for i, c in enumerate(counts):
-        right = below[0] / blocks + (allows - below[1]) / allows
-        if right > best[0]:
-            best = (right, edges["a"] + i * width)
+    rights, below = [], [0, 0]
+    for c in counts:
+        rights.append(below[0] / blocks + (allows - below[1]) / allows)
         below = [below[0] + c[0], below[1] + c[1]]
-    return best[1]
+    first = last = rights.index(max(rights))
+    while last + 1 < SCORE_BINS and rights[last + 1] == rights[first]:
+        last += 1
+    return edges["a"] + (first + last) / 2 * width
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """The rows with host, path, rule, verdict and score (null where a rule decides)."""
     host, path = parts(F.col(url))
-    keys = pages.select(F.col(url).alias("_url")).distinct()
-    keys = keys.select("_url", *[c.alias(n) for c, n in zip(parts(F.col("_url")), ("host", "path"), strict=True)])
+    keys = pages.select(host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     known = materialize(
         keys.groupBy("host", "path").count().select(
