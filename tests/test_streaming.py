@@ -56,3 +56,17 @@ def test_posts_are_scored_once(spark, tmp_path):
     assert run() == [1]
     put(source, "b.json", [(1, "u", "x"), (2, "u", "x")])
     assert run() == [1, 2]
+
+
+def test_streams_share_a_store(spark, tmp_path):
+    """Another stream, with a checkpoint of its own, adds to the store and overwrites nothing."""
+    store = str(tmp_path / "store")
+
+    def run(day, rows):
+        put(str(tmp_path / day), "a.json", rows)
+        stream = spark.readStream.schema(SCHEMA).json(str(tmp_path / day))
+        jobs.ingest_exact(stream, store, str(tmp_path / f"state-{day}"), "n").awaitTermination()
+        return sorted(r["n"] for r in jobs.stored_records(spark, store, SCHEMA).collect())
+
+    assert run("one", [(1, "u", "x"), (2, "v", "x")]) == [1, 2]
+    assert run("two", [(3, "w", "x"), (4, "u", "x")]) == [1, 2, 3]

@@ -131,7 +131,7 @@ def _markup(node):
     while stack:
         n = stack.pop()
         if isinstance(n, str):
-            parts.append(n)
+            parts.append(n.replace("<", "&lt;"))
         else:
             attrs = "".join(f' {k}="{v}"' for k, v in n.attrs.items())
             parts.append(f"<{n.tag}{attrs}>")
@@ -166,14 +166,15 @@ def find_regions(
 
     ``page`` and ``fields`` name lists of selectors; the result holds the first match of every selector, in
     selector order. ``items`` are the elements that match any ``scope`` selector, in document order and
-    without repeats; with ``element`` each also carries its own text and markup as ``self``.
+    without repeats; with ``element`` each also carries its own text and markup as ``self``. A page without a
+    body element is its own body. A null page has no regions; one that cannot be parsed has none either and
+    says why in ``error``.
     """
     page, scope, fields = page or {}, scope or [], fields or {}
     shape = lambda names: ",".join(f"{n}:array<{FIELD}>" for n in names)
     item = ",".join(filter(None, [f"self:{ELEMENT}" if element else "", shape(fields)]))
-    schema = f"struct<page:struct<{shape(page)}>,items:array<struct<{item}>>>" if scope else (
-        f"struct<page:struct<{shape(page)}>>"
-    )
+    items = f"items:array<struct<{item}>>," if scope else ""
+    schema = f"struct<page:struct<{shape(page)}>,{items}error:string>"
     scope_steps = [_compile(s) for s in scope]
     compiled = lambda named: {name: [_compile(s) for s in selectors] for name, selectors in named.items()}
     page_steps, field_steps = compiled(page), compiled(fields)
@@ -194,14 +195,24 @@ def find_regions(
         tree.feed(text)
         tree.close()
         out = {"page": firsts(tree.root, page_steps)}
+        if page.get("body") == ["body"] and out["page"]["body"] == [None]:
+            out["page"]["body"] = [_field(tree.root)]
         if scope_steps:
             nodes = [n for n in tree.root.walk() if any(_matches(n, s) for s in scope_steps)]
             out["items"] = [({"self": _element(n)} if element else {}) | firsts(n, field_steps) for n in nodes]
         return out
 
+    def safe(text):
+        try:
+            return one(text)
+        except Exception as e:
+            return {"error": str(e) or type(e).__name__}
+
     @F.pandas_udf(schema)
     def regions(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) if t is not None else {} for t in s], columns=["page", "items"][: 1 + bool(scope)])
+        names = ["page", *(["items"] if scope else []), "error"]
+        rows = [dict.fromkeys(names) | (safe(t) if t is not None else {}) for t in s]
+        return pd.DataFrame({n: pd.Series([r[n] for r in rows], index=s.index, dtype=object) for n in names})
 
     # Not repeatable as far as the plan is concerned: a later filter must not have pages parsed twice.
     return regions.asNondeterministic()(html)

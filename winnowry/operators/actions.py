@@ -1,13 +1,14 @@
 """From posts and detections to actions, driven by three configuration tables.
 
-The configuration tables are joined without hints: Spark measures them and sends them to every task only
-if they are small.
+The configuration tables are sent to every task, behind a check of their size, so that posts and detections
+are not shuffled on the few values of a detector, platform or effect.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fv, schemas
 from ..functions.detectors import action_label, blur_strength
+from ..session import send_if_small
 
 
 def default_settings(spark) -> dict[str, DataFrame]:
@@ -31,7 +32,7 @@ def over_threshold(detections: DataFrame, detectors: DataFrame) -> DataFrame:
     """Detections of enabled detectors that flag and reach their detector's threshold."""
     limits = detectors.filter("enabled").select(F.col("id").alias("detector_id"), "threshold")
     return (
-        detections.join(limits, "detector_id")
+        detections.join(send_if_small(limits), "detector_id")
         .filter(F.col("should_filter") & (F.col("confidence") >= F.col("threshold")))
         .drop("threshold")
     )
@@ -40,7 +41,7 @@ def over_threshold(detections: DataFrame, detectors: DataFrame) -> DataFrame:
 def configured_detectors(posts: DataFrame, platforms: DataFrame) -> DataFrame:
     """Posts of enabled platforms with their platform's detectors and effects."""
     enabled = platforms.filter("enabled").select(F.col("id").alias("platform"), "detectors", "effects")
-    return posts.join(enabled, "platform")
+    return posts.join(send_if_small(enabled), "platform")
 
 
 def skip_scored(posts: DataFrame, results: DataFrame, platforms: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def decide_actions(
     return (
         flagged.withColumn("effect_id", F.explode("effects"))
         .filter(F.col("effect_id").isin(runnable_effects))
-        .join(effects, "effect_id")
+        .join(send_if_small(effects), "effect_id")
         .select(
             "post_id", "platform", "detector_id", "confidence", "effect_id",
             F.when(F.col("effect_id") == "blur", blur_strength(F.col("options"))).alias("strength"),

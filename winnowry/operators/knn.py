@@ -18,12 +18,12 @@ DIGITS = 9
 def default_examples(spark) -> DataFrame:
     """The default example base as labeled examples."""
     rows = [
-        (text, category, None, {fv.LOW_QUALITY: (low is not None, low or ""), fv.AI_GENERATED: (ai is not None, ai or "")})
-        for text, category, low, ai in fv.EXAMPLES
+        (text, category, None, {fv.LOW_QUALITY: (low is not None, low or ""), fv.AI_GENERATED: (ai is not None, ai or "")}, i)
+        for i, (text, category, low, ai) in enumerate(fv.EXAMPLES)
     ]
     from .. import schemas
 
-    return spark.createDataFrame(rows, schemas.EXAMPLES).withColumn("ordinal", F.monotonically_increasing_id())
+    return spark.createDataFrame(rows, schemas.EXAMPLES + ", ordinal bigint")
 
 
 def normalize_example_annotations(df: DataFrame) -> DataFrame:
@@ -73,8 +73,9 @@ def _nearest(q, base, k, rows=1024):
 
 
 def collect_base(base: DataFrame, columns: list[str], limit: int = SMALL_BASE_ROWS):
-    """A base of at most ``limit`` rows as a local table in id order; None if it is larger."""
-    rows = base.select(*columns).limit(limit + 1).toPandas()
+    """A base of at most ``limit`` rows as a local table in id order; None if it is larger. Rows without an
+    embedding can't be near anything and are left out."""
+    rows = base.filter(F.col("embedding").isNotNull()).select(*columns).limit(limit + 1).toPandas()
     return None if len(rows) > limit else rows.sort_values("id", ignore_index=True)
 
 
@@ -137,7 +138,13 @@ def knn_join_cells(
     (triangle inequality). Cells are cut into blocks of bounded size on both sides, so a crowded cell is
     many tasks, and each block pair returns at most k rows per query.
     """
+    queries, base = (df.filter(F.col("embedding").isNotNull()) for df in (queries, base))
+    id_type = base.schema["id"].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType.simpleString()
     total = base.count()
+    if not total:
+        empty = f"query_id {query_type}, neighbor_rank int, id {id_type}, distance double"
+        return base.sparkSession.createDataFrame([], empty)
     if n_pivots is None:
         n_pivots = max(1, min(512, int(math.sqrt(total)), total // max(k, 1) or 1))
     pivots = np.array(
@@ -194,12 +201,12 @@ def knn_join_cells(
         .withColumn("block", F.pmod(F.xxhash64("id"), n_blocks(F.col("cell"))).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), (n_parts(F.col("cell")) - 1).cast("bigint"))))
     )
-    id_type = base.schema["id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
 
     def search(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(bs):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            # Of the declared types, whatever they are: a slice of the side that has them.
+            none = pd.Series(dtype=object)
+            return pd.DataFrame({"query_id": none, "id": none, "distance": pd.Series(dtype=float)})
         bs = bs.sort_values("id", ignore_index=True)
         order, d = _nearest(
             np.stack(qs["q"].to_numpy()).astype(float), np.stack(bs["embedding"].to_numpy()).astype(float), k

@@ -13,8 +13,9 @@ REPLY = "struct<reply:string,error:string>"
 def model_replies(prompt: Column, predict_fn) -> Column:
     """Replies of ``predict_fn(prompts: pandas.Series) -> sequence of str``, in Arrow batches.
 
-    The model counts as nondeterministic, so a plan asks it once per row. If a batch fails it is tried again row by row, so that an error stays with its own row. Rows with a
-    null prompt never reach the model.
+    The model counts as nondeterministic, so a plan asks it once per row. A batch that fails is halved until
+    the bad rows are alone, so an error stays with its own row at the cost of a few more calls. A wrong number
+    of replies ends the job. Rows with a null prompt never reach the model.
     """
 
     @F.pandas_udf(REPLY)
@@ -22,14 +23,20 @@ def model_replies(prompt: Column, predict_fn) -> Column:
         replies = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
         errors = replies.copy()
         asked = prompts[prompts.notna()]
-        try:
-            replies[asked.index] = list(predict_fn(asked)) if len(asked) else []
-        except Exception:
-            for i in asked.index:
-                try:
-                    replies[i] = list(predict_fn(asked.loc[[i]]))[0]
-                except Exception as e:
-                    errors[i] = str(e)
+        open_ = [asked] if len(asked) else []
+        while open_:
+            part = open_.pop()
+            try:
+                found = list(predict_fn(part))
+            except Exception as e:
+                if len(part) == 1:
+                    errors[part.index[0]] = str(e)
+                else:
+                    open_ += [part.iloc[: len(part) // 2], part.iloc[len(part) // 2 :]]
+                continue
+            if len(found) != len(part):
+                raise ValueError(f"{len(part)} prompts got {len(found)} replies")
+            replies[part.index] = found
         return pd.DataFrame({"reply": replies, "error": errors})
 
     return call.asNondeterministic()(prompt)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, send_if_small
 
 LEVEL_BITS = 12
 KEY_BITS = 60
@@ -23,9 +23,16 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def _extreme_per_key(df, keys, order, pick):
-    """One row per key. Every map task sends at most one row per key, so a hot key stays cheap."""
+    """One row per key. Every map task sends at most one row per key, so a hot key stays cheap.
+
+    Rows without an order come last, for the last row first; among equal orders the row's digest decides, so
+    the choice does not depend on partitions.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(pick(F.struct(*rest), F.col(order)).alias("_row"))
+    known = F.col(order).isNull() if pick is F.min_by else F.col(order).isNotNull()
+    content = [F.to_json(c) if "map<" in df.schema[c].dataType.simpleString() else F.col(c) for c in rest]
+    place = F.struct(known, F.col(order), F.xxhash64(*content))
+    best = df.groupBy(*keys).agg(pick(F.struct(*rest), place).alias("_row"))
     return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
@@ -192,7 +199,7 @@ def with_row_index(df: DataFrame, keys: list[Column], name: str = "row_index") -
         start += count
     starts = df.sparkSession.createDataFrame(offsets, "_part int, _start bigint")
     return (
-        stored.join(starts, "_part")
+        stored.join(send_if_small(starts, 1_000_000), "_part")
         .withColumn(name, F.col("_start") + F.col("_pos"))
         .drop("_part", "_pos", "_start")
     )

@@ -106,14 +106,14 @@ def is_detail_page(url: Column) -> Column:
 
 
 def extract_detail_text(pages: DataFrame, detail_only: bool = True, selectors=None) -> DataFrame:
-    """The first content region of more than 50 characters, else the whole body."""
+    """The first content region of more than 50 characters, else the whole body; null for a page that is null or broken."""
     chosen = fv.DETAIL_REGIONS if selectors is None else selectors
     regions = find_regions(F.col("html"), {"region": chosen, "body": ["body"]})
     wanted = pages.filter(is_detail_page(F.col("url"))) if detail_only else pages
     texts = F.transform(F.col("p.region"), lambda r: tx.page_space(r["visible"]))
     body = tx.page_space(_first(F.col("p.body"))["visible"])
     return wanted.select("page_id", "url", regions["page"].alias("p")).select(
-        "page_id", "url", F.coalesce(first_long_enough(texts, 51), body).alias("text")
+        "page_id", "url", F.when(F.col("p").isNotNull(), F.coalesce(first_long_enough(texts, 51), body)).alias("text")
     )
 
 
@@ -153,12 +153,12 @@ def extract_links(
     )
 
 
-def build_link_frontier(links: DataFrame, cap: int = fv.LINK_CAP, seed=42) -> DataFrame:
-    """Links of all pages, the first title per id, at most ``cap`` ids by first sight, in seeded order."""
+def build_link_frontier(links: DataFrame, cap: int | None = None, seed=42) -> DataFrame:
+    """Links of all pages, the first title per id, in seeded order; with ``cap`` that many ids by first sight."""
     seen = links.withColumn("_seen", F.struct("page_id", "position"))
+    firsts = first_per_key(seen, ["link_id"], "_seen")
     return (
-        first_per_key(seen, ["link_id"], "_seen")
-        .orderBy("_seen", "link_id").limit(cap)
+        (firsts if cap is None else firsts.orderBy("_seen", "link_id").limit(cap))
         .orderBy(hash_key(seed, F.col("link_id")), "link_id")
         .select("link_id", "url", "title")
     )

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as fv
-from ..functions.annotations import annotation, can_accept_prediction, task_entry
+from ..functions.annotations import annotation, can_accept_prediction
 from .dedup import latest_by_key
 
 CHUNK = 65536
@@ -17,35 +17,30 @@ def attach_predictions(samples: DataFrame, predictions: DataFrame, order: str) -
     return samples.join(latest, "sample_id", "left")
 
 
-def _reason_of(task_id: Column, number: Column) -> Column:
+def _reason_of(task_id: Column, number: Column, tasks) -> Column:
     """Reason option by its number, counted from 1. Number 0 and unknown numbers give no reason."""
     found = F.lit("")
-    for task in fv.TASKS:
+    for task in tasks:
         options = F.array(*[F.lit(r) for r in task["reason_options"]])
         named = F.when(number.between(1, len(task["reason_options"])), F.try_element_at(options, number))
         found = F.when(task_id == task["task_id"], F.coalesce(named, F.lit(""))).otherwise(found)
     return found
 
 
-def decide_annotations(decisions: DataFrame, predictions: DataFrame, order: str) -> DataFrame:
+def decide_annotations(decisions: DataFrame, predictions: DataFrame, order: str, tasks=fv.TASKS) -> DataFrame:
     """Every decision with its annotation and whether it is valid.
 
     a: accept the prediction (only if it has a label); y, n: own label; s: no label.
     """
     d = attach_predictions(decisions, predictions, order)
-    predicted = F.lit(None)
-    for t in fv.TASK_IDS:
-        predicted = F.when(
-            F.col("task_id") == t, task_entry(F.col("predicted_task_annotations"), t)
-        ).otherwise(predicted)
-    d = d.withColumn("_predicted", predicted)
+    d = d.withColumn("_predicted", F.try_element_at("predicted_task_annotations", F.col("task_id")))
     choice, entry = F.col("choice"), F.col("_predicted")
     accept = choice == "a"
     # A refused acceptance has no label either way, so the label needs no second test.
     label = F.when(accept, entry["label"]).when(choice == "y", True).when(choice == "n", False)
     reason = (
         F.when(accept, F.coalesce(entry["reason"], F.lit("")))
-        .when(choice == "y", _reason_of(F.col("task_id"), F.col("reason_no")))
+        .when(choice == "y", _reason_of(F.col("task_id"), F.col("reason_no"), tasks))
         .otherwise(F.lit(""))
     )
     source = F.when(accept, F.lit("human_reviewed_auto")).otherwise(F.lit("human"))
@@ -60,20 +55,22 @@ def decide_annotations(decisions: DataFrame, predictions: DataFrame, order: str)
 
 
 def apply_review_decisions(
-    samples: DataFrame, predictions: DataFrame, decisions: DataFrame, sample_order: str, prediction_order: str
+    samples: DataFrame, predictions: DataFrame, decisions: DataFrame, sample_order: str, prediction_order: str,
+    tasks=fv.TASKS,
 ) -> DataFrame:
-    """Reviewed samples: one record per reviewed sample, its tasks' valid decisions as a map.
+    """Reviewed samples: one record per reviewed sample, its tasks' valid decisions as a map, of any task id.
+    Of several decisions of one task in a ``seq`` the last counts; ``tasks`` names the reason options.
 
     Sample ids may repeat; the last sample of an id counts, so that no review is joined to many samples.
     """
-    decided = decide_annotations(decisions, predictions, prediction_order).filter("valid")
-    # One value per task, so a decision that was logged twice does no harm and nothing is collected.
-    of_task = [F.max(F.when(F.col("task_id") == t, F.col("annotation"))).alias(t) for t in fv.TASK_IDS]
-    entries = F.array(*[F.struct(F.lit(t).alias("key"), F.col(t).alias("value")) for t in fv.TASK_IDS])
+    decided = decide_annotations(decisions, predictions, prediction_order, tasks).filter("valid")
+    # One value per task, so a decision that was logged twice does no harm and a list has a row per task.
+    at = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(None).cast("timestamp")
+    last = F.max_by("annotation", F.struct(at.isNotNull(), at, F.xxhash64("choice", "reason_no")))
+    group = ["reviewer", "session", "seq", "sample_id"]
     per_sample = (
-        decided.groupBy("reviewer", "session", "seq", "sample_id").agg(*of_task)
-        .withColumn("task_annotations", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
-        .drop(*fv.TASK_IDS)
+        decided.filter("task_id is not null").groupBy(*group, "task_id").agg(last.alias("annotation"))
+        .groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("task_id", "annotation"))).alias("task_annotations"))
     )
     unlabeled = latest_by_key(samples, "sample_id", sample_order).drop("task_annotations", "predicted_task_annotations")
     joined = per_sample.join(unlabeled, "sample_id")

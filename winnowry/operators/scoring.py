@@ -8,7 +8,7 @@ from ..functions.embedding import embed_text
 from ..functions.prompts import build_service_prompt
 from ..functions.replies import parse_service_results
 from ..session import materialize
-from .knn import collect_base, default_examples, example_rows, knn_join_cells, nearest_examples
+from .knn import SMALL_BASE_ROWS, collect_base, default_examples, example_rows, knn_join_cells, nearest_examples
 from .labeling import model_replies
 from .stages import pinned
 
@@ -55,18 +55,19 @@ def with_example_response(
 def classify(
     df: DataFrame, examples: DataFrame | None = None, example_order: str = "ordinal", predict_fn=None,
     threshold: float = fv.MODEL_CONFIDENCE, embed=embed_text, k: int = fv.NEIGHBORS,
-    keywords=None, by_platform=None, ai_keywords=None, id_col: str | None = None,
+    keywords=None, by_platform=None, ai_keywords=None, id_col: str | None = None, small: int = SMALL_BASE_ROWS,
 ) -> DataFrame:
     """Adds the response columns to score requests (text, platform, task_ids).
 
-    With a base that travels with the job: one pass without a shuffle. The model is asked once per row. Rows it is sure about hand a null on to
+    A base of at most ``small`` rows travels with the job: one pass without a shuffle. A larger one is searched
+    by cells, with the same results. The model is asked once per row. Rows it is sure about hand a null on to
     the embedder and the example search, which skip nulls, so those steps cost only what is needed.
     """
     base = example_rows(
         default_examples(df.sparkSession) if examples is None else examples, example_order, embed
     )
     fields = ["id", "text", *fv.TASK_IDS, "embedding"]
-    local = collect_base(base, fields)
+    local = collect_base(base, fields, small)
     scored, always = pinned(_with_model(df, predict_fn, threshold))
     vector = embed(F.when(F.col("_model").isNull() & always, F.col("text")))
     if local is not None:
@@ -74,27 +75,27 @@ def classify(
         scored = scored.withColumn("_embedding", vector)
         scored = scored.withColumn("_neighbors", nearest_examples(F.col("_embedding"), local, payload, k))
     else:
-        if id_col is None:
-            raise ValueError("an example base of this size needs id_col, a unique id of the requests")
         scored = _neighbors_from_cells(scored, vector, base, id_col, k)
     scored = with_example_response(scored, "_neighbors", "_fallback", keywords, by_platform, ai_keywords)
     return scored.withColumn("_response", F.coalesce("_model", "_fallback")).select(*df.columns, "_response.*")
 
 
-def _neighbors_from_cells(scored: DataFrame, vector: Column, base: DataFrame, id_col: str, k: int) -> DataFrame:
-    """Neighbors from a base that is too large to travel. Model results are stored first, as they are used twice."""
-    stored = materialize(scored, "scored")
-    asked = stored.filter(F.col("_model").isNull()).select(F.col(id_col).alias("query_id"), vector.alias("embedding"))
+def _neighbors_from_cells(scored: DataFrame, vector: Column, base: DataFrame, id_col: str | None, k: int) -> DataFrame:
+    """Neighbors from a base that is too large to travel. Model results and the vectors are stored first, under
+    ``id_col`` or an id of their own, as they are used twice; so is the base with its vectors."""
+    numbered = scored.withColumns({"_ask": F.col(id_col) if id_col else F.monotonically_increasing_id(), "_embedding": vector})
+    stored, base = materialize(numbered, "scored"), materialize(base, "example-base")
+    asked = stored.filter(F.col("_embedding").isNotNull()).select(F.col("_ask").alias("query_id"), F.col("_embedding").alias("embedding"))
     found = knn_join_cells(asked, base.select("id", "embedding"), k)
     # A list has at most k entries.
     entry = F.struct("neighbor_rank", "id", "distance", "text", *fv.TASK_IDS)
     lists = (
         found.join(base.drop("embedding", "category"), "id")
         .groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_neighbors"))
-        .withColumnRenamed("query_id", id_col)
+        .withColumnRenamed("query_id", "_ask")
     )
     neighbors = F.transform("_neighbors", lambda n: F.struct(*[n[c].alias(c) for c in ("id", "distance", "text", *fv.TASK_IDS)]))
-    return stored.join(lists.withColumn("_neighbors", neighbors), id_col, "left")
+    return stored.join(lists.withColumn("_neighbors", neighbors), "_ask", "left")
 
 
 def _with_model(df: DataFrame, predict_fn, threshold: float) -> DataFrame:

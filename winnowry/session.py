@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores="*", shuffle_partitions=8, memory="12g"):
@@ -22,15 +22,27 @@ def local_session(cores="*", shuffle_partitions=8, memory="12g"):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (a single machine, as in tests) is a temporary folder used.
+    Only where that setting is absent on a single machine, as in tests, is a temporary folder used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="winnowry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def send_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A settings-like table, sent to all tasks if it has at most ``rows`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession

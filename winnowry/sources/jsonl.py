@@ -1,6 +1,8 @@
 """JSON-lines readers and writers."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .. import schemas
 from ..operators.knn import default_examples, example_rows
@@ -27,11 +29,16 @@ def read_jsonl_with_rejects(spark: SparkSession, path: str, schema: str) -> tupl
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """Labeled examples from JSON arrays. A path that cannot be read gives no examples."""
+    """Labeled examples from JSON arrays. A path that does not exist or a broken file gives no examples."""
     try:
-        return spark.read.schema(schemas.EXAMPLES).option("multiLine", True).json(path)
-    except Exception:
+        files = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schemas.EXAMPLES)
+    # A file is one array; a broken one is null and gives no rows.
+    found = F.from_json("value", ArrayType(StructType.fromDDL(schemas.EXAMPLES)))
+    return files.select(F.inline(found))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

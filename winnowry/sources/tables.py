@@ -7,21 +7,10 @@ from ..functions.annotations import annotation
 from ..functions.text import truncate_legacy
 
 
-FEW_SPLITS = 4
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row. A file of very few splits is dealt out to all cores first;
-    anything larger is read as it lies."""
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(FEW_SPLITS, cores // 2) else df
-
-
 def answers_from_documents(documents: DataFrame) -> DataFrame:
     """Documents as raw answers: the first line is the question, the source the author."""
     return documents.select(

@@ -1,10 +1,12 @@
 """Incremental ingest, scoring and counting."""
 
-from pyspark.errors import AnalysisException
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.dedup import dedup_key, dedup_new
 from ..operators.labeling import label_stats
+from ..session import path_exists
 
 
 def dedup_within(stream: DataFrame, time: str, delay: str) -> DataFrame:
@@ -15,10 +17,7 @@ def dedup_within(stream: DataFrame, time: str, delay: str) -> DataFrame:
 
 def stored_records(spark, store: str, schema) -> DataFrame:
     """What the store holds; nothing if it does not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(store)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(store) if path_exists(spark, store) else spark.createDataFrame([], schema)
 
 
 def ingest_exact(stream: DataFrame, store: str, checkpoint: str, order: str):
@@ -26,16 +25,18 @@ def ingest_exact(stream: DataFrame, store: str, checkpoint: str, order: str):
     and anti-joined with the stored keys.
 
     The store keeps a digest of every key in a column of its own, so a batch reads that narrow column and not
-    the stored texts. A batch writes its own folder: if it runs again, it replaces what it wrote before.
+    the stored texts. A batch of a stream (told by its checkpoint) writes its own folder: if it runs again, it
+    replaces what it wrote before, and nothing of another stream or batch.
     """
     digest = "dedup_digest"
+    own = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        keys = stored_records(batch.sparkSession, store, f"{digest} string, batch int")
-        earlier = keys.filter(F.col("batch") != batch_id).select(digest).distinct()
+        keys = stored_records(batch.sparkSession, store, f"{digest} string, stream string, batch int")
+        earlier = keys.filter(~((F.col("stream") == f"s{own}") & (F.col("batch") == batch_id))).select(digest)
         first = dedup_new(batch, order)
         new = first.withColumn(digest, F.sha1(dedup_key(first))).join(earlier, digest, "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{store}/stream=s{own}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
@@ -51,11 +52,14 @@ def ingest_append(stream: DataFrame, store: str, checkpoint: str, fmt: str = "pa
     )
 
 
-def stream_score(posts: DataFrame, score, key: str = "post_id", time: str | None = None, delay: str = "1 day") -> DataFrame:
+def stream_score(posts: DataFrame, score, key: str = "post_id", time: str | None = None, delay: str | None = None) -> DataFrame:
     """Score each unseen post once: repeats out, then any stateless ``score(DataFrame) -> DataFrame``.
 
-    With an event time the state is bounded by ``delay``; without one every key is kept.
+    With an event time the state is bounded by ``delay``, which must be given: later records are dropped.
+    Without one every key is kept.
     """
+    if (time is None) != (delay is None):
+        raise ValueError("an event time and its delay come together")
     if time is None:
         fresh = posts.dropDuplicates([key])
     else:
