@@ -103,8 +103,15 @@ def exact_matches(documents: DataFrame, starts: DataFrame, phrases: DataFrame, k
     held = materialize(held, "phrase-candidates")
     rows = documents.select(F.col(key).alias("_k"), F.xxhash64(whole(F.col(text))).alias("_h"), F.col(text).alias("_t"))
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
-    texts = rows.join(bounded(held), same).withColumn("_w", words_of(F.col("_t")))
-    right = F.filter("maybe", lambda c: F.slice("_w", c["start"] + 1, F.size(c["words"])) == c["words"])
+    # Only ids are sent to all tasks; the candidates meet the few texts that have some.
+    ids = materialize(held.select("_key", "_hash"), "phrase-documents")
+    few = rows.join(bounded(ids.select(F.col("_key").alias("_k1"), F.col("_hash").alias("_h1"))), F.col("_k").eqNullSafe(F.col("_k1")) & (F.col("_h") == F.col("_h1")), "left_semi")
+    texts = few.join(held, same)
+    # The one-element array has the words split once for a text, not once for each candidate.
+    right = F.transform(
+        F.array(words_of(F.col("_t"))),
+        lambda w: F.filter("maybe", lambda c: F.slice(w, c["start"] + 1, F.size(c["words"])) == c["words"]),
+    )[0]
     hits = F.transform(right, lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["words"])).alias("end"), c["items"].alias("items")))
     return texts.select("_key", "_hash", F.array_sort(hits).alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["_key", "_hash"])
 
