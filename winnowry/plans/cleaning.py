@@ -139,7 +139,7 @@ def drop_short(spark, sf):
 @query("purge_invalid", f"""WITH {RAW} SELECT doc_id, question FROM raw
 WHERE length(answer_full) >= 10 AND question <> '' AND NOT regexp_matches(answer_full, '系统监测|验证按钮')""")
 def purge_invalid(spark, sf):
-    return cl.purge_invalid(raw_answers(spark, sf, False)).select("doc_id", "question")
+    return cl.purge_invalid(raw_answers(spark, sf)).select("doc_id", "question")
 
 
 # ---- records -------------------------------------------------------------------------------
@@ -149,7 +149,7 @@ BY_SOURCE = f"{RAW}, keyed AS (SELECT doc_id, author || '|' || substring(answer_
 
 def by_source(spark, sf):
     """Answers whose address is their source, so that copies within a source repeat a key."""
-    return raw_answers(spark, sf, False).withColumn("url", F.col("author"))
+    return raw_answers(spark, sf).withColumn("url", F.col("author"))
 
 
 @query("dedup_key", f"WITH {BY_SOURCE} SELECT doc_id, key FROM keyed")
@@ -163,7 +163,7 @@ BY_TEXT = f"{RAW}, keyed AS (SELECT doc_id, '|' || substring(answer_full, 1, 100
 
 def by_text(spark, sf):
     """Answers without an address, so that every copy repeats a key."""
-    return raw_answers(spark, sf, False).withColumn("url", F.lit(""))
+    return raw_answers(spark, sf).withColumn("url", F.lit(""))
 
 
 @query("dedup_first", f"""WITH {BY_TEXT}
