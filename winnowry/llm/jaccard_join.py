@@ -242,6 +242,21 @@ def full_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "a bigint, b bigint")
 
 
+def joined_labels(documents: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """The labels (c, label) after the pairs that are links have joined components, stored."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    sets = materialize(full_sets(documents, classes, wanted, key, text), "jaccard-sets").dropDuplicates(["c"])
+    links = materialize(full_overlaps(pairs, sets), "jaccard-links")
+    up = labels.select(F.col("c").alias("a"), F.col("label").alias("la"))
+    to = labels.select(F.col("c").alias("b"), F.col("label").alias("lb"))
+    merged = components(links.join(up, "a").join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return materialize(
+        labels.join(merged.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left")
+        .select("c", F.coalesce("new", "label").alias("label")),
+        "jaccard-labels",
+    )
+
+
 def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_key, _hash, n, least) for every document: the size of its set and the smallest id in its component."""
     rows = heads(documents, key, text)
@@ -254,17 +269,9 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
         marked = open_.join(labels, "c")
         pairs = materialize(band_pairs(marked, low, high), "jaccard-pairs")
         pairs = materialize(head_bound(pairs, classes.select("c", "n", "head")), "jaccard-cells")
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-        sets = materialize(full_sets(documents, classes, wanted, key, text), "jaccard-sets").dropDuplicates(["c"])
-        links = materialize(full_overlaps(pairs, sets), "jaccard-links")
-        up = labels.select(F.col("c").alias("a"), F.col("label").alias("la"))
-        to = labels.select(F.col("c").alias("b"), F.col("label").alias("lb"))
-        merged = components(links.join(up, "a").join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        labels = materialize(
-            labels.join(merged.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left")
-            .select("c", F.coalesce("new", "label").alias("label")),
-            "jaccard-labels",
-        )
+        # Without cells that can be links there is nothing to read again.
+        if not pairs.isEmpty():
+            labels = joined_labels(documents, classes, pairs, labels, key, text)
         low, high = high, high * BANDS
         # A column with all entries within reach of each other, or all connected, is done.
         left = open_.filter(F.col("m") > low + 1)
