@@ -91,3 +91,22 @@ def test_pipeline(spark, docs, tmp_path):
     assert 0 < after.count() <= before.count() and after.subtract(before).count() == 0
     before, after = frames["token_id_output"]
     assert shown(after) == plain([(r["doc_id"], r["text"]) for r in before.orderBy("doc_id").collect()])
+
+
+def test_long_documents_span_blocks(spark, tmp_path):
+    """Documents of many blocks come back whole, between short ones and at the end."""
+    texts = {1: "one two", 2: "alpha beta 12 " * 9000, 3: None, 4: "x", 5: "gamma, delta. " * 7000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    path = str(tmp_path / "long")
+    token_files.write_blocks(df.repartition(2), path, "doc_id")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.tokenizer_path())
+    want = {k: t.encode(v or "", add_special_tokens=False).ids + [2] for k, v in texts.items()}
+    got = {r["key"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.read_blocks(spark, path).collect()}
+    assert got == want and max(map(len, want.values())) > 2 * token_files.BLOCK_IDS
+    start = 0
+    for r in token_files.summary(spark, path).orderBy("key").collect():
+        assert (r["start"], r["n_tokens"]) == (start, len(want[r["key"]]))
+        start += r["n_tokens"]
+    assert spark.read.parquet(path).filter("begin is not null").count() > 4

@@ -6,7 +6,8 @@ id, or the last two, when they were seen before, more the more often they were r
 ids not seen, which follow as 16 plain bits. A range coder turns the tables into bytes and everything adapts.
 
 Blocks are coded independently from a fresh state, many side by side: one NumPy step codes the next id of
-every block. A block is a header (magic, number of ids, CRC-32 of the ids) and the code; reading checks both.
+every block. Working arrays hold STEPS ids of the blocks that are that long, so one very long block beside many
+short ones costs its own ids only. A block is a header (magic, number of ids, CRC-32 of the ids) and the code; reading checks both.
 """
 
 import struct
@@ -16,6 +17,7 @@ import numpy as np
 
 LIMIT = 1 << 16
 BLOCK_IDS = 8192
+STEPS = 1024
 _RENEWALS = (256, 1024, 4096)
 _ORDER1, _ORDER2 = 11, 12
 _TRUST = np.array([0, 64, 256, 768, 1536, 3072, 6144, 8192], np.int64)
@@ -30,33 +32,46 @@ def _escape(history: int) -> int:
     return 64 + history // 8
 
 
+def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b for 0 <= a < 2 ** 48 and b > 0: floating division is faster, and one too many is taken back."""
+    q = (a / b).astype(np.int64)
+    return q - (q * b > a)
+
+
+def _steps(lanes: list[np.ndarray], a: int, b: int, width: int) -> np.ndarray:
+    """Ids a to b of the first ``width`` lanes [step, lane]; 0 behind the end of a lane."""
+    out = np.zeros((width, b - a), np.int64)
+    for lane in range(width):
+        part = lanes[lane][a:b]
+        out[lane, : len(part)] = part
+    return out.T.copy()
+
+
 class _Counts:
-    """Order 0 of many blocks: their first ``t`` ids, sorted, with the run that each place belongs to."""
+    """Order 0 of many blocks: their first ``t`` ids, sorted [block, place], with the run that each place belongs to."""
 
     def __init__(self, ids: np.ndarray):
         self.total = t = len(ids)
-        self.sorted = np.sort(ids, axis=0)
-        place = np.arange(t, dtype=np.int32)[:, None]
+        self.sorted = np.sort(ids.T.astype(np.uint16), axis=1, kind="stable")
+        place = np.arange(t, dtype=np.int32)[None, :]
         new = np.ones(self.sorted.shape, bool)
-        new[1:] = self.sorted[1:] != self.sorted[:-1]
-        self.start = np.maximum.accumulate(np.where(new, place, 0), axis=0)
+        new[:, 1:] = self.sorted[:, 1:] != self.sorted[:, :-1]
+        self.start = np.maximum.accumulate(np.where(new, place, np.int32(0)), axis=1)
         last = np.ones_like(new)
-        last[:-1] = new[1:]
-        self.end = np.minimum.accumulate(np.where(last, place + 1, t)[::-1], axis=0)[::-1]
+        last[:, :-1] = new[:, 1:]
+        self.end = np.minimum.accumulate(np.where(last, place + np.int32(1), np.int32(t))[:, ::-1], axis=1)[:, ::-1]
+        self.keys = None
 
     def find(self, ids: np.ndarray):
         """Start and size of the runs of ids [step, block]; size 0 where an id was not seen."""
-        n = self.sorted.shape[1]
-        lane = np.arange(n, dtype=np.int64)[:, None] << 17
-        keys = (lane + self.sorted.T).ravel()
-        asked = (lane[: ids.shape[1]] + ids.T).ravel()
-        at = np.searchsorted(keys, asked)
-        at = np.minimum(at, len(keys) - 1)
-        seen = keys[at] == asked
-        row, col = at % self.total, at // self.total
-        start = self.start[row, col]
-        size = np.where(seen, self.end[row, col] - start, 0)
-        return (x.reshape(ids.shape[1], -1).T.copy() for x in (start.astype(np.int64), size.astype(np.int64)))
+        lane = np.arange(len(self.sorted), dtype=np.int64)[:, None] << 17
+        if self.keys is None:
+            self.keys, self.end = (lane + self.sorted).ravel(), np.ascontiguousarray(self.end)
+        asked = lane[: ids.shape[1]] + ids.T
+        at = np.minimum(np.searchsorted(self.keys, asked.ravel()), len(self.keys) - 1).reshape(asked.shape)
+        start = self.start.ravel()[at]
+        size = np.where(self.keys[at] == asked, self.end.ravel()[at] - start, 0)
+        return start.T.astype(np.int64), size.T.astype(np.int64)
 
 
 class _State:
@@ -111,18 +126,31 @@ class _State:
             width[act] = r << 16
 
 
+def _pieces(longest: int):
+    """(renewal, from, to): runs of at most STEPS places between renewals."""
+    bounds = [0, *_renewals(longest), longest]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        for t in range(a, b, STEPS):
+            yield a, t, min(t + STEPS, b)
+
+
+def _renewals(longest: int) -> list[int]:
+    made, t = [x for x in _RENEWALS if x < longest], _RENEWALS[-1] * 4
+    while t < min(longest, 40_000):
+        made.append(t)
+        t *= 4
+    return made
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids (0 to LIMIT - 1) as bytes."""
     if not blocks:
         return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    n, longest = len(blocks), max((len(b) for b in blocks), default=0)
+    n, own = len(blocks), [blocks[i] for i in order]
+    lengths = np.array([len(b) for b in own])
     s = _State(n)
-    ids = np.zeros((longest, n), np.int64)
-    for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    lengths = np.array([len(blocks[i]) for i in order])
-    out, used = np.zeros((n, longest + 64), "<u2"), np.zeros(n, np.int64)
+    made, out, used = [[] for _ in range(n)], None, np.zeros(n, np.int64)
 
     def write(lanes):
         nonlocal out
@@ -131,19 +159,21 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         out[lanes, used[lanes]] = s.low[lanes] >> 32
         used[lanes] += 1
 
-    bounds = [0, *[t for t in _renewals(longest)], longest]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        width = int((lengths > a).sum())
+    for a, begin, stop in _pieces(int(lengths[0])):
+        if a and begin == a:
+            counts = _Counts(_steps(own, 0, a, int((lengths > a).sum())))
+        width = int((lengths > begin).sum())
+        ids, out = _steps(own, begin, stop, width), np.zeros((width, stop - begin + 64), "<u2")
         if a:
-            first, count = _Counts(ids[:a, :width]).find(ids[a:b, :width])
+            first, count = counts.find(ids)
         esc = _escape(a)
-        for t in range(a, b):
-            live = int(np.searchsorted(-lengths, -t))
+        for t in range(stop - begin):
+            live = int(np.searchsorted(-lengths, -(begin + t)))
             x, lanes = ids[t, :live], slice(0, live)
             g1, g2, w1, w2 = s.look(live)
             total = w1 + w2 + (esc + a)
-            r = s.range[:live] // total
-            start, size = (first[t - a, :live] + esc, count[t - a, :live]) if a else (np.zeros(live, np.int64), np.zeros(live, np.int64))
+            r = _divide(s.range[:live], total)
+            start, size = (first[t, :live] + esc, count[t, :live]) if a else (np.zeros(live, np.int64), np.zeros(live, np.int64))
             hit1, hit2 = (g1 == x) & (w1 > 0), (g2 == x) & (w2 > 0)
             start, size = np.where(hit1, esc + a, start), np.where(hit1, w1, size)
             start, size = np.where(hit2, esc + a + w1, start), np.where(hit2, w2, size)
@@ -153,22 +183,15 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             if len(new):
                 s.take(new, s.range[new] >> 16, x[new], np.ones(len(new), np.int64), write)
             s.learn(live, x)
-    for _ in range(3):
-        write(s.lane)
-        s.low = (s.low << 16) & _WORD
-    made = [b""] * n
+        for lane in range(width):
+            made[lane].append(out[lane, : used[lane]].tobytes())
+        used[:width] = 0
+    tails = np.stack([(s.low >> shift) & 0xFFFF for shift in (32, 16, 0)], 1).astype("<u2")
+    codes = [b""] * n
     for lane, i in enumerate(order):
-        data = blocks[i].astype("<u4").tobytes()
-        made[i] = struct.pack(_HEADER, _MAGIC, len(blocks[i]), zlib.crc32(data)) + out[lane, : used[lane]].tobytes()
-    return made
-
-
-def _renewals(longest: int) -> list[int]:
-    made, t = [x for x in _RENEWALS if x < longest], _RENEWALS[-1] * 4
-    while t < min(longest, 40_000):
-        made.append(t)
-        t *= 4
-    return made
+        data = own[lane].astype("<u4").tobytes()
+        codes[i] = b"".join([struct.pack(_HEADER, _MAGIC, len(own[lane]), zlib.crc32(data)), *made[lane], tails[lane].tobytes()])
+    return codes
 
 
 def decode(codes: list[bytes]) -> list[np.ndarray]:
@@ -179,59 +202,59 @@ def decode(codes: list[bytes]) -> list[np.ndarray]:
     if any(h[0] != _MAGIC for h in heads):
         raise ValueError("not a token block")
     order = sorted(range(len(codes)), key=lambda i: -heads[i][1])
-    n, longest = len(codes), max((h[1] for h in heads), default=0)
+    n, lengths = len(codes), np.array([heads[i][1] for i in order])
     s = _State(n)
-    size_ = max((len(c) for c in codes), default=0) // 2 + 4
-    data, at = np.zeros((n, size_), np.int64), np.full(n, 3)
-    for lane, i in enumerate(order):
-        body = np.frombuffer(codes[i], "<u2", offset=_HEADER_BYTES)
-        data[lane, : len(body)] = body
-    code = (data[:, 0] << 32) | (data[:, 1] << 16) | data[:, 2]
-    lengths = np.array([heads[i][1] for i in order])
-    out = np.zeros((longest, n), np.int64)
+    # All codes in a row, zeros between them.
+    bodies = [np.frombuffer(codes[i], "<u2", offset=_HEADER_BYTES) for i in order]
+    gap = np.zeros(4, "<u2")
+    data = np.concatenate([x for body in bodies for x in (body, gap)]).astype(np.uint16)
+    ends = np.cumsum([len(body) + len(gap) for body in bodies])
+    at, last = np.append(0, ends[:-1]), ends - 1
+    code = np.zeros(n, np.int64)
 
     def read(lanes):
-        code[lanes] = ((code[lanes] << 16) & _WORD) | data[lanes, np.minimum(at[lanes], size_ - 1)]
+        code[lanes] = ((code[lanes] << 16) & _WORD) | data[np.minimum(at[lanes], last[lanes])]
         at[lanes] += 1
 
-    bounds = [0, *_renewals_of(lengths), longest]
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        width = int((lengths > a).sum())
-        if a:
-            counts = _Counts(out[:a, :width])
+    for _ in range(3):
+        read(s.lane)
+    made = [np.empty(size, np.uint32) for size in lengths]
+    for a, begin, stop in _pieces(int(lengths[0])):
+        if a and begin == a:
+            counts = _Counts(_steps(made, 0, a, int((lengths > a).sum())))
+        width = int((lengths > begin).sum())
+        out = np.zeros((stop - begin, width), np.int64)
         esc = _escape(a)
-        for t in range(a, b):
-            live = int(np.searchsorted(-lengths, -t))
-            lanes, lane = slice(0, live), s.lane[:live]
+        for t in range(stop - begin):
+            live = int(np.searchsorted(-lengths, -(begin + t)))
+            lanes = slice(0, live)
             g1, g2, w1, w2 = s.look(live)
             total = w1 + w2 + (esc + a)
-            r = s.range[:live] // total
-            value = np.minimum(((code[:live] - s.low[:live]) & _WORD) // r, total - 1)
+            r = _divide(s.range[:live], total)
+            value = np.minimum(_divide((code[:live] - s.low[:live]) & _WORD, r), total - 1)
             hit2, hit1 = value >= esc + a + w1, value >= esc + a
             x, start, size = np.zeros(live, np.int64), np.zeros(live, np.int64), np.full(live, esc)
             if a:
                 old = np.flatnonzero((value >= esc) & ~hit1)
                 row = value[old] - esc
-                first = counts.start[row, old]
-                x[old], start[old], size[old] = counts.sorted[row, old], first + esc, counts.end[row, old] - first
+                first = counts.start[old, row]
+                x[old], start[old], size[old] = counts.sorted[old, row], first + esc, counts.end[old, row] - first
             x, start, size = np.where(hit1, g1, x), np.where(hit1, esc + a, start), np.where(hit1, w1, size)
             x, start, size = np.where(hit2, g2, x), np.where(hit2, esc + a + w1, start), np.where(hit2, w2, size)
             s.take(lanes, r, start, size, read)
             new = np.flatnonzero(value < esc)
             if len(new):
                 r = s.range[new] >> 16
-                x[new] = np.minimum(((code[new] - s.low[new]) & _WORD) // r, LIMIT - 1)
+                x[new] = np.minimum(_divide((code[new] - s.low[new]) & _WORD, r), LIMIT - 1)
                 s.take(new, r, x[new], np.ones(len(new), np.int64), read)
             s.learn(live, x)
             out[t, :live] = x
+        for lane, ids in enumerate(out.T):
+            part = made[lane][begin:stop]
+            part[:] = ids[: len(part)]
     blocks = [None] * n
     for lane, i in enumerate(order):
-        ids = out[: lengths[lane], lane].astype(np.uint32)
-        if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][2]:
+        if zlib.crc32(made[lane].astype("<u4").tobytes()) != heads[i][2]:
             raise ValueError("a token block fails its checksum")
-        blocks[i] = ids
+        blocks[i] = made[lane]
     return blocks
-
-
-def _renewals_of(lengths: np.ndarray) -> list[int]:
-    return _renewals(int(lengths.max()) if len(lengths) else 0)

@@ -1,9 +1,10 @@
 """Token-id output: texts to ids, ids to coded blocks in files, and back.
 
 Documents are put in order of their ids, encoded with a tokenizer, closed with an end id and packed into
-blocks of about ``BLOCK_IDS`` ids (a longer document is a block of its own), which the context-mixing range
-coder writes. A row of the file holds one block: the part of the order it belongs to, the ids before it in
-that part, the documents in it with their lengths, and the coded bytes with their checksum.
+blocks of at most ``BLOCK_IDS`` ids (a longer document is cut into blocks of its own), which the context-mixing
+range coder writes. A row of the file holds one block: the part of the order it belongs to, the ids before it in
+that part, where the document begins that it is a piece of (else null), the documents in it with their lengths,
+and the coded bytes with their checksum.
 
 A null or empty text is its end id alone. Rows with equal ids follow each other in the order of their text
 digests; null ids come first. An empty table gives an empty file and no rows. Other columns are not stored.
@@ -75,7 +76,7 @@ def _encoder(path: str) -> ChunkEncoder:
 def _schema(key: T.StructField) -> T.StructType:
     return T.StructType(
         [T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("before", T.LongType()),
-         T.StructField("keys", T.ArrayType(key.dataType)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("code", T.BinaryType())]
+         T.StructField("begin", T.LongType()), T.StructField("keys", T.ArrayType(key.dataType)), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("code", T.BinaryType())]
     )
 
 
@@ -90,26 +91,27 @@ def write_blocks(documents: DataFrame, path: str, key: str, text: str = "text",
     def make(batches):
         coder = _encoder(where)
         part = TaskContext.get().partitionId()
-        blocks, keys, lengths, at, number = [], [], [], 0, 0
+        blocks, keys, lengths, begins, at, number, placed = [], [], [], [], 0, 0, 0
         own, own_keys, own_lengths, size = [], [], [], 0
 
-        def close():
+        def close(begin=None):
             nonlocal own, own_keys, own_lengths, size
+            begins.append(begin)
             blocks.append(np.frombuffer(b"".join(own), "<u4"))
             keys.append(own_keys)
             lengths.append(own_lengths)
             own, own_keys, own_lengths, size = [], [], [], 0
 
         def flush():
-            nonlocal at, number, blocks, keys, lengths
+            nonlocal at, number, blocks, keys, lengths, begins
             sizes = [len(b) for b in blocks]
             before = (at + np.cumsum([0] + sizes))[:-1]
             batch = pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(blocks), pa.int32()), pa.array(range(number, number + len(blocks)), pa.int32()), pa.array(before, pa.int64()),
-                 pa.array(keys, pa.list_(kind)), pa.array(lengths, pa.list_(pa.int32())), pa.array(encode(blocks), pa.binary())], names=schema.names
+                 pa.array(begins, pa.int64()), pa.array(keys, pa.list_(kind)), pa.array(lengths, pa.list_(pa.int32())), pa.array(encode(blocks), pa.binary())], names=schema.names
             )
             at, number = at + sum(sizes), number + len(blocks)
-            blocks, keys, lengths = [], [], []
+            blocks, keys, lengths, begins = [], [], [], []
             return batch
 
         for batch in batches:
@@ -118,14 +120,20 @@ def write_blocks(documents: DataFrame, path: str, key: str, text: str = "text",
             for i in range(0, len(column), 256):
                 coded = coder.ids(column.slice(i, 256).to_pylist())
                 for k, ids in zip(batch.column("k").slice(i, 256).to_pylist(), coded, strict=True):
-                    if size and size + len(ids) // 4 + 1 > BLOCK_IDS:
+                    n = len(ids) // 4 + 1
+                    if size and size + n > BLOCK_IDS:
                         close()
-                    own += [ids, end]
-                    own_keys.append(k)
-                    own_lengths.append(len(ids) // 4 + 1)
-                    size += own_lengths[-1]
-                    if len(blocks) == LANES:
-                        yield flush()
+                    ids += end
+                    for first in range(0, n, BLOCK_IDS):
+                        own.append(ids[4 * first : 4 * (first + BLOCK_IDS)])
+                        own_keys.append(k)
+                        own_lengths.append(len(own[-1]) // 4)
+                        size += own_lengths[-1]
+                        if n > BLOCK_IDS:
+                            close(placed)
+                        if len(blocks) >= LANES:
+                            yield flush()
+                    placed += n
         if size:
             close()
         if blocks:
@@ -139,8 +147,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     key = rows.schema["keys"].dataType.elementType
     schema = T.StructType(
-        [T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("key", key),
-         T.StructField("ids", T.BinaryType())]
+        [T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("begin", T.LongType()),
+         T.StructField("key", key), T.StructField("ids", T.BinaryType())]
     )
 
     def restore(batches):
@@ -149,21 +157,27 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
             for i in range(0, len(batch), LANES):
                 some = batch.slice(i, LANES)
                 blocks = decode(some.column("code").to_pylist())
-                part, before, keys, ids = [], [], [], []
-                columns = (some.column(c).to_pylist() for c in ("part", "before", "keys", "lengths"))
-                for p, b, ks, ls, block in zip(*columns, blocks, strict=True):
+                part, before, begin, keys, ids = [], [], [], [], []
+                columns = (some.column(c).to_pylist() for c in ("part", "before", "begin", "keys", "lengths"))
+                for p, b, g, ks, ls, block in zip(*columns, blocks, strict=True):
                     at = 0
                     for k, n in zip(ks, ls, strict=True):
                         part.append(p)
                         before.append(b + at)
+                        begin.append(g)
                         keys.append(k)
                         ids.append(block[at : at + n].astype("<u4").tobytes())
                         at += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), pa.array(before, pa.int64()), pa.array(keys, kind), pa.array(ids, pa.binary())], names=schema.names
+                    [pa.array(part, pa.int32()), pa.array(before, pa.int64()), pa.array(begin, pa.int64()), pa.array(keys, kind), pa.array(ids, pa.binary())], names=schema.names
                 )
 
-    return rows.mapInArrow(restore, schema)
+    short = rows.filter("begin is null").mapInArrow(restore, schema).select("part", "before", "key", "ids")
+    # Each block is restored once; only the pieces of long documents meet by a shuffle.
+    pieces = rows.filter("begin is not null").mapInArrow(restore, schema)
+    long = pieces.groupBy("part", "begin").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("before", "ids"))).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return short.unionByName(long.select("part", F.col("begin").alias("before"), "key", joined.alias("ids")))
 
 
 def part_starts(spark: SparkSession, path: str) -> DataFrame:
