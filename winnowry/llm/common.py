@@ -12,6 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def few_tasks(df: DataFrame, rows: int, a_task: int = 50_000) -> DataFrame:
+    """A table of about ``rows`` rows in no more tasks than they need, at least one for each core.
+
+    For tables that may be far smaller than the number of shuffle partitions; a large one keeps that number.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // a_task)))
+
+
 def whole(text: Column) -> Column:
     """A text; null counts as empty."""
     return F.coalesce(text, F.lit(""))

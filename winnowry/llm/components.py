@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .common import few_tasks
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -14,25 +15,26 @@ def _mark(edges: DataFrame):
     return r["n"], r["s"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, label) for all nodes of edges (a, b) of longs: the label is the lowest node reachable.
 
     Each step sends, for every node, at most one value per task for its lowest neighbor; hubs are no groups
-    that one task must hold. Edges are stored after each step.
+    that one task must hold. Edges are stored after each step. ``rows``: their number, about, where it is known.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    e = materialize(e, "component-edges")
+    e = materialize(e if rows is None else few_tasks(e, rows), "component-edges")
     mark = _mark(e)
     while mark[0]:
         # Large star: neighbors above a node go to the lowest node next to it.
+        few = lambda df, n=2 * mark[0]: few_tasks(df, n)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _lowest(both).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        large = materialize(large, "component-large")
+        low = few(_lowest(few(both)).withColumn("m", F.least("m", "u")))
+        large = few(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v"))
+        large = materialize(few(large.distinct()), "component-large")
         # Small star: a node and its neighbors below go to the lowest of them.
-        low = _lowest(large)
-        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        e = materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "component-small")
+        low = few(_lowest(large))
+        moved = few(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v"))
+        e = materialize(few(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()), "component-small")
         last, mark = mark, _mark(e)
         if mark == last:
             break

@@ -4,7 +4,8 @@ Rows of the matrix are the distinct shingle sets, columns are shingles. A link n
 two linked rows share a column in the *head* block of each: all but the last 80 % of its columns, in one
 order of columns for all rows. The product over the head blocks gives the cells that can be links; overlap
 is then counted over both heads, cells whose count plus what their tails could add stays below the bound
-that their sizes set are discarded, and the rest get their full overlap counts.
+that their sizes set are discarded, and the rest get their full overlap counts. Each row also has 64 parity
+bits of its whole set; two rows differ in at least as many shingles as bits, and the sizes set how many may.
 
 Common columns come last in the order, by counts over all rows in a table of fixed size (the order decides
 the work only, never the result). A column that many rows share is not multiplied out: its entries, sorted
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..session import materialize
-from .common import whole
+from .common import few_tasks, whole
 from .components import components
 from .positional_index import bounded
 from .shingles import distinct_shingles
@@ -33,6 +34,8 @@ from .shingles import distinct_shingles
 PERCENT = 80
 BUCKETS = 1 << 18
 BANDS = 8
+# Rows with a list of shingles that one task gets, where a table is small.
+LISTS_A_TASK = 5_000
 
 
 def needed(a, b):
@@ -44,6 +47,11 @@ def head_size(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def parity(items: np.ndarray) -> int:
+    """64 bits, each turned by every item of its share; n differences between two sets turn at most n bits."""
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (items >> np.uint64(58)))) if len(items) else 0
+
+
 def _sets(batch: pa.RecordBatch, column: str):
     return distinct_shingles(v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist())
 
@@ -72,22 +80,23 @@ def column_levels(documents: DataFrame, text: str) -> np.ndarray:
 
 
 def heads(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(_key, _hash, n, set_id, head) for every document, stored."""
+    """(_key, _hash, n, set_id, bits, head) for every document, stored."""
     spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("_key"), F.xxhash64(whole(F.col(text))).alias("_hash"), F.col(text).alias("_text"))
     levels = spark.sparkContext.broadcast(column_levels(rows, "_text"))
     schema = T.StructType(
         [T.StructField("_key", documents.schema[key].dataType), T.StructField("_hash", T.LongType()), T.StructField("n", T.LongType()),
-         T.StructField("set_id", T.StringType()), T.StructField("head", T.ArrayType(T.LongType()))]
+         T.StructField("set_id", T.StringType()), T.StructField("bits", T.LongType()), T.StructField("head", T.ArrayType(T.LongType()))]
     )
 
     def make(batches):
         level = levels.value
         for batch in batches:
-            sizes, ids, first, ends = [], [], [], [0]
+            sizes, ids, bits, first, ends = [], [], [], [], [0]
             for s in _sets(batch, "_text"):
                 sizes.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
+                bits.append(parity(s))
                 part = s[:0]
                 if len(s):
                     rank = level[(s % np.uint64(BUCKETS)).astype(np.int64)]
@@ -96,16 +105,17 @@ def heads(documents: DataFrame, key: str, text: str) -> DataFrame:
                 ends.append(ends[-1] + len(part))
             lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), lists], names=schema.names
+                [batch.column("_key"), batch.column("_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(np.array(bits, np.uint64).view(np.int64)), lists],
+                names=schema.names,
             )
 
     return materialize(rows.mapInArrow(make, schema), "jaccard-heads")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """(set_id, c, n, head, one, least): the distinct sets, numbered, each with one document that has it."""
+    """(set_id, c, n, bits, head, one, least): the distinct sets, numbered, each with one document that has it."""
     some = rows.filter("n > 0").groupBy("set_id").agg(
-        F.first("n").cast("int").alias("n"), F.first("head").alias("head"), F.min(F.struct("_key", "_hash")).alias("one"), F.min("_key").alias("least")
+        F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"), F.first("head").alias("head"), F.min(F.struct("_key", "_hash")).alias("one"), F.min("_key").alias("least")
     )
     return materialize(some.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
 
@@ -135,7 +145,7 @@ def _runs(batches, names, reach):
 
 def shared_entries(classes: DataFrame) -> DataFrame:
     """The entries of the head blocks in columns that ``m`` >= 2 rows share, stored."""
-    entries = classes.select("c", "n", F.posexplode("head").alias("pos", "col")).select("col", "c", "n", "pos")
+    entries = classes.select("c", "n", "bits", F.posexplode("head").alias("pos", "col")).select("col", "c", "n", "bits", "pos")
     counted = entries.withColumn("m", F.count("*").over(W.partitionBy("col")))
     return materialize(counted.filter("m > 1"), "jaccard-entries")
 
@@ -143,12 +153,12 @@ def shared_entries(classes: DataFrame) -> DataFrame:
 def band_pairs(entries: DataFrame, low: int, high: int) -> DataFrame:
     """(a, b) of rows not connected yet that share a column, between ``low`` + 1 and ``high`` places apart in it;
     with ``low`` 0 also each row with the first of its column. ``a`` is not larger than ``b``."""
-    names = ("col", "c", "n", "pos", "label")
+    names = ("col", "c", "n", "bits", "pos", "label")
 
     def pairs(batches):
         lead = None
         for e, rank, fresh in _runs(batches, names, high):
-            n, c, label = e["n"].astype(np.int64), e["c"], e["label"]
+            n, c, label, bits = e["n"].astype(np.int64), e["c"], e["label"], e["bits"].view(np.uint64)
             found = []
 
             def add(a, b):
@@ -156,7 +166,8 @@ def band_pairs(entries: DataFrame, low: int, high: int) -> DataFrame:
                 a, b = a[open_], b[open_]
                 pa_, pb = e["pos"][a].astype(np.int64), e["pos"][b].astype(np.int64)
                 most = np.minimum(pa_, pb) + np.minimum(n[a] - pa_, n[b] - pb)
-                good = np.minimum(most, n[a]) >= needed(n[a], n[b])
+                least = needed(n[a], n[b])
+                good = (np.minimum(most, n[a]) >= least) & (np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * least)
                 if good.any():
                     found.append(np.stack([c[a][good], c[b][good]], 1))
 
@@ -175,12 +186,13 @@ def band_pairs(entries: DataFrame, low: int, high: int) -> DataFrame:
                     out = np.flatnonzero((begin < 0) & (rank > high) & (np.arange(len(c)) >= fresh) & (e["col"] == lead[0]))
                     out = out[label[out] != lead[3]]
                     most = np.minimum(lead[2], n[out])
-                    out = out[most >= needed(lead[2], n[out])]
+                    least = needed(lead[2], n[out])
+                    out = out[(most >= least) & (np.bitwise_count(bits[out] ^ lead[4]) <= n[out] + lead[2] - 2 * least)]
                     if len(out):
                         found.append(np.stack([np.full(len(out), lead[1]), c[out]], 1))
                 if begin[-1] >= 0:
                     i = begin[-1]
-                    lead = (e["col"][i], c[i], int(n[i]), label[i])
+                    lead = (e["col"][i], c[i], int(n[i]), label[i], bits[i])
             if found:
                 both = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -192,7 +204,8 @@ def band_pairs(entries: DataFrame, low: int, high: int) -> DataFrame:
 def head_bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose overlap in both heads, plus what the tails could add, reaches the bound of their sizes."""
     side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    few = lambda df, n=pairs.count(): few_tasks(df, n, LISTS_A_TASK)
+    rows = few(few(pairs.join(side("a"), "a")).join(side("b"), "b"))
 
     def bound(batches):
         for batch in batches:
@@ -210,7 +223,8 @@ def head_bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """(c, items) for the wanted rows, from the text of one document each."""
-    some = materialize(classes.join(wanted, "c", "left_semi").select("c", F.col("one._key").alias("_k"), F.col("one._hash").alias("_h")), "jaccard-wanted")
+    near = few_tasks(classes.select("c", "one"), classes.count()).join(wanted, "c", "left_semi")
+    some = materialize(few_tasks(near, classes.count()).select("c", F.col("one._key").alias("_k"), F.col("one._hash").alias("_h")), "jaccard-wanted")
     rows = documents.select(F.col(key).alias("_key"), F.xxhash64(whole(F.col(text))).alias("_hash"), F.col(text).alias("_text"))
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
     met = rows.join(bounded(some), same).select("c", "_text")
@@ -227,8 +241,9 @@ def full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, key:
 
 def full_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that are links: overlap counted over both blocks."""
-    left = pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a")
-    rows = left.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    few = lambda df, n=pairs.count(): few_tasks(df, n, LISTS_A_TASK)
+    left = few(pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a"))
+    rows = few(left.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y"))
 
     def count(batches):
         for batch in batches:
@@ -244,17 +259,18 @@ def full_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def joined_labels(documents: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
     """The labels (c, label) after the pairs that are links have joined components, stored."""
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    sets = materialize(full_sets(documents, classes, wanted, key, text), "jaccard-sets").dropDuplicates(["c"])
+    some, all_ = pairs.count(), classes.count()
+    few = lambda df, n=some: few_tasks(df, n)
+    wanted = few(few(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))).distinct())
+    sets = materialize(full_sets(documents, classes, wanted, key, text), "jaccard-sets")
+    sets = few_tasks(sets.dropDuplicates(["c"]), 2 * some, LISTS_A_TASK)
     links = materialize(full_overlaps(pairs, sets), "jaccard-links")
     up = labels.select(F.col("c").alias("a"), F.col("label").alias("la"))
     to = labels.select(F.col("c").alias("b"), F.col("label").alias("lb"))
-    merged = components(links.join(up, "a").join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    return materialize(
-        labels.join(merged.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left")
-        .select("c", F.coalesce("new", "label").alias("label")),
-        "jaccard-labels",
-    )
+    joined = few(few(links.join(up, "a")).join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    merged = components(joined, some)
+    new = labels.join(merged.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left")
+    return materialize(few(new.select("c", F.coalesce("new", "label").alias("label")), all_), "jaccard-labels")
 
 
 def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,10 +280,11 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     entries = shared_entries(classes)
     labels = classes.select("c", F.col("c").alias("label"))
     low, high = 0, 1
-    open_ = entries
-    while True:
-        marked = open_.join(labels, "c")
-        pairs = materialize(band_pairs(marked, low, high), "jaccard-pairs")
+    open_, held = entries, entries.count()
+    while held:
+        few = lambda df, n=held: few_tasks(df, n)
+        marked = few(open_.join(labels, "c"))
+        pairs = materialize(few(band_pairs(marked, low, high)), "jaccard-pairs")
         pairs = materialize(head_bound(pairs, classes.select("c", "n", "head")), "jaccard-cells")
         # Without cells that can be links there is nothing to read again.
         if not pairs.isEmpty():
@@ -275,13 +292,14 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
         low, high = high, high * BANDS
         # A column with all entries within reach of each other, or all connected, is done.
         left = open_.filter(F.col("m") > low + 1)
-        mixed = left.join(labels, "c").groupBy("col").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("col")
-        open_ = materialize(left.join(mixed, "col", "left_semi"), "jaccard-open")
-        if open_.isEmpty():
-            break
-    least = classes.join(labels, "c").select("label", "set_id", "least")
-    names = least.groupBy("label").agg(F.min("least").alias("least"))
-    by_set = least.select("label", "set_id").join(names, "label").select("set_id", "least")
+        spread = few(left.join(labels, "c")).groupBy("col").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+        mixed = few(spread.filter("x <> y").select("col"))
+        open_ = materialize(few(left.join(mixed, "col", "left_semi")), "jaccard-open")
+        held = open_.count()
+    few = lambda df, n=rows.count(): few_tasks(df, n)
+    least = few(classes.join(labels, "c").select("label", "set_id", "least"))
+    names = few(least.groupBy("label").agg(F.min("least").alias("least")))
+    by_set = few(least.select("label", "set_id").join(names, "label").select("set_id", "least"))
     return rows.select("_key", "_hash", "n", "set_id").join(by_set, "set_id", "left").select(
         "_key", "_hash", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_key")).alias("least")
     )
