@@ -2,6 +2,7 @@
 
 from .common import table
 from .decision_lists import op3_decision_lists
+from .hard_negatives import op12_hard_negatives
 from .jaccard_join import op5_jaccard_join
 from .language_crf import op9_language_crf
 from .mixing import SQL as MIXING_SQL, op8_mixing
@@ -11,6 +12,8 @@ from .secret_ledger import op1_secret_ledger
 from .token_files import op10_token_files
 from .url_models import op6_url_models
 from .vector_packing import op4_vector_packing
+from .warc_records import op13_warc_records
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_secret_ledger": lambda spark, d: op1_secret_ledger(table(spark, d, "documents")),
@@ -23,5 +26,8 @@ QUERIES = {
     "op8_mixing": lambda spark, d: op8_mixing(table(spark, d, "documents")),
     "op9_language_crf": lambda spark, d: op9_language_crf(table(spark, d, "documents")),
     "op10_token_files": lambda spark, d: op10_token_files(table(spark, d, "documents")),
+    "op11_whitening": lambda spark, d: op11_whitening(table(spark, d, "embeddings")),
+    "op12_hard_negatives": lambda spark, d: op12_hard_negatives(table(spark, d, "embeddings")),
+    "op13_warc_records": lambda spark, d: op13_warc_records(table(spark, d, "pages")),
 }
 SQL = {"op8_mixing": MIXING_SQL}
