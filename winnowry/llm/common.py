@@ -20,6 +20,18 @@ def few_tasks(df: DataFrame, rows: int, a_task: int = 50_000) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // a_task)))
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` stored and nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        scratch = path(spark.conf.get("spark.checkpoint.dir", "/nowhere")).toUri().getPath()
+        for folder in map(path, {f.rpartition("/")[0] for f in df.inputFiles()}):
+            if not folder.toUri().getPath().startswith(f"{scratch.rstrip('/')}/"):
+                raise ValueError("only stored steps may be deleted")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def whole(text: Column) -> Column:
     """A text; null counts as empty."""
     return F.coalesce(text, F.lit(""))
@@ -32,7 +44,8 @@ def ascii_lower(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """The words between white space: an empty array if there are none."""
-    trimmed = F.regexp_replace(text, f"^{WORD_SPACE}|{WORD_SPACE}$", "")
+    # \\z is the very end; $ also stands before a final line end, of which Unicode has more.
+    trimmed = F.regexp_replace(text, f"^{WORD_SPACE}|{WORD_SPACE}\\z", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SPACE))
 
 

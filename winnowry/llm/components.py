@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import few_tasks
+from .common import few_tasks, forget
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         # Small star: a node and its neighbors below go to the lowest of them.
         low = few(_lowest(large))
         moved = few(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v"))
-        e = materialize(few(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()), "component-small")
+        before, e = e, materialize(few(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()), "component-small")
+        forget(before, large)
         last, mark = mark, _mark(e)
         if mark == last:
             break

@@ -1,41 +1,50 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of the matrix are the distinct shingle sets, columns are shingles. A link needs 80 % of the union, so
-two linked rows share a column in the *head* block of each: all but the last 80 % of its columns, in one
-order of columns for all rows. The product over the head blocks gives the cells that can be links; overlap
-is then counted over both heads, cells whose count plus what their tails could add stays below the bound
-that their sizes set are discarded, and the rest get their full overlap counts. Each row also has 64 parity
-bits of its whole set; two rows differ in at least as many shingles as bits, and the sizes set how many may.
-
-Common columns come last in the order, by counts over all rows in a table of fixed size (the order decides
-the work only, never the result). A column that many rows share is not multiplied out: its entries, sorted
-by size, are compared in bands of growing distance, and only across what is not connected yet. When the
-bands have covered a column, or all its rows are connected, it is done; so every link that could join two
-components is checked, and a group of n near copies costs about n comparisons.
-
-Words are runs between white space, in lower case for A-Z. A null or empty text has an empty set, no links
-and itself as component; a text of fewer than five words is one shingle. Rows of equal sets are one row of
-the matrix; rows with a null id link like others and never name a component; repeated ids with different
-texts stay apart. An empty table gives no rows. Other columns are left alone.
+Rows of the matrix are the distinct shingle sets, columns are shingles. A link needs 80 % of the union, so two
+linked rows share a column in the *head* of each: all but the last 80 % of its columns, in one order of columns for
+all rows, rare ones first. The order comes from counts over all rows in a table of bounded size; it decides the work
+only, never the result.
+
+The matrix has two blocks of columns. Columns that the counts show to be in at most ``FEW`` rows are multiplied out:
+each shared column adds 1 to the cell of every two of its rows, the cells are summed, and a cell is discarded when its
+count plus all that can follow its last shared column stays below the bound that the two sizes set. Common columns
+are not multiplied out. Their rows are dealt into blocks of at most ``BLOCK``, and blocks are compared two at a time:
+only rows of different components, and only where sizes, positions and parity bits leave a link possible. Each row
+has 256 parity bits of its whole set; two rows differ in at least as many shingles as bits.
+
+What is left gets its full overlap count. A row first tries its most promising cell, then the more, the fewer are
+left; rows that are linked become one component and their cells need no test. So all links between components are
+found, and a group of n near copies costs about n tests. The blocks of common columns first meet only themselves,
+which joins the near copies, and all others then, until nothing was left untried.
+
+Words are runs between white space, in lower case for A-Z. A null or empty text has an empty set, no links and itself
+as component; a text of fewer than five words is one shingle. Rows of equal sets are one row of the matrix; rows with
+a null id link like others and never name a component; repeated ids with different texts stay apart. An empty table
+gives no rows. Other columns are left alone. Shingles and sets are told apart by 64-bit hashes, so n_shingles and
+links are exact but for collisions: about (shingles of a text)^2 / 2^65 a text, (sets)^2 / 2^65 overall.
 """
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..session import materialize
-from .common import few_tasks, whole
+from .common import few_tasks, forget, whole
 from .components import components
 from .positional_index import bounded
 from .shingles import distinct_shingles
 
 PERCENT = 80
-BUCKETS = 1 << 18
-BANDS = 8
+FEW = 64
+BLOCK = 4096
+# Tests of a row at a time: the first, and by how much more then.
+FIRST_TESTS, MORE_TESTS = 1, 8
+# Bytes of text for each counter of columns, and the most counters (broadcast as one byte each).
+TEXT_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 25
+SLICE = 1 << 16
 # Rows with a list of shingles that one task gets, where a table is small.
 LISTS_A_TASK = 5_000
+_BITS = [f"b{i}" for i in range(4)]
 
 
 def needed(a, b):
@@ -43,188 +52,200 @@ def needed(a, b):
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
+def needed_sql(a: str, b: str) -> str:
+    return f"(({PERCENT} * ({a} + {b}) + {99 + PERCENT}) div {100 + PERCENT})"
+
+
 def head_size(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def parity(items: np.ndarray) -> int:
-    """64 bits, each turned by every item of its share; n differences between two sets turn at most n bits."""
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (items >> np.uint64(58)))) if len(items) else 0
+def parity(items: np.ndarray) -> np.ndarray:
+    """256 bits as four longs, each bit turned by every item of its share."""
+    odd = np.bincount((items >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch, column: str):
     return distinct_shingles(v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist())
 
 
-def column_levels(documents: DataFrame, text: str) -> np.ndarray:
-    """How common each of BUCKETS groups of columns is: 0 up to about the mean, then one per factor of 2."""
+def column_levels(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """How common each group of columns is, and the first level whose columns may be in more than FEW rows.
+
+    Level 0 is up to about the mean count of a group, then one for each factor of 2.
+    """
+    size = texts.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    buckets = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (size // TEXT_A_COUNTER).bit_length()))
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(buckets, np.uint32)
         for batch in batches:
             for s in _sets(batch, text):
-                np.add.at(total, (s % np.uint64(BUCKETS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
-
-    parts = documents.select(text).mapInArrow(count, "bucket int, n bigint")
-    rows = parts.groupBy("bucket").agg(F.sum("n").alias("n"))
-    # At most BUCKETS rows, whatever the input.
-    held = rows.toArrow()
-    counts = np.zeros(BUCKETS)
-    counts[held["bucket"].to_numpy()] = held["n"].to_numpy()
-    usual = max(1.0, counts.mean()) + 3 * max(1.0, counts.mean()) ** 0.5
-    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 60).astype(np.uint8)
+                np.add.at(total, (s & np.uint64(buckets - 1)).astype(np.int64), 1)
+        for i in range(0, buckets, SLICE):
+            part = total[i : i + SLICE]
+            kind = np.min_scalar_type(part.max())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i // SLICE], pa.int32()), pa.array([kind.str]), pa.array([part.astype(kind).tobytes()], pa.binary())], ["slice", "kind", "counts"]
+            )
+
+    def add(batches):
+        at, total = None, None
+        for batch in batches:
+            for number, kind, counts in zip(*(batch.column(c) for c in ("slice", "kind", "counts")), strict=True):
+                if number.as_py() != at:
+                    if at is not None:
+                        yield done(at, total)
+                    at, total = number.as_py(), np.zeros(min(SLICE, buckets), np.uint64)
+                total += np.frombuffer(counts.as_buffer(), kind.as_py())
+        if at is not None:
+            yield done(at, total)
+
+    def done(at, total):
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+
+    parts = texts.select(text).mapInArrow(count, "slice int, kind string, counts binary")
+    # At most MOST_COUNTERS numbers, whatever the input.
+    slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()
+    counts = np.zeros(buckets)
+    for r in slices:
+        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint64)
+    mean = max(1.0, counts.mean())
+    usual = mean + 3 * mean**0.5
+    levels = np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 60).astype(np.uint8)
+    # A column of a level is in at most usual * 2 ** level rows.
+    return levels, max(0, int(np.floor(np.log2(FEW / usual))) + 1) if usual <= FEW else 0
 
 
 def heads(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(_key, _hash, n, set_id, bits, head) for every document, stored."""
+    """(_key, _hash, c, n, bits, low, head) for every document, stored.
+
+    ``c`` names the set (null: empty). The first document of a set in each task has its head, whose first ``low`` columns are
+    the ones to multiply out; for copies it is null.
+    """
     spark = documents.sparkSession
     rows = documents.select(F.col(key).alias("_key"), F.xxhash64(whole(F.col(text))).alias("_hash"), F.col(text).alias("_text"))
-    levels = spark.sparkContext.broadcast(column_levels(rows, "_text"))
+    levels, common = column_levels(rows, "_text")
+    shared = spark.sparkContext.broadcast(levels)
     schema = T.StructType(
-        [T.StructField("_key", documents.schema[key].dataType), T.StructField("_hash", T.LongType()), T.StructField("n", T.LongType()),
-         T.StructField("set_id", T.StringType()), T.StructField("bits", T.LongType()), T.StructField("head", T.ArrayType(T.LongType()))]
+        [T.StructField("_key", documents.schema[key].dataType), T.StructField("_hash", T.LongType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType()),
+         *[T.StructField(b, T.LongType()) for b in _BITS], T.StructField("low", T.IntegerType()), T.StructField("head", T.ArrayType(T.LongType()))]
     )
 
     def make(batches):
-        level = levels.value
+        level, met = shared.value, set()
+        mask = np.uint64(len(level) - 1)
         for batch in batches:
-            sizes, ids, bits, first, ends = [], [], [], [], [0]
+            names, sizes, bits, lows, parts, ends, known = [], [], [], [], [], [0], []
             for s in _sets(batch, "_text"):
                 sizes.append(len(s))
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
+                names.append(hash_of(s) if len(s) else None)
+                new = len(s) > 0 and names[-1] not in met
+                known.append(not new)
+                if not new:
+                    bits.append(parity(s) if len(s) else np.zeros(4, np.int64))
+                    lows.append(0)
+                    ends.append(ends[-1])
+                    continue
+                met.add(names[-1])
                 bits.append(parity(s))
-                part = s[:0]
-                if len(s):
-                    rank = level[(s % np.uint64(BUCKETS)).astype(np.int64)]
-                    part = (s[np.argsort(rank, kind="stable")] if rank.any() else s)[: head_size(len(s))]
-                first.append(part.view(np.int64))
-                ends.append(ends[-1] + len(part))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
+                rank = level[(s & mask).astype(np.int64)]
+                size = head_size(len(s))
+                order = np.argsort(rank, kind="stable")[:size] if rank.any() else slice(size)
+                lows.append(int(np.count_nonzero(rank[order] < common)))
+                parts.append(s[order].view(np.int64))
+                ends.append(ends[-1] + size)
+            flat = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), flat, mask=pa.array(known, pa.bool_()))
+            four = np.array(bits, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_key"), batch.column("_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(np.array(bits, np.uint64).view(np.int64)), lists],
+                [batch.column("_key"), batch.column("_hash"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
+                 *[pa.array(np.ascontiguousarray(four[:, i])) for i in range(4)], pa.array(lows, pa.int32()), lists],
                 names=schema.names,
             )
 
-    return materialize(rows.mapInArrow(make, schema), "jaccard-heads")
+    return materialize(rows.mapInArrow(make, schema), "jaccard-rows")
+
+
+def hash_of(items: np.ndarray) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """(set_id, c, n, bits, head, one, least): the distinct sets, numbered, each with one document that has it."""
-    some = rows.filter("n > 0").groupBy("set_id").agg(
-        F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"), F.first("head").alias("head"), F.min(F.struct("_key", "_hash")).alias("one"), F.min("_key").alias("least")
+    """(c, n, bits, one, least): the distinct sets, each with one document that has it, stored."""
+    found = rows.filter("n > 0").groupBy("c").agg(
+        F.first("n").alias("n"), *[F.first(b).alias(b) for b in _BITS], F.min(F.struct("_key", "_hash")).alias("one"), F.min("_key").alias("least")
     )
-    return materialize(some.withColumn("c", F.monotonically_increasing_id()), "jaccard-classes")
+    return materialize(found, "jaccard-classes")
 
 
-def _runs(batches, names, reach):
-    """Arrays of sorted entries; each piece starts with the ``reach`` entries before it, ``fresh`` says from
-    where it is new, ``rank`` is an entry's place in its column, and runs are whole in the sense of a band."""
-    held, ranks = None, None
+def _columns_of(batches, names):
+    """Arrays of whole runs of ``col``, batch after batch."""
+    held = None
     for batch in batches:
         new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        if not len(new["col"]):
-            continue
-        at = 0 if held is None else len(held["col"])
         now = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in names}
         col = now["col"]
-        starts = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
-        rank = np.arange(len(col)) - np.repeat(starts, np.diff(np.append(starts, len(col))))
-        if at and ranks is not None:
-            first = starts[1] if len(starts) > 1 else len(col)
-            rank[:first] += ranks
-        yield now, rank, at
-        keep = slice(max(0, len(col) - reach), None)
-        held = {c: v[keep] for c, v in now.items()}
-        # The first kept entry's place in its column.
-        ranks = int(rank[keep][0])
-
-
-def shared_entries(classes: DataFrame) -> DataFrame:
-    """The entries of the head blocks in columns that ``m`` >= 2 rows share, stored."""
-    entries = classes.select("c", "n", "bits", F.posexplode("head").alias("pos", "col")).select("col", "c", "n", "bits", "pos")
-    counted = entries.withColumn("m", F.count("*").over(W.partitionBy("col")))
-    return materialize(counted.filter("m > 1"), "jaccard-entries")
-
-
-def band_pairs(entries: DataFrame, low: int, high: int) -> DataFrame:
-    """(a, b) of rows not connected yet that share a column, between ``low`` + 1 and ``high`` places apart in it;
-    with ``low`` 0 also each row with the first of its column. ``a`` is not larger than ``b``."""
-    names = ("col", "c", "n", "bits", "pos", "label")
-
-    def pairs(batches):
-        lead = None
-        for e, rank, fresh in _runs(batches, names, high):
-            n, c, label, bits = e["n"].astype(np.int64), e["c"], e["label"], e["bits"].view(np.uint64)
-            found = []
-
-            def add(a, b):
-                open_ = label[a] != label[b]
-                a, b = a[open_], b[open_]
-                pa_, pb = e["pos"][a].astype(np.int64), e["pos"][b].astype(np.int64)
-                most = np.minimum(pa_, pb) + np.minimum(n[a] - pa_, n[b] - pb)
-                least = needed(n[a], n[b])
-                good = (np.minimum(most, n[a]) >= least) & (np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * least)
+        if not len(col):
+            continue
+        last = int(np.searchsorted(col, col[-1]))
+        if last:
+            yield {c: v[:last] for c, v in now.items()}
+        held = {c: v[last:] for c, v in now.items()}
+    if held is not None and len(held["col"]):
+        yield held
+
+
+def product(rows: DataFrame) -> DataFrame:
+    """(a, b, na, nb, found): the cells of the product over rare columns that sizes leave open, a < b.
+
+    ``found`` columns are counted; what is behind the last of them in both rows could be shared too.
+    """
+    entries = rows.filter("low > 0").select("c", "n", F.posexplode(F.slice("head", 1, F.col("low"))).alias("pos", "col"))
+    dealt = entries.repartition("col").sortWithinPartitions("col", "c").select("col", "c", "n", "pos")
+
+    def cells(batches):
+        for e in _columns_of(batches, ("col", "c", "n", "pos")):
+            col, c = e["col"], e["c"]
+            # Copies in several tasks are one entry.
+            first = np.append(True, (col[1:] != col[:-1]) | (c[1:] != c[:-1]))
+            col, c, n, pos = (e[k][first] for k in ("col", "c", "n", "pos"))
+            starts = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
+            rank = np.arange(len(col)) - np.repeat(starts, np.diff(np.append(starts, len(col))))
+            late, k = np.flatnonzero(rank), 1
+            while len(late):
+                b, a = late, late - k
+                na, nb, pa_, pb = n[a], n[b], pos[a].astype(np.int64), pos[b].astype(np.int64)
+                good = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= needed(na, nb)
                 if good.any():
-                    found.append(np.stack([c[a][good], c[b][good]], 1))
-
-            late = np.flatnonzero(np.arange(len(c)) >= fresh)
-            for k in range(low + 1, high + 1):
+                    a, b = a[good], b[good]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[a], c[b], n[a], n[b], pos[a], pos[b])], ["a", "b", "na", "nb", "pa", "pb"])
+                k += 1
                 late = late[rank[late] >= k]
-                if not len(late):
-                    break
-                add(late - k, late)
-            if low == 0:
-                # The first of a column that began before this piece is remembered.
-                begin = np.arange(len(c)) - rank
-                inside = np.flatnonzero((begin >= 0) & (rank > high) & (np.arange(len(c)) >= fresh))
-                add(begin[inside], inside)
-                if lead is not None:
-                    out = np.flatnonzero((begin < 0) & (rank > high) & (np.arange(len(c)) >= fresh) & (e["col"] == lead[0]))
-                    out = out[label[out] != lead[3]]
-                    most = np.minimum(lead[2], n[out])
-                    least = needed(lead[2], n[out])
-                    out = out[(most >= least) & (np.bitwise_count(bits[out] ^ lead[4]) <= n[out] + lead[2] - 2 * least)]
-                    if len(out):
-                        found.append(np.stack([np.full(len(out), lead[1]), c[out]], 1))
-                if begin[-1] >= 0:
-                    i = begin[-1]
-                    lead = (e["col"][i], c[i], int(n[i]), label[i], bits[i])
-            if found:
-                both = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    dealt = entries.repartition("col").sortWithinPartitions("col", "n", "c")
-    return dealt.select(*names).mapInArrow(pairs, "a bigint, b bigint").distinct()
-
-
-def head_bound(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose overlap in both heads, plus what the tails could add, reaches the bound of their sizes."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("head").alias(f"h{x}"))
-    few = lambda df, n=pairs.count(): few_tasks(df, n, LISTS_A_TASK)
-    rows = few(few(pairs.join(side("a"), "a")).join(side("b"), "b"))
-
-    def bound(batches):
-        for batch in batches:
-            keep = []
-            sizes = (batch.column(c).to_pylist() for c in ("na", "nb"))
-            for na, nb, x, y in zip(*sizes, batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                rest = min(na - 1 - int(i.max()), nb - 1 - int(j.max())) if len(i) else min(na, nb)
-                keep.append(len(i) > 0 and len(i) + rest >= needed(na, nb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(bound, "a bigint, b bigint")
-
-
-def full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(c, items) for the wanted rows, from the text of one document each."""
-    near = few_tasks(classes.select("c", "one"), classes.count()).join(wanted, "c", "left_semi")
-    some = materialize(few_tasks(near, classes.count()).select("c", F.col("one._key").alias("_k"), F.col("one._hash").alias("_h")), "jaccard-wanted")
+
+    made = dealt.mapInArrow(cells, "a bigint, b bigint, na bigint, nb bigint, pa int, pb int")
+    summed = made.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("found"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    most = F.col("found") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    return summed.filter(most >= F.expr(needed_sql("na", "nb"))).select("a", "b", "na", "nb", "found")
+
+
+def within_parity(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """The cells whose rows do not differ in more parity bits than linked rows of their sizes may differ in shingles."""
+    side = lambda x: classes.select(F.col("c").alias(x), *[F.col(b).alias(f"{x}{b}") for b in _BITS])
+    off = sum((F.bit_count(F.col(f"a{b}").bitwiseXOR(F.col(f"b{b}"))) for b in _BITS), F.lit(0))
+    both = cells.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(off <= F.col("na") + F.col("nb") - 2 * F.expr(needed_sql("na", "nb"))).select(*cells.columns)
+
+
+def links_among(documents: DataFrame, classes: DataFrame, cells: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """The cells (a, b), ``n`` of them, that are links: full overlap counts, from the text of one document of each row."""
+    few = lambda df: few_tasks(df, 2 * n)
+    sides = few(cells.select(F.col("a").alias("c"), "a", "b").unionByName(cells.select(F.col("b").alias("c"), "a", "b")))
+    wanted = few(few(sides.select("c").distinct()).join(classes.select("c", "one"), "c"))
+    some = materialize(wanted.select("c", F.col("one._key").alias("_k"), F.col("one._hash").alias("_h")), "jaccard-wanted")
     rows = documents.select(F.col(key).alias("_key"), F.xxhash64(whole(F.col(text))).alias("_hash"), F.col(text).alias("_text"))
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
     met = rows.join(bounded(some), same).select("c", "_text")
@@ -236,71 +257,168 @@ def full_sets(documents: DataFrame, classes: DataFrame, wanted: DataFrame, key:
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("c"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["c", "items"])
 
-    return met.mapInArrow(make, "c bigint, items array<bigint>")
-
-
-def full_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that are links: overlap counted over both blocks."""
-    few = lambda df, n=pairs.count(): few_tasks(df, n, LISTS_A_TASK)
-    left = few(pairs.join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a"))
-    rows = few(left.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y"))
-
     def count(batches):
+        last, set_ = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(count, "a bigint, b bigint")
-
-
-def joined_labels(documents: DataFrame, classes: DataFrame, pairs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """The labels (c, label) after the pairs that are links have joined components, stored."""
-    some, all_ = pairs.count(), classes.count()
-    few = lambda df, n=some: few_tasks(df, n)
-    wanted = few(few(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))).distinct())
-    sets = materialize(full_sets(documents, classes, wanted, key, text), "jaccard-sets")
-    sets = few_tasks(sets.dropDuplicates(["c"]), 2 * some, LISTS_A_TASK)
-    links = materialize(full_overlaps(pairs, sets), "jaccard-links")
-    up = labels.select(F.col("c").alias("a"), F.col("label").alias("la"))
-    to = labels.select(F.col("c").alias("b"), F.col("label").alias("lb"))
-    joined = few(few(links.join(up, "a")).join(to, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    merged = components(joined, some)
-    new = labels.join(merged.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left")
-    return materialize(few(new.select("c", F.coalesce("new", "label").alias("label")), all_), "jaccard-labels")
+            out = []
+            for a, b, c, items in zip(*(batch.column(x).to_pylist() for x in ("a", "b", "c")), batch.column("items"), strict=True):
+                x = items.values.to_numpy()
+                if last is not None and last[:2] == (a, b) and last[2] != c:
+                    both = len(np.intersect1d(set_, x, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(set_) + len(x) - both):
+                        out.append((a, b))
+                last, set_ = (a, b, c), x
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    sets = met.mapInArrow(make, "c bigint, items array<bigint>").join(bounded(materialize(sides, "jaccard-sides")), "c").select("a", "b", "c", "items")
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, -(-2 * n // LISTS_A_TASK))
+    # Several documents may share key and hash: then a row comes twice, one after the other.
+    dealt = sets.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "c")
+    return dealt.mapInArrow(count, "a bigint, b bigint").distinct()
+
+
+class Labels:
+    """Components so far: (c, label) of the rows that have been joined to others; all else stand alone."""
+
+    def __init__(self, spark):
+        self.held, self.n = spark.createDataFrame([], "c bigint, label bigint"), 0
+
+    def on(self, rows: DataFrame, column: str, name: str, n: int) -> DataFrame:
+        """Rows, about ``n``, with the label of a column's row."""
+        own = self.held.select(F.col("c").alias("_c"), F.col("label").alias("_l"))
+        met = few_tasks(rows.join(own, F.col(column) == F.col("_c"), "left"), n + self.n)
+        return met.withColumn(name, F.coalesce("_l", column)).drop("_c", "_l")
+
+    def join(self, links: DataFrame) -> None:
+        """Make one component of the two of each link."""
+        links = materialize(links, "jaccard-links")
+        n = links.count()
+        if not n:
+            return
+        edges = self.on(self.on(links, "a", "la", n), "b", "lb", n).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = materialize(components(edges, n), "jaccard-merged").select(F.col("node").alias("_n"), F.col("label").alias("_m"))
+        moved = self.held.join(merged, F.col("label") == F.col("_n"), "left").select("c", F.coalesce("_m", "label").alias("label"))
+        fresh = merged.select(F.col("_n").alias("c"), F.col("_m").alias("label")).join(self.held, "c", "left_anti")
+        before, self.n = self.held, self.n + 2 * n
+        self.held = materialize(few_tasks(moved.unionByName(fresh), self.n), "jaccard-labels")
+        forget(links, before)
+
+
+def join_cells(documents: DataFrame, classes: DataFrame, cells: DataFrame, labels: Labels, key: str, text: str) -> None:
+    """Test the cells of the product, the best ones of each row first, until all that could join components are tested."""
+    tests = FIRST_TESTS
+    while n := cells.count():
+        few = lambda df, n=n: few_tasks(df, n)
+        order = W.partitionBy("a").orderBy(F.desc("found"), "b")
+        ranked = materialize(few(cells.withColumn("place", F.row_number().over(order))), "jaccard-cells")
+        forget(cells)
+        now = ranked.filter(F.col("place") <= tests)
+        labels.join(links_among(documents, classes, now.select("a", "b"), now.count(), key, text))
+        left = labels.on(labels.on(few(ranked.filter(F.col("place") > tests)), "a", "la", n), "b", "lb", n)
+        cells = materialize(left.filter("la <> lb").select("a", "b", "na", "nb", "found"), "jaccard-cells")
+        forget(ranked)
+        tests *= MORE_TESTS
+
+
+def common_entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(col, c, n, pos, bits, blocks): the entries of common columns that two rows or more share, stored."""
+    high = rows.filter("low < size(head)").select("c", "n", "low", F.posexplode(F.slice("head", F.col("low") + 1, F.size("head"))).alias("at", "col"))
+    one = high.groupBy("col", "c").agg(F.first("n").alias("n"), F.first(F.col("at") + F.col("low")).alias("pos"))
+    one = materialize(one, "jaccard-common")
+    shared = one.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1").select("col", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    n = one.count()
+    held = few_tasks(one.join(shared, "col"), n)
+    out = materialize(few_tasks(held.join(classes.select("c", *_BITS), "c"), n), "jaccard-common")
+    forget(one)
+    return out
+
+
+def compare_blocks(entries: DataFrame, alone: bool, tests: int, n: int) -> DataFrame:
+    """(a, b, rest): for each row and column the ``tests`` most promising rows of other components, from blocks of rows.
+
+    ``alone``: blocks meet only themselves. ``rest`` says that a row had more.
+    """
+    placed = entries.withColumn("_i", F.pmod(F.xxhash64("c", "col"), F.col("blocks")).cast("int"))
+    other = F.array("_i") if alone else F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = few_tasks(placed.withColumn("_j", F.explode(other)), n).select(
+        "col", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "c", "n", "pos", "label", *_BITS
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.sort_by("c")
+        c, n, pos, label, own = (table.column(x).to_numpy() for x in ("c", "n", "pos", "label", "own"))
+        pos = pos.astype(np.int64)
+        bits = np.stack([table.column(b).to_numpy() for b in _BITS], 1).view(np.uint64)
+        out = []
+        step = max(1, (1 << 20) // len(c))
+        for first in range(0, len(c), step):
+            a = np.arange(first, min(len(c), first + step))[:, None]
+            b = np.arange(len(c))[None, :]
+            fit = (a < b) & (label[a] != label[b])
+            if i != j:
+                fit &= own[a] != own[b]
+            x, y = np.nonzero(fit)
+            x += first
+            least = needed(n[x], n[y])
+            most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+            keep = most >= least
+            x, y, least = x[keep], y[keep], least[keep]
+            off = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            keep = off <= n[x] + n[y] - 2 * least
+            x, y, off = x[keep], y[keep], off[keep]
+            if len(x):
+                order = np.lexsort((y, off, x))
+                x, y = x[order], y[order]
+                starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+                sizes = np.diff(np.append(starts, len(x)))
+                place = np.arange(len(x)) - np.repeat(starts, sizes)
+                keep = place < tests
+                out.append((c[x[keep]], c[y[keep]], np.repeat(sizes > tests, sizes)[keep]))
+        made = [np.concatenate(v) for v in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+        return pa.table({"a": pa.array(made[0]), "b": pa.array(made[1]), "rest": pa.array(made[2])})
+
+    found = dealt.groupBy("col", "i", "j").applyInArrow(compare, "a bigint, b bigint, rest boolean")
+    return found.groupBy("a", "b").agg(F.max("rest").alias("rest"))
+
+
+def join_common(documents: DataFrame, classes: DataFrame, entries: DataFrame, labels: Labels, key: str, text: str) -> None:
+    """Test what blocks of common columns leave possible, until every row has tried all."""
+    alone, tests = True, FIRST_TESTS
+    n = entries.count()
+    while n:
+        few = lambda df, n=n: few_tasks(df, n)
+        marked = materialize(labels.on(entries, "c", "label", n), "jaccard-marked")
+        mixed = few(marked.groupBy("col").agg(F.min("label").alias("x"), F.max("label").alias("y"))).filter("x <> y").select("col")
+        open_ = few(marked.join(mixed, "col", "left_semi"))
+        cells = materialize(few(compare_blocks(open_, alone, tests, n)), "jaccard-cells")
+        forget(marked)
+        shape = cells.agg(F.count("*").alias("n"), F.max("rest").alias("rest")).first()
+        if shape["n"]:
+            labels.join(links_among(documents, classes, cells.select("a", "b"), shape["n"], key, text))
+        forget(cells)
+        if not alone and not shape["rest"]:
+            break
+        alone, tests = False, tests if alone else tests * MORE_TESTS
 
 
 def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_key, _hash, n, least) for every document: the size of its set and the smallest id in its component."""
     rows = heads(documents, key, text)
     classes = classes_of(rows)
-    entries = shared_entries(classes)
-    labels = classes.select("c", F.col("c").alias("label"))
-    low, high = 0, 1
-    open_, held = entries, entries.count()
-    while held:
-        few = lambda df, n=held: few_tasks(df, n)
-        marked = few(open_.join(labels, "c"))
-        pairs = materialize(few(band_pairs(marked, low, high)), "jaccard-pairs")
-        pairs = materialize(head_bound(pairs, classes.select("c", "n", "head")), "jaccard-cells")
-        # Without cells that can be links there is nothing to read again.
-        if not pairs.isEmpty():
-            labels = joined_labels(documents, classes, pairs, labels, key, text)
-        low, high = high, high * BANDS
-        # A column with all entries within reach of each other, or all connected, is done.
-        left = open_.filter(F.col("m") > low + 1)
-        spread = few(left.join(labels, "c")).groupBy("col").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-        mixed = few(spread.filter("x <> y").select("col"))
-        open_ = materialize(few(left.join(mixed, "col", "left_semi")), "jaccard-open")
-        held = open_.count()
-    few = lambda df, n=rows.count(): few_tasks(df, n)
-    least = few(classes.join(labels, "c").select("label", "set_id", "least"))
-    names = few(least.groupBy("label").agg(F.min("least").alias("least")))
-    by_set = few(least.select("label", "set_id").join(names, "label").select("set_id", "least"))
-    return rows.select("_key", "_hash", "n", "set_id").join(by_set, "set_id", "left").select(
+    labels = Labels(documents.sparkSession)
+    raw = materialize(product(rows), "jaccard-cells")
+    cells = materialize(few_tasks(within_parity(raw, classes), raw.count()), "jaccard-cells")
+    forget(raw)
+    join_cells(documents, classes, cells, labels, key, text)
+    entries = common_entries(rows, classes)
+    join_common(documents, classes, entries, labels, key, text)
+    forget(entries)
+    n = classes.count()
+    marked = labels.on(classes.select("c", "least"), "c", "label", n)
+    names = marked.groupBy("label").agg(F.min("least").alias("least"))
+    by_set = marked.select("c", "label").join(names, "label").select("c", "least")
+    return rows.select("_key", "_hash", "n", "c").join(by_set, "c", "left").select(
         "_key", "_hash", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_key")).alias("least")
     )
 
