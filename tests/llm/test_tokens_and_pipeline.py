@@ -60,11 +60,53 @@ def test_chunks_give_the_ids_of_whole_texts():
     path = token_files.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
     texts = ["It's a <|endoftext|> test, isn't it?! é ́x ab cd   1234.5 a.b.c... 'll 're", "", " \n ", "ÉTÉ\u0085x Σας ΣΑΣ. İstanbul, ok;"]
-    coder = token_files.ChunkEncoder(path)
+    coder = token_files.TextEncoder(path)
     for text, ids in zip(texts, coder.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+AWKWARD = st.text(st.sampled_from("aZ9 .,!?;:'’\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000\u200bİıßΣσςée\u0301½Ⅷ①一٣\U0001d7d8<|endoftext|>lsvdmtr\ufeff"), max_size=40)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(AWKWARD, st.text(max_size=30)), min_size=1, max_size=6), st.sampled_from([" ", "", "\n"]))
+def test_ids_of_any_text(parts, between):
+    tokenizer, coder = _both()
+    text = between.join(parts)
+    (ids,) = coder.ids([text])
+    assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_beside_every_code_point():
+    tokenizer, coder = _both()
+    texts = [f"a{chr(c)}. {chr(c)}b 9{chr(c)}!" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 13 == 0)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert coder.by_chunk and [np.frombuffer(x, "<u4").tolist() for x in coder.ids(texts)] == want
+
+
+_HELD = []
+
+
+def _both():
+    from tokenizers import Tokenizer
+
+    if not _HELD:
+        path = token_files.tokenizer_path()
+        _HELD.extend((Tokenizer.from_file(path), token_files.TextEncoder(path)))
+    return _HELD
+
+
+def test_other_tokenizers_get_whole_texts():
+    coder = token_files.TextEncoder(token_files.tokenizer_path("byte_bpe_50k.json"))
+    assert not coder.by_chunk
+    assert np.frombuffer(coder.ids(["two  words"])[0], "<u4").tolist() == coder.tokenizer.encode("two  words", add_special_tokens=False).ids
+
+
+def test_ids_too_large_are_refused():
+    with pytest.raises(ValueError):
+        mixing_coder.encode([np.array([1, 1 << 16])])
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
     from test_documents import SMALL, normal, plain_components, plain_hits

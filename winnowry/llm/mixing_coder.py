@@ -143,9 +143,11 @@ def _renewals(longest: int) -> list[int]:
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (0 to LIMIT - 1) as bytes."""
+    """Each block of ids (0 to LIMIT - 1) as bytes; larger ids are an error."""
     if not blocks:
         return []
+    if any(len(b) and (int(b.min()) < 0 or int(b.max()) >= LIMIT) for b in blocks):
+        raise ValueError(f"ids must be from 0 to {LIMIT - 1}")
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n, own = len(blocks), [blocks[i] for i in order]
     lengths = np.array([len(b) for b in own])

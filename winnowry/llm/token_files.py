@@ -10,6 +10,10 @@ A null or empty text is its end id alone. Rows with equal ids follow each other
 digests; null ids come first. An empty table gives an empty file and no rows. Other columns are not stored.
 """
 
+import json
+import re
+import string
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,7 +26,11 @@ from .mixing_coder import BLOCK_IDS, decode, encode
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LANES = 1024
+# How the tokenizer that can be given chunks splits a text, and characters for which that is plain.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BLANKS = str.maketrans("\t\n\r", "   ")
 TAIL = ".,!?;:"
+ASCII_WORD = frozenset(string.ascii_letters + string.digits)
 KNOWN_CHUNKS = 400_000
 
 
@@ -32,28 +40,50 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Texts to ids, a chunk between white space at a time.
+def splits_at_blanks(tokenizer: dict) -> bool:
+    """Whether the ids of a text are those of its parts between BLANKS, by the tokenizer's own steps.
+
+    So it is where normalizing never looks over a blank (NFC, runs of white space to one, lower case), where the first
+    step after it keeps only matches of LETTERS, none of which holds white space, and where no other token does.
+    """
+    steps = lambda x, name: x[name] if x and x["type"] == "Sequence" else [x] if x else []
+    normal, before = steps(tokenizer["normalizer"], "normalizers"), steps(tokenizer["pre_tokenizer"], "pretokenizers")
+    local = all(x["type"] in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in normal)
+    parted = len(before) == 2 and before[0] == {"type": "Split", "pattern": {"Regex": LETTERS}, "behavior": "Removed", "invert": True}
+    bytewise = parted and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
+    alone = all(not re.search(r"\s", t["content"]) and not t["single_word"] for t in tokenizer["added_tokens"])
+    return local and bytewise and alone and tokenizer["post_processor"] is None
+
+
+class TextEncoder:
+    """Texts to the ids that the tokenizer gives the whole text.
 
-    This tokenizer splits at white space first, and between a letter or digit and the marks in TAIL, so the
-    ids of a text are those of its chunks in a row. Ids of chunks seen are remembered, up to KNOWN_CHUNKS.
+    Where ``splits_at_blanks`` holds, a chunk between blanks is encoded once and remembered, up to KNOWN_CHUNKS; marks
+    of TAIL behind an ASCII letter or digit are a match of their own there, and remembered apart. Any other tokenizer
+    gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            self.by_chunk = splits_at_blanks(json.load(f))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        lists = [t.split() for t in texts]
+        if not self.by_chunk:
+            return self._encode(texts)
+        lists = [[c for c in t.translate(BLANKS).split(" ") if c] for t in texts]
         new = {c for x in lists for c in x}.difference(self.known)
         if len(self.known) + len(new) > KNOWN_CHUNKS:
             self.known, new = {}, {c for x in lists for c in x}
         cores = {c: c.rstrip(TAIL) for c in new}
-        cores = {c: x if x and x[-1].isalnum() else c for c, x in cores.items()}
+        cores = {c: x if x and x[-1] in ASCII_WORD else c for c, x in cores.items()}
         parts = sorted({p for c, x in cores.items() for p in (x, c[len(x) :]) if p}.difference(self.known))
-        for p, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        self.known.update(zip(parts, self._encode(parts), strict=True))
         for c, x in cores.items():
             if x != c:
                 self.known[c] = self.known[x] + self.known[c[len(x) :]]
@@ -61,15 +91,15 @@ class ChunkEncoder:
         return [b"".join([known[c] for c in x]) for x in lists]
 
 
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str) -> TextEncoder:
     import os
     import sys
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark shares out the cores
     # The package's functions travel with each task; what a worker process has learned must outlast a task.
-    held = vars(sys).setdefault("_chunk_encoders", {})
+    held = vars(sys).setdefault("_text_encoders", {})
     if path not in held:
-        held[path] = ChunkEncoder(path)
+        held[path] = TextEncoder(path)
     return held[path]
 
 
@@ -174,10 +204,30 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     short = rows.filter("begin is null").mapInArrow(restore, schema).select("part", "before", "key", "ids")
     # Each block is restored once; only the pieces of long documents meet by a shuffle.
-    pieces = rows.filter("begin is not null").mapInArrow(restore, schema)
-    long = pieces.groupBy("part", "begin").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("before", "ids"))).alias("p"))
-    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return short.unionByName(long.select("part", F.col("begin").alias("before"), "key", joined.alias("ids")))
+    pieces = rows.filter("begin is not null").mapInArrow(restore, schema).repartition("part", "begin").sortWithinPartitions("part", "begin", "before")
+
+    def join(batches):
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for part, begin, key, ids in zip(*(batch.column(c) for c in ("part", "begin", "key", "ids")), strict=True):
+                place = (part.as_py(), begin.as_py())
+                if now is not None and place != now[:2]:
+                    out.append((*now, b"".join(held)))
+                    held = []
+                now = (*place, key.as_py())
+                held.append(ids.as_py())
+            yield made(out, batch)
+        if now is not None:
+            yield made([(*now, b"".join(held))], batch)
+
+    def made(rows, like):
+        columns = list(zip(*rows)) or [[]] * 4
+        kinds = [pa.int32(), pa.int64(), like.schema.field("key").type, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "before", "key", "ids"])
+
+    long = pieces.mapInArrow(join, T.StructType([schema["part"], schema["before"], schema["key"], schema["ids"]]))
+    return short.unionByName(long)
 
 
 def part_starts(spark: SparkSession, path: str) -> DataFrame:
