@@ -22,7 +22,6 @@ from .common import WORD_SPACE, split_words, whole
 STATS = ("dup_line_share", "mean_word", "repeat_share", "symbol_share", "upper_share", "bar_share")
 BINS, RULES, CONDITIONS, LEAST_ROWS, LEAST_PROOF, LEAST_PRECISION = 32, 8, 3, 3, 2, 0.9
 WINDOW = 3
-POSITION_BITS = 24
 BASE_WORDS, BASE_REPEAT = 50, 50
 
 
@@ -39,27 +38,22 @@ class Condition:
 def _repeat_words(words: Column) -> Column:
     """Words inside windows that occur twice or more.
 
-    Windows become numbers: a hash with the position in its low bits. Sorted, equal windows are neighbors;
-    of these the words themselves are compared. The covered words are counted from the sorted positions.
+    Windows are sorted by a hash, then by their words, then by position, so equal ones are neighbors whatever
+    the hash does. The covered words are counted from the sorted positions.
     """
     n = F.size(words)
-    low = (1 << POSITION_BITS) - 1
     keys = F.transform(
         F.slice(words, 1, n - (WINDOW - 1)),
-        lambda w, i: F.xxhash64(w, words[i + 1], words[i + 2]).bitwiseAND(~low).bitwiseOR(i.cast("bigint")),
-    )
-    at = lambda k: k.bitwiseAND(low).cast("int")
-    same = lambda a, b: (
-        (F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS))
-        & (words[at(a)] == words[at(b)]) & (words[at(a) + 1] == words[at(b) + 1]) & (words[at(a) + 2] == words[at(b) + 2])
+        lambda w, i: F.struct(F.xxhash64(w, words[i + 1], words[i + 2]).alias("h"), w.alias("a"), words[i + 1].alias("b"), words[i + 2].alias("c"), i.alias("at")),
     )
+    same = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
 
     def repeated(ordered):
         last = F.size(ordered) - 1
         near = lambda k, i: (
             F.when(i > 0, same(k, ordered[i - 1])).otherwise(False) | F.when(i < last, same(k, ordered[i + 1])).otherwise(False)
         )
-        return F.array_sort(F.transform(F.filter(ordered, near), at))
+        return F.array_sort(F.transform(F.filter(ordered, near), lambda k: k["at"]))
 
     def covered(places):
         zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-WINDOW).alias("last"))
@@ -182,7 +176,7 @@ def learn(labelled: DataFrame, stats=STATS) -> list[list[Condition]]:
     """
     one = labelled.select("good", "part", *stats).groupBy("good", "part", *stats).agg(F.count("*").alias("n"))
     rows = materialize(one, "rule-rows")
-    edges = bin_edges(rows, stats)
+    edges = bin_edges(labelled, stats)
     found = []
     for _ in range(RULES):
         rule = grow(rows.filter("part = 0"), edges)
