@@ -2,15 +2,18 @@
 
 Documents of equal text form a group. Groups are dealt into cells of bounded size; in each cell every group,
 largest first, goes to the shard where the dot product of its size vector with the shard's residual capacity
-is highest. Each cell fills all shards evenly, so their sum does. A group that would be more than
-1 / SPLIT of a shard is cut into pieces by a hash of the id first, so no group is too large for a cell or a
-task. Then slots number the rows of each shard without a gap.
+is highest; a last step swaps groups of like size, as bytes are the law. Groups above 1 / LARGE of a shard, of which
+there is a bounded number, are placed first in the same way; the cells then fill what is left of each shard, so
+their sum is even. A group stays whole; only one larger than a shard is cut, by a hash of the id, into as many pieces
+as shards it would fill. Then slots number the rows of each shard without a gap.
 
 The law is ``bytes``: sizes near equal. A null or empty text has no bytes and counts its fixed cost.
 Repeated rows are rows of their own; rows with a null id go where their text goes. An empty table gives no
 rows, other columns are left alone, ties go to the lower shard.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -19,32 +22,34 @@ from ..session import materialize
 from .common import whole
 
 SHARDS = 24
-SPLIT = 32
+LARGE = 32
+SIZES = ("bytes", "tokens", "rows")
 CELL_GROUPS = 16_384
 SLOT_ROWS = 100_000
 ROW_COST = 8
 WEIGHTS = np.array([8.0, 1.0, 1.0])
 
 
-def pack(sizes: np.ndarray, shards: int = SHARDS) -> np.ndarray:
-    """Shard of each row of ``sizes`` (bytes, tokens, rows)."""
-    capacity = np.maximum(sizes.sum(0) / shards, 1e-9)
-    part = sizes / capacity * WEIGHTS
+def pack(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+    """Shard of each row of ``sizes`` (bytes, tokens, rows); ``capacity`` is what each shard has left [size, shard]."""
+    mean = np.maximum(capacity.mean(1), 1e-9)
+    part = sizes / mean * WEIGHTS
     order = np.lexsort((np.arange(len(sizes)), -part.sum(1)))
-    left = np.ones((3, shards))
-    step = sizes / capacity
+    left = capacity / mean[:, None]
+    step = sizes / mean
     out = np.empty(len(sizes), np.int32)
     for i in order:
         s = int((part[i] @ left).argmax())
         out[i] = s
         left[:, s] -= step[i]
-    return level(sizes[:, 0], out, shards)
+    return level(sizes[:, 0], out, capacity[0])
 
 
-def level(sizes: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
-    """Bytes come first in the law: swap groups of like size between the fullest and the emptiest shard
-    while that brings them closer."""
-    load = np.bincount(shard, sizes, shards)
+def level(sizes: np.ndarray, shard: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Bytes come first in the law: swap groups of like size between the shard most above its target and the one
+    most below it, while that brings them closer."""
+    shards = len(target)
+    load = np.bincount(shard, sizes, shards) - target
     for _ in range(8 * shards):
         high, low = int(load.argmax()), int(load.argmin())
         gap = load[high] - load[low]
@@ -86,33 +91,45 @@ def measured(documents: DataFrame, key: str, text: str) -> DataFrame:
 def assign(documents: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """(key, size, text_crc32, shard, slot) for all rows."""
     rows = measured(documents, key, text)
-    total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
-    limit = max(1, (total["size"] or 0) // (shards * SPLIT))
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_n"))
-    # Fewer than shards * SPLIT groups can be above the limit, so this table is bounded.
-    large = groups.filter((F.col("_bytes") > limit) & (F.col("_n") > 1)).select(
-        F.col("_group").alias("_g"), F.least("_n", F.ceil(F.col("_bytes") / limit)).alias("_pieces")
-    )
-    cut = rows.join(F.broadcast(large), F.col("_group") == F.col("_g"), "left").withColumn(
+    three = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
+    total = rows.agg(*three).first()
+    room = np.array([total[c] or 0 for c in SIZES], float)[:, None] / shards * np.ones(shards)
+    # No more than shards * LARGE groups are that large: they are placed first, whole where a shard has room for them.
+    limit = max(1, (total["bytes"] or 0) // (shards * LARGE))
+    full = max(1.0, room[0, 0])
+    groups = rows.groupBy("_group").agg(*three)
+    some = groups.filter((F.col("bytes") > limit) & (F.col("rows") > 1)).orderBy("_group").collect()
+    pieces = [(g, k, max(1, min(g["rows"], math.ceil(g["bytes"] / full)))) for g in some for k in range(max(1, min(g["rows"], math.ceil(g["bytes"] / full))))]
+    sizes = np.array([[g[c] / n for c in SIZES] for g, _, n in pieces], float).reshape(-1, 3)
+    first = pack(sizes, room) if pieces else np.empty(0, int)
+    for s, size in zip(first, sizes, strict=True):
+        room[:, s] = np.maximum(room[:, s] - size, 0)
+    share = room / np.maximum(room.sum(1, keepdims=True), 1e-9)
+    kinds = "_g string, _pieces int, _p int, _shard int"
+    large = documents.sparkSession.createDataFrame([(g["_group"], n, k, int(s)) for (g, k, n), s in zip(pieces, first, strict=True)], kinds)
+    own = F.broadcast(large.select("_g", "_pieces").distinct())
+    cut = rows.join(own, F.col("_group") == F.col("_g"), "left").withColumn(
         "_piece", F.when(F.col("_g").isNotNull(), F.pmod(F.xxhash64("_key", "text_crc32"), F.col("_pieces"))).otherwise(0).cast("int")
-    ).drop("_g", "_pieces")
+    ).withColumn("_large", F.col("_g").isNotNull()).drop("_g", "_pieces")
     cut = materialize(cut, "shard-pieces")
-    pieces = cut.groupBy("_group", "_piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    cells = max(1, (total["n"] or 0) // CELL_GROUPS)
-    celled = pieces.withColumn("_cell", F.pmod(F.xxhash64("_group", "_piece"), F.lit(cells)).cast("int"))
+    small = cut.filter(~F.col("_large")).groupBy("_group", "_piece").agg(*three)
+    cells = max(1, (total["rows"] or 0) // CELL_GROUPS)
+    celled = small.withColumn("_cell", F.pmod(F.xxhash64("_group", "_piece"), F.lit(cells)).cast("int"))
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         # In a fixed order, so that a task that runs again decides alike.
         frame = frame.sort_values(["_group", "_piece"])
-        shard = pack(frame[["bytes", "tokens", "rows"]].to_numpy(np.float64), shards)
-        # Cells start at different shards, so what is left over does not pile up.
-        shard = (shard + int(frame["_cell"].iloc[0])) % shards
+        own = frame[list(SIZES)].to_numpy(np.float64)
+        # Cells take the shards in different orders, so what is left over does not pile up.
+        turn = (np.arange(shards) + int(frame["_cell"].iloc[0])) % shards
+        shard = turn[pack(own, own.sum(0)[:, None] * share[:, turn])]
         return pd.DataFrame({"_group": frame["_group"], "_piece": frame["_piece"], "shard": shard.astype(np.int32)})
 
     placed = materialize(celled.groupBy("_cell").applyInPandas(packed, "_group string, _piece int, shard int"), "shard-plan")
-    buckets = max(1, (total["n"] or 0) // SLOT_ROWS)
+    placed = placed.unionByName(large.select(F.col("_g").alias("_group"), F.col("_p").alias("_piece"), F.col("_shard").alias("shard")))
+    buckets = max(1, (total["rows"] or 0) // SLOT_ROWS)
     dealt = cut.join(placed, ["_group", "_piece"]).withColumn("_bucket", F.pmod(F.xxhash64("_key", "_group"), F.lit(buckets)).cast("int"))
-    dealt = materialize(dealt.drop("_piece", "tokens"), "shard-dealt")
+    dealt = materialize(dealt.drop("_piece", "tokens", "_large"), "shard-dealt")
     counts = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket")) - F.col("_n")
     starts = counts.select("shard", "_bucket", before.alias("_start"))
