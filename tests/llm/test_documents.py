@@ -38,6 +38,23 @@ def test_quality_rules(spark, docs, texts, odd):
     assert decision_lists.op3_decision_lists(odd.limit(0), labels).count() == 0
 
 
+def test_words_before_unicode_line_ends(spark):
+    """White space is ASCII only: other line ends are words, at the end of a text too."""
+    rows = ["a \u2028", "a \u0085", "x y \u2029", "\u2028 a", "a\u2028 \n", " ", "a b c a b c \u0085 a b c", "a a a a a", "\x1c a \x1f"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    for r in decision_lists.op3_decision_lists(df, labels).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == statistics(rows[r["doc_id"]])
+
+
+def test_repeated_windows_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [" ".join(rng.choice(["a", "b", "c", "Aa", "BB"], n)) for n in (0, 1, 2, 3, 4, 9, 40, 300, 700)] + ["AaAa BBBB AaBB BBAa " * 3]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    for r in decision_lists.text_statistics(df).collect():
+        assert r["n_repeat_words"] == statistics(rows[r["doc_id"]])[4]
+
+
 def test_rules_are_learned(spark):
     df = spark.range(400).select(
         (F.col("id") % 2).cast("int").alias("good"), (F.col("id") % 3 == 0).cast("int").alias("part"),
@@ -65,10 +82,29 @@ def test_shards(docs, odd, texts):
     assert vector_packing.op4_vector_packing(odd.limit(0)).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Groups of copies stay whole where a shard has room for them; the law holds for the query's own shards."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = vector_packing.op4_vector_packing(df).collect()
+    load, groups = Counter(), defaultdict(lambda: [set(), 0])
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        group = groups[r["text_crc32"], r["size"]]
+        group[0].add(r["shard"])
+        group[1] += r["size"]
+    assert max(load.values()) - min(load.values()) < 0.002 * max(load.values())
+    room = sum(load.values()) / 24
+    assert all(len(shards) == 1 for shards, size in groups.values() if size <= room)
+    # A group that fills several shards is cut into as many pieces.
+    copies = spark.range(480).selectExpr("id as doc_id", "if(id < 300, 'same text of some length', concat('text ', id)) as text")
+    found = vector_packing.op4_vector_packing(copies).filter("doc_id < 300").select("shard").distinct().count()
+    assert 15 <= found <= 24
+
+
 def test_packing_balances_all_sizes():
     rng = np.random.default_rng(3)
     sizes = np.stack([rng.lognormal(7, 1, 5000), rng.lognormal(5, 1, 5000), np.ones(5000)], 1)
-    shard = vector_packing.pack(sizes)
+    shard = vector_packing.pack(sizes, sizes.sum(0)[:, None] / 24 * np.ones(24))
     for k, most in enumerate((1.001, 1.1, 1.1)):
         load = np.bincount(shard, sizes[:, k], 24)
         assert load.max() / load.mean() < most
@@ -129,6 +165,41 @@ def test_group_of_near_copies_and_a_common_passage(spark):
     assert got == plain_components(rows)
 
 
+def test_jaccard_join_against_brute_force(spark):
+    """All documents of the larger table, and a crowd of unconnected texts that share most of a passage."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
+    passage = [word() for _ in range(86)]
+    rows = {r["doc_id"]: r["text"] for r in df.collect()}
+    for i in range(300):
+        rows[10**6 + i] = " ".join(passage + [word() for _ in range(int(rng.integers(8, 16)))])
+    both = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.op5_jaccard_join(both).collect()}
+    assert got == plain_components(rows)
+
+
+def test_blocks_of_common_columns(spark, monkeypatch):
+    """The same with few counters, so that every column is common, and blocks of a handful of rows."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(400)]
+    rows = {}
+    for g in range(12):
+        base = list(rng.choice(words, 40))
+        for k in range(12):
+            w = list(base)
+            for at in rng.integers(0, 40, int(rng.integers(0, 3))):
+                w[at] = str(rng.choice(words))
+            rows[100 * g + k] = " ".join(w)
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "LEAST_COUNTERS", 1)
+    monkeypatch.setattr(jaccard_join, "TEXT_A_COUNTER", 1 << 20)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.op5_jaccard_join(df).collect()}
+    assert got == plain_components(rows)
+
+
 def test_urls(spark):
     urls = ["http://A.example.ORG/es/1?x#y", "https://example.org/en/12", "https://a.org", "x", None, "http://b.com/fr/1", "ftp://b.com/de/2#z", "http://c.net/q"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id bigint, url string, host string, path string")
@@ -215,6 +286,32 @@ def test_shortage_goes_to_siblings_first(spark):
     assert {r["source"]: r["budget"] for r in rows} == {"1": 10, "2": 190, "3": 200}
 
 
+def test_texts_without_letters_and_shared_ids(spark):
+    """Numerals are no letters; rows that share an id are drawn for training one by one."""
+    rows = [(i, t) for i, t in enumerate(["½ ²", "Ⅷ", "①", "12 34", "", None, "½a", "٣", "一"])]
+    train = [(None, f"the cat sat here {i}" if i % 2 else f"le chat est assis {i}", "en" if i % 2 else "fr") for i in range(2000)]
+    df = spark.createDataFrame([(i, t, None) for i, t in rows] + train, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_crf.op9_language_crf(df).filter("doc_id is not null").collect()}
+    assert all(got[i] == "und" for i in (0, 1, 2, 3, 4, 5, 7)) and got[6] in ("en", "fr") and got[8] in ("en", "fr")
+    right = language_crf.op9_language_crf(df.filter("doc_id is null").withColumn("doc_id", F.lit(next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)).cast("bigint")))
+    assert right.filter("lang_pred = 'und'").count() == 0
+
+
+def test_long_texts_change_language_where_the_words_do(docs):
+    """Labels over the end of a span equal those of the same words in one chain."""
+    model = language_crf.fit(docs, "doc_id")
+    by_lang = {}
+    for r in docs.filter("lang is not null and text is not null").collect():
+        by_lang.setdefault(r["lang"], []).extend(language_crf.words_of(r["text"]))
+    a, b = sorted(by_lang)[:2]
+    words = by_lang[a][: language_crf.SPAN - 3] + by_lang[b][:200]
+    labeler = language_crf.Labeler(model)
+    post = labeler.probabilities([words])
+    ids = labeler._ids([words])
+    whole, _, _ = language_crf.forward_backward(labeler.scores[ids][None].astype(float), np.array([len(words)]), model["moves"])
+    assert post.shape == whole[0].shape and np.abs(post - whole[0]).max() < 1e-3
+
+
 def test_languages(docs, odd):
     rows = language_crf.op9_language_crf(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]

@@ -6,7 +6,8 @@ do. Forward-backward gives each word's label probabilities; a text takes the lan
 
 Trained on a bounded sample of labelled rows: about ``SAMPLE_ROWS`` for each language, of each at most
 ``SAMPLE_CHAINS`` chains of ``CHAIN`` words, evenly spread; a part of the chains is spliced from two
-languages, which teaches the transitions. Prediction reads whole texts, in chains of ``CHAIN`` words.
+languages, which teaches the transitions. Prediction reads whole texts, ``SPAN`` words at a time, each with
+``CONTEXT`` words before and behind it, so transitions count over the ends of spans too.
 
 A null text or one without a letter is ``und`` with score 0; with no labelled row all texts are. Repeated
 rows are labelled alike, ties go to the first language by name, rows with null languages train nothing, empty
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..session import materialize
 
 CHAIN = 64
+SPAN, CONTEXT = 128, 16
 SAMPLE_ROWS, SAMPLE_CHAINS, SAMPLE_LIMIT = 250, 6, 20_000
 FEATURES = 1 << 16
 EPOCHS, RATE, DECAY, SPLICED = 25, 0.3, 1e-3, 0.25
@@ -34,7 +36,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters and numerals with a letter among them, in lower case."""
+    return [w for w in _WORD.findall(text.lower()) if w.isascii() or any(map(str.isalpha, w))]
 
 
 def _hash(s: str) -> int:
@@ -172,12 +175,14 @@ class Labeler:
         if not len(ids):
             return np.empty((0, len(self.model["languages"])))
         starts = np.cumsum(sizes) - sizes
-        begin = np.concatenate([np.arange(s, s + n, CHAIN) for s, n in zip(starts, sizes, strict=True) if n])
-        lengths = np.minimum(CHAIN, np.concatenate([n - np.arange(0, n, CHAIN) for n in sizes if n]))
-        mask = np.arange(CHAIN)[None, :] < lengths[:, None]
-        index = np.where(mask, begin[:, None] + np.arange(CHAIN)[None, :], 0)
-        post, _, _ = forward_backward(self.scores[ids[index]].astype(np.float64), lengths, self.model["moves"])
-        return post[mask]
+        begin = np.concatenate([np.arange(s, s + n, SPAN) for s, n in zip(starts, sizes, strict=True) if n])
+        first, stop = np.repeat(starts, -(-sizes // SPAN)), np.repeat(starts + sizes, -(-sizes // SPAN))
+        low, high = np.maximum(begin - CONTEXT, first), np.minimum(begin + SPAN + CONTEXT, stop)
+        place = low[:, None] + np.arange(SPAN + 2 * CONTEXT)[None, :]
+        inside = place < high[:, None]
+        scores = self.scores[ids[np.where(inside, place, 0)]].astype(np.float64)
+        post, _, _ = forward_backward(scores, high - low, self.model["moves"])
+        return post[(place >= begin[:, None]) & (place < np.minimum(begin + SPAN, stop)[:, None])]
 
     def chunks(self, texts):
         """(word lists, probabilities) for texts, a bounded number of characters at a time."""
@@ -215,7 +220,8 @@ def fit(documents: DataFrame, key: str, text: str = "text", lang: str = "lang")
     rate = F.lit(0.0)
     for r in counts:
         rate = F.when(F.col(lang) == r[lang], min(1.0, SAMPLE_ROWS / r["count"])).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1_000_000)) < rate * 1_000_000
+    # By id and text, so rows that share an id, or have none, are drawn one by one.
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string"), text), F.lit(1_000_000)) < rate * 1_000_000
     rows = known.filter(draw).select(text, lang, F.xxhash64(F.col(key).cast("string"), text).alias("_o"))
     rows = rows.orderBy("_o", text).limit(SAMPLE_LIMIT).collect()
     return train([(r[text], r[lang]) for r in rows])
