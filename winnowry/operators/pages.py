@@ -59,8 +59,8 @@ def first_long_enough(candidates: Column, n: int) -> Column:
     return F.try_element_at(F.filter(candidates, lambda c: F.length(c) >= n), F.lit(1))
 
 
-def extract_cards(pages: DataFrame, selectors=None) -> DataFrame:
-    """Candidate cards with question and preview.
+def extract_cards(pages: DataFrame, selectors=None, keep: list[str] | None = None) -> DataFrame:
+    """Candidate cards with question and preview; ``keep`` names more columns of the pages to go with them.
 
     question: the first selector whose text has 4 characters, else the page title; preview: the first
     selector whose visible text has 20. Cards without a preview of 20 characters go.
@@ -70,14 +70,14 @@ def extract_cards(pages: DataFrame, selectors=None) -> DataFrame:
         F.col("html"), {"question": s["page_question"]}, s["cards"], {"question": s["question"], "preview": s["preview"]}
     )
     texts = lambda field, part: F.transform(F.col(field), lambda r: tx.page_space(r[part]))
-    found = pages.select("page_id", "url", regions.alias("r")).select(
-        "page_id", "url", _first(F.col("r.page.question"))["text"].alias("title"),
-        F.posexplode("r.items").alias("position", "card"),
+    own = ["page_id", "url", *(keep or [])]
+    found = pages.select(*own, regions.alias("r")).select(
+        *own, _first(F.col("r.page.question"))["text"].alias("title"), F.posexplode("r.items").alias("position", "card"),
     )
     preview = tx.build_preview(first_long_enough(texts("card.preview", "visible"), 20))
     question = F.coalesce(first_long_enough(texts("card.question", "text"), 4), tx.page_space(F.col("title")))
     return (
-        found.select("page_id", "url", "position", question.alias("question"), preview.alias("answer_preview"))
+        found.select(*own, "position", question.alias("question"), preview.alias("answer_preview"))
         .transform(lambda d: filter_computed(d, F.length("answer_preview") >= 20))
         .withColumn("model_input", tx.build_model_input(F.col("question"), F.col("answer_preview")))
     )
@@ -99,6 +99,13 @@ def filter_post_like(cards: DataFrame, text: str = "text", markup: str = "markup
     return filter_computed(cards, (F.length(text) >= 10) & signal)
 
 
+def broken_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, error) of the pages that give no answers, cards or texts because they are null or can't be parsed."""
+    parsed = pages.select("page_id", "url", F.col("html").isNull().alias("_none"), find_regions(F.col("html"), {"body": ["body"]})["error"].alias("_error"))
+    error = F.when(F.col("_none"), F.lit("no page")).otherwise(F.col("_error"))
+    return filter_computed(parsed.select("page_id", "url", error.alias("error")), F.col("error").isNotNull())
+
+
 def is_detail_page(url: Column) -> Column:
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     query = F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))

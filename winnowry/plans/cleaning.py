@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..operators import cleaning as cl, dedup as dd, ordering as od
-from ..sources.tables import answers_from_documents, questions_and_answers, table
+from ..sources.tables import answers_from_documents, questions_and_answers, table, wide_table
 from .registry import (
     CLEAN, PAGE_SPACE, QA, RAW, clean, entities, legacy, model_input, no_tags, preview, query, visible,
 )
@@ -14,8 +14,8 @@ from .registry import (
 CONTACT = [*fv.CONTACT_PHRASES, "worthless", "contact", "@"]
 
 
-def raw_answers(spark, sf):
-    return answers_from_documents(table(spark, sf, "documents"))
+def raw_answers(spark, sf, heavy=True):
+    return answers_from_documents((wide_table if heavy else table)(spark, sf, "documents"))
 
 
 SAMPLE_ID = "substring(sha1(platform || '||' || url || '||' || author || '||' || q), 1, 16)"
@@ -84,7 +84,7 @@ def build_sample_id(spark, sf):
 
 @query("normalize_text", f"SELECT page_id, {clean(entities('html'))} AS clean FROM pages")
 def normalize_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.normalize_text(F.col("html")).alias("clean"))
+    return wide_table(spark, sf, "pages").select("page_id", tx.normalize_text(F.col("html")).alias("clean"))
 
 
 @query("clean_flags", f"""WITH d AS (SELECT page_id, html, {entities('html')} AS t FROM pages)
@@ -92,12 +92,12 @@ SELECT page_id, {no_tags('t')} <> t AS had_html, {clean('t')} <> {visible('t')}
        length(html) AS chars_before, length({clean('t')}) AS chars_after FROM d""")
 def clean_flags(spark, sf):
     flags = tx.clean_flags(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in flags.items()])
+    return wide_table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in flags.items()])
 
 
 @query("has_contact_hint", f"SELECT doc_id, regexp_matches(text, '(?i){'|'.join(CONTACT)}') AS has_contact_hint FROM documents")
 def has_contact_hint(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = wide_table(spark, sf, "documents")
     return docs.select("doc_id", tx.has_contact_hint(F.col("text"), CONTACT).alias("has_contact_hint"))
 
 
@@ -238,7 +238,7 @@ def page_text(x):
 
 @query("html_to_text", f"SELECT page_id, {page_text('html')} AS text FROM pages")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return wide_table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 @query("parse_count", r"""SELECT event_id,

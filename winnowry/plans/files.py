@@ -9,7 +9,7 @@ from ..operators import knn, training as tr
 from ..operators.cleaning import clean_answers
 from ..session import scratch_path
 from ..sources import jsonl
-from ..sources.tables import gold_annotations, table
+from ..sources.tables import gold_annotations, table, wide_table
 from .cleaning import raw_answers
 from .registry import CLEAN, GOLD, query
 from .training import SPLIT, labels_only
@@ -121,7 +121,7 @@ def example_base_count(spark, sf):
 c AS (SELECT doc_id, h, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(u)), lambda i: (u[i] * 31 + u[i + 1]) % 64)) AS h FROM u) GROUP BY 1, 2)
 SELECT doc_id, h AS bucket, CAST(CAST(n::DOUBLE / sqrt(CAST(sum(n * n) OVER (PARTITION BY doc_id) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS weight FROM c""")
 def embed(spark, sf):
-    vectors = table(spark, sf, "documents").select("doc_id", embed_text(F.col("text")).alias("v"))
+    vectors = wide_table(spark, sf, "documents").select("doc_id", embed_text(F.col("text")).alias("v"))
     return vectors.select("doc_id", F.posexplode("v").alias("bucket", "w")).filter("w > 0").select(
         "doc_id", "bucket", F.col("w").cast("double").alias("weight")
     )

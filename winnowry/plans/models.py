@@ -6,7 +6,7 @@ from .. import fixed_values as fv
 from ..functions import annotations as an, prompts as pr, replies as rp
 from ..operators import labeling as lb
 from ..sources.jsonl import annotator_suffix
-from ..sources.tables import table
+from ..sources.tables import table, wide_table
 from .registry import query, quoted, round2
 
 LOW, AI = fv.LOW_QUALITY, fv.AI_GENERATED
@@ -61,7 +61,7 @@ PARSED = f"""parsed AS (SELECT event_id, event_type, event_type IN ('signup', 'p
 
 
 def replies(spark, sf):
-    return table(spark, sf, "events").select("event_id", "event_type", F.expr(REPLY).alias("reply"))
+    return wide_table(spark, sf, "events").select("event_id", "event_type", F.expr(REPLY).alias("reply"))
 
 
 @query("parse_task_results", f"""WITH {PARSED}
@@ -103,7 +103,7 @@ SINGLE = f"""CASE event_type WHEN 'error' THEN 'none' WHEN 'view' THEN '{{"label
   CASE WHEN event_type = 'signup' THEN 'e' ELSE '' END AS evidence,
   CASE WHEN event_type = 'signup' THEN CAST({NUMBER} AS DOUBLE) ELSE 0.0::DOUBLE END AS confidence, '{AI}' AS task_id FROM events""")
 def parse_single_label(spark, sf):
-    events = table(spark, sf, "events").select("event_id", F.expr(SINGLE).alias("reply"))
+    events = wide_table(spark, sf, "events").select("event_id", F.expr(SINGLE).alias("reply"))
     return events.select("event_id", rp.parse_single_label(F.col("reply"), AI).alias("p")).select("event_id", "p.*")
 
 
@@ -120,7 +120,7 @@ PROVIDER = "CASE event_id % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'openai' WHEN 2 TH
   CASE event_id % 4 WHEN 1 THEN event_id WHEN 2 THEN 5 ELSE 2 END AS prompt_tokens,
   CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 1 ELSE 3 END AS completion_tokens FROM events""")
 def unwrap_response(spark, sf):
-    events = table(spark, sf, "events").withColumns(
+    events = wide_table(spark, sf, "events").withColumns(
         {"body": F.expr(BODY.replace("\\n", "\\\\n")), "provider": F.expr(PROVIDER)}
     )
     parts = rp.unwrap_response(F.col("body"), F.col("provider"), F.lit("two words"))
@@ -130,7 +130,7 @@ def unwrap_response(spark, sf):
 @query("estimate_tokens", r"""SELECT doc_id, len(regexp_extract_all(text, '[一-鿿]')) +
   len(regexp_extract_all(text, '[^\t\n\x0b\f\r 一-鿿]+')) AS tokens FROM documents""")
 def estimate_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", rp.estimate_tokens(F.col("text")).alias("tokens"))
+    return wide_table(spark, sf, "documents").select("doc_id", rp.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 # A stand-in for a model: its reply follows from the length of the prompt.
@@ -156,7 +156,7 @@ labeled AS (SELECT doc_id, source, n, n % 11 = 0 AS failed, CASE WHEN n % 11 = 0
 
 
 def labeled(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = wide_table(spark, sf, "documents").select("doc_id", "source", "text")
     return lb.label_with_model(docs, pr.build_label_prompt(F.col("text")), reply_by_length, "qwen3:8b")
 
 

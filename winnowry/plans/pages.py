@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import pages as pg
-from ..sources.tables import table
+from ..sources.tables import wide_table
 from .cleaning import page_text
 from .registry import PAGE_SPACE, entities, key60, model_input, preview, query
 
@@ -36,7 +36,7 @@ SELECT page_id, question, {strip(bare('footer'))} AS question_detail, answer AS
   coalesce(TRY_CAST(replace(regexp_extract(question, '[0-9,]+'), ',', '') AS BIGINT), 0) AS votes, 'zhihu' AS platform, url
 FROM t WHERE question <> '' AND length(answer) >= 10""")
 def extract_answers(spark, sf):
-    found = pg.extract_answers(table(spark, sf, "pages"), F.lit(""), ANSWERS)
+    found = pg.extract_answers(wide_table(spark, sf, "pages"), F.lit(""), ANSWERS)
     return found.select(
         "page_id", "question", "question_detail", "answer_full", "answer_truncated", "author", "votes", "platform", "url"
     )
@@ -46,7 +46,12 @@ def extract_answers(spark, sf):
 c AS (SELECT page_id, url, 1 AS position, CASE WHEN length(h1) >= 4 THEN h1 ELSE title END AS question, {preview('p')} AS answer_preview FROM t WHERE length(p) >= 20)
 SELECT *, {model_input('question', 'answer_preview')} AS model_input FROM c""")
 def extract_cards(spark, sf):
-    return pg.extract_cards(table(spark, sf, "pages"), CARDS)
+    return pg.extract_cards(wide_table(spark, sf, "pages"), CARDS)
+
+
+@query("broken_pages", "SELECT page_id, url, 'no page' AS error FROM pages WHERE html IS NULL")
+def broken_pages(spark, sf):
+    return pg.broken_pages(wide_table(spark, sf, "pages"))
 
 
 @query("filter_post_like", f"""WITH {PARTS}, c AS (SELECT page_id, article AS inside FROM parts UNION ALL SELECT page_id, ad FROM parts
@@ -54,14 +59,14 @@ def extract_cards(spark, sf):
 SELECT page_id, text FROM t WHERE length(text) >= 10 AND (regexp_matches(markup, '点赞|like|收藏|collect|评论|comment|分享|share|作者|author')
   OR (length(text) > 20 AND contains(markup, '<img')))""")
 def filter_post_like(spark, sf):
-    cards = pg.card_elements(table(spark, sf, "pages"), ["article", ".ad", "footer"])
+    cards = pg.card_elements(wide_table(spark, sf, "pages"), ["article", ".ad", "footer"])
     return pg.filter_post_like(cards).select("page_id", "text")
 
 
 @query("extract_detail_text", f"""WITH {PARTS}, t AS (SELECT page_id, {page_text('footer')} AS footer, {page_text('article')} AS article FROM parts)
 SELECT page_id, CASE WHEN length(footer) > 50 THEN footer ELSE article END AS text FROM t""")
 def extract_detail_text(spark, sf):
-    found = pg.extract_detail_text(table(spark, sf, "pages"), False, [".none", "footer", "article"])
+    found = pg.extract_detail_text(wide_table(spark, sf, "pages"), False, [".none", "footer", "article"])
     return found.select("page_id", "text")
 
 
@@ -73,7 +78,7 @@ firsts AS (SELECT * FROM links WHERE link_id <> '' QUALIFY row_number() OVER (PA
 
 
 def links(spark, sf):
-    return pg.extract_links(table(spark, sf, "pages"), WORD_LINK, "https://example.com/")
+    return pg.extract_links(wide_table(spark, sf, "pages"), WORD_LINK, "https://example.com/")
 
 
 @query("extract_links", f"WITH {LINKS} SELECT page_id, link_id, position, 'https://example.com/' || link_id AS url, title FROM firsts")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import annotations as an, detectors as dt, prompts as pr
 from ..operators import actions as ac, knn, scoring as sc
-from ..sources.tables import table
+from ..sources.tables import table, wide_table
 from .registry import clean, query, quoted, round2, values
 
 LOW, AI = fv.LOW_QUALITY, fv.AI_GENERATED
@@ -24,7 +24,7 @@ def hits(c, words):
 
 @query("keyword_hits", f"SELECT doc_id, array_to_string({hits('text', WORDS)}, ',') AS hits FROM documents")
 def keyword_hits(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = wide_table(spark, sf, "documents")
     return docs.select("doc_id", F.array_join(dt.keyword_hits(F.col("text"), WORDS), ",").alias("hits"))
 
 
@@ -35,7 +35,7 @@ LOW_HITS = f"CASE WHEN platform = 'zhihu' THEN {hits('text', PLATFORM_WORDS['zhi
 @query("keyword_hits_by_platform", f"""SELECT doc_id, array_to_string({LOW_HITS}, ',') AS hits FROM (
   SELECT *, {PLATFORM} AS platform FROM documents)""")
 def keyword_hits_by_platform(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("platform", F.expr(PLATFORM))
+    docs = wide_table(spark, sf, "documents").withColumn("platform", F.expr(PLATFORM))
     found = dt.keyword_hits_by_platform(F.col("text"), F.col("platform"), WORDS, PLATFORM_WORDS)
     return docs.select("doc_id", F.array_join(found, ",").alias("hits"))
 
@@ -71,7 +71,7 @@ SELECT doc_id, confidence > 0.5::DOUBLE AS should_filter, confidence, concat_ws(
   CASE WHEN words > 0 THEN '包含 ' || words || ' 个低质量关键词' END, CASE WHEN patterns > 0 THEN '匹配 ' || patterns || ' 个低质量模式' END,
   CASE WHEN choppy THEN '{fv.REASON_SENTENCES}' END, CASE WHEN symbols THEN '{fv.REASON_SPECIAL}' END) AS reasons FROM s""")
 def low_quality_score(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = wide_table(spark, sf, "documents").select("doc_id", "text")
     scored = dt.with_low_quality_score(docs, "text", "s", RULE_WORDS)
     return scored.select("doc_id", "s.should_filter", "s.confidence", F.array_join("s.reasons", "; ").alias("reasons"))
 
@@ -84,7 +84,7 @@ def quality_by_language(spark, sf):
     from ..functions.text import normalize_text
     from ..operators.cleaning import drop_short
 
-    docs = table(spark, sf, "documents").select("lang", normalize_text(F.col("text")).alias("clean"))
+    docs = wide_table(spark, sf, "documents").select("lang", normalize_text(F.col("text")).alias("clean"))
     scored = dt.with_low_quality_score(drop_short(docs, "clean"), "clean", "s", RULE_WORDS)
     points = F.round(F.col("s.confidence") * 10000).cast("bigint")
     return scored.groupBy("lang").agg(
@@ -97,7 +97,7 @@ def quality_by_language(spark, sf):
 @query("fallback_rule_score", f"""SELECT doc_id, n > 0 AS should_filter, least(0.9::DOUBLE, 0.5::DOUBLE + n::DOUBLE * 0.15::DOUBLE) AS confidence
 FROM (SELECT doc_id, len({hits('text', RULE_KEYS)}) AS n FROM documents)""")
 def fallback_rule_score(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = wide_table(spark, sf, "documents")
     return docs.select("doc_id", dt.fallback_rule_score(F.col("text"), LOW, RULE_KEYS).alias("s")).select("doc_id", "s.*")
 
 
@@ -161,7 +161,7 @@ def label_centers(spark, sf):
 @query("knn_join", f"""WITH {CENTERS}, q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT query_id, id, neighbor_rank, round(distance, 4) AS distance FROM ({nearest('q', 'centers', 'vec_id', 'id')})""")
 def knn_join(spark, sf):
-    queries = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = wide_table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     found = knn.knn_join(queries, label_centers(spark, sf))
     return found.withColumn("distance", F.round("distance", 4))
 
@@ -181,7 +181,7 @@ def knn_votes(spark, sf):
     base = label_centers(spark, sf).withColumn("odd", (F.col("id") % 2).cast("int"))
     local = knn.collect_base(base, ["id", "embedding", "odd"])
     near = knn.nearest_examples(F.col("embedding"), local, {"odd": "int"})
-    return table(spark, sf, "embeddings").select("vec_id", near.alias("n")).select(
+    return wide_table(spark, sf, "embeddings").select("vec_id", near.alias("n")).select(
         F.col("vec_id").alias("query_id"), dt.knn_votes(F.col("n"), "odd").alias("votes")
     )
 
@@ -230,7 +230,7 @@ ANSWER = f"""SELECT doc_id, low AS is_low_quality, ai AS is_ai_generated, greate
 
 
 def requests(spark, sf):
-    return table(spark, sf, "documents").select(
+    return wide_table(spark, sf, "documents").select(
         "doc_id", "text", F.expr(PLATFORM).alias("platform"), F.lit(None).cast("array<string>").alias("task_ids")
     )
 

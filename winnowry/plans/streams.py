@@ -2,14 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv, schemas
 from ..functions import detectors as dt
+from ..operators.actions import default_settings
 from ..operators.ordering import last_per_key
 from ..session import scratch_path
 from ..sources.tables import answers_from_documents, table
-from ..streaming import jobs
+from ..streaming import jobs, page_scan
 from .annotations import MODEL, annotate
-from .registry import RAW, query
-from .scoring import RULE_KEYS, hits
+from .pages import CARDS
+from .registry import RAW, SQL, query
+from .scoring import AI_WORDS, PLATFORM, PLATFORM_WORDS, RULE_KEYS, SCORED, WORDS, hits
 
 LOW = "is_low_quality"
 
@@ -47,7 +50,7 @@ def stream_score(spark, sf):
     docs = stream(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("seen"))
     score = lambda df: df.select("doc_id", dt.fallback_rule_score(F.col("text"), LOW, RULE_KEYS).alias("s")).select("doc_id", "s.*")
     store, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "scored-state")
-    jobs.ingest_append(jobs.stream_score(docs, score, "doc_id"), store, checkpoint).awaitTermination()
+    jobs.ingest_append(jobs.stream_score(docs, score, "doc_id", keep_all_keys=True), store, checkpoint).awaitTermination()
     return spark.read.schema("doc_id bigint, should_filter boolean, confidence double").parquet(store)
 
 
@@ -67,3 +70,38 @@ def stream_label_stats(spark, sf):
     schema = "task_id string, positive bigint, negative bigint, unknown bigint, batch bigint"
     updates = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(store)
     return last_per_key(updates, ["task_id"], "batch").drop("batch")
+
+
+# The stored pages are of other sites than the default platforms.
+SITES = [
+    ("xiaohongshu", "", "*example.com/*", ["ai-content", "low-quality"], ["blur", "label"], True),
+    ("zhihu", "", "*example.net/*", ["low-quality"], ["label", "hide"], True),
+    ("other", "", "*example.org/*", ["low-quality"], ["label"], False),
+]
+LIMITS = [("ai-content", "", "", True, 0.3), ("low-quality", "", "", True, 0.52)]
+POST = f"""documents AS (SELECT sha1(platform || '|' || model_input) AS doc_id, platform, model_input AS text, page_id, position FROM (
+  SELECT *, CASE WHEN url LIKE '%example.com/%' THEN 'xiaohongshu' WHEN url LIKE '%example.net/%' THEN 'zhihu' END AS platform FROM ({SQL['extract_cards']}))
+  WHERE platform IS NOT NULL QUALIFY row_number() OVER (PARTITION BY platform, model_input ORDER BY page_id % 2, page_id, position) = 1)"""
+ACTED = f"""hit2 AS (SELECT doc_id, detector_id, confidence FROM (SELECT doc_id, 'low-quality' AS detector_id, low AS flag, low_conf AS confidence, 0.52::DOUBLE AS least FROM by_examples
+    UNION ALL SELECT doc_id, 'ai-content', ai, ai_conf, 0.3::DOUBLE FROM by_examples) WHERE flag AND confidence >= least),
+act AS (SELECT d.*, detector_id, confidence FROM documents d JOIN hit2 USING (doc_id) WHERE detector_id = 'low-quality' OR platform = 'xiaohongshu')
+SELECT doc_id AS post_id, platform, page_id, position, detector_id, confidence, 'label' AS effect_id, NULL::DOUBLE AS strength,
+  CASE detector_id WHEN 'ai-content' THEN '{fv.DETECTOR_LABELS['ai-content']}' ELSE '{fv.DETECTOR_LABELS['low-quality']}' END AS label_text FROM act
+UNION ALL SELECT doc_id, platform, page_id, position, detector_id, confidence, 'blur', 8.0::DOUBLE, NULL FROM act WHERE platform = 'xiaohongshu'"""
+
+
+@query("stream_page_scan", f"WITH {POST}, {SCORED.replace(f'(SELECT *, {PLATFORM} AS platform FROM documents)', 'documents')}, {ACTED}")
+def stream_page_scan(spark, sf):
+    """Pages of even ids, then after a restart those of odd ids and all the even ones again: every post acts once."""
+    settings = default_settings(spark) | {
+        "platforms": spark.createDataFrame(SITES, schemas.PLATFORMS), "detectors": spark.createDataFrame(LIMITS, schemas.DETECTORS)
+    }
+    pages = table(spark, sf, "pages").withColumn("seen_at", F.timestamp_seconds("page_id"))
+    inbox, store, checkpoint = (scratch_path(spark, n) for n in ("inbox", "scan", "scan-state"))
+    detect = lambda posts: page_scan.detect_by_cascade(posts, keywords=WORDS, by_platform=PLATFORM_WORDS, ai_keywords=AI_WORDS)
+    for some in (pages.filter("page_id % 2 = 0"), pages):
+        some.write.mode("append").parquet(inbox)
+        arrived = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 8).parquet(inbox)
+        page_scan.scan_pages(arrived, store, checkpoint, "seen_at", "400 days", settings, CARDS, detect).awaitTermination()
+    columns = "post_id string, platform string, page_id bigint, position int, detector_id string, confidence double, effect_id string, strength double, label_text string"
+    return spark.read.schema(columns).option("recursiveFileLookup", True).parquet(store)

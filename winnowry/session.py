@@ -6,6 +6,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# A setting of this library: into how many tasks a table for heavy work is dealt, on one machine.
+SPREAD = "spark.winnowry.spread"
+
+
 def local_session(cores="*", shuffle_partitions=8, memory="12g"):
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -14,6 +18,7 @@ def local_session(cores="*", shuffle_partitions=8, memory="12g"):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config(SPREAD, str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
@@ -38,6 +43,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def send_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """A settings-like table, sent to all tasks if it has at most ``rows`` rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,12 +5,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as fv
 from ..functions.annotations import annotation
 from ..functions.text import truncate_legacy
+from ..session import SPREAD
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row.
+
+    A file of one row group is one task, whatever the split size. A session on one machine may name in SPREAD into how many
+    tasks such a table is dealt, so that all cores work; without the setting, as on a cluster, it is read as it lies.
+    """
+    df, tasks = table(spark, folder, name), spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks)) if tasks else df
+
+
 def answers_from_documents(documents: DataFrame) -> DataFrame:
     """Documents as raw answers: the first line is the question, the source the author."""
     return documents.select(

@@ -1,12 +1,11 @@
 """Incremental ingest, scoring and counting."""
 
-import hashlib
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.dedup import dedup_key, dedup_new
+from ..operators.dedup import KEY_CHARS, dedup_key, dedup_new
 from ..operators.labeling import label_stats
-from ..session import path_exists
+from ..session import materialize, path_exists
+from .key_index import KeyIndex
 
 
 def dedup_within(stream: DataFrame, time: str, delay: str) -> DataFrame:
@@ -20,23 +19,32 @@ def stored_records(spark, store: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(store) if path_exists(spark, store) else spark.createDataFrame([], schema)
 
 
-def ingest_exact(stream: DataFrame, store: str, checkpoint: str, order: str):
+def query_name(spark) -> str:
+    """A name of the running streaming query that it keeps when it starts again from its checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId").replace("-", "")
+
+
+def ingest_exact(stream: DataFrame, store: str, checkpoint: str, order: str, prefix_chars: int | None = KEY_CHARS):
     """Append records whose key is in no earlier record: each batch is reduced to its first record per key
     and anti-joined with the stored keys.
 
-    The store keeps a digest of every key in a column of its own, so a batch reads that narrow column and not
-    the stored texts. A batch of a stream (told by its checkpoint) writes its own folder: if it runs again, it
-    replaces what it wrote before, and nothing of another stream or batch.
+    The store keeps an index of the digests of all keys, of which a batch opens only the buckets that may hold one of its
+    own. A batch writes a folder and a part of the index that are named by its query and number: if it
+    runs again, it replaces what it wrote before, and nothing of another stream or batch.
     """
     digest = "dedup_digest"
-    own = hashlib.sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        keys = stored_records(batch.sparkSession, store, f"{digest} string, stream string, batch int")
-        earlier = keys.filter(~((F.col("stream") == f"s{own}") & (F.col("batch") == batch_id))).select(digest)
-        first = dedup_new(batch, order)
-        new = first.withColumn(digest, F.sha1(dedup_key(first))).join(earlier, digest, "left_anti")
-        new.write.mode("overwrite").parquet(f"{store}/stream=s{own}/batch={batch_id}")
+        spark = batch.sparkSession
+        own = query_name(spark)
+        index = KeyIndex(spark, store)
+        first = dedup_new(batch, order, prefix_chars)
+        first = materialize(first.withColumn(digest, F.sha1(dedup_key(first, prefix_chars))), "ingest-first")
+        earlier = index.known(first.select(F.col(digest).alias("digest")), f"{own}-{batch_id}").withColumnRenamed("digest", digest)
+        path = f"{store}/stream=s{own}/batch={batch_id}"
+        first.join(earlier, digest, "left_anti").write.mode("overwrite").parquet(path)
+        index.add(spark.read.schema(f"{digest} string").parquet(path).select(F.col(digest).alias("digest")), f"{own}-{batch_id}")
+        index.merge()
 
     return (
         stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
@@ -52,14 +60,18 @@ def ingest_append(stream: DataFrame, store: str, checkpoint: str, fmt: str = "pa
     )
 
 
-def stream_score(posts: DataFrame, score, key: str = "post_id", time: str | None = None, delay: str | None = None) -> DataFrame:
+def stream_score(
+    posts: DataFrame, score, key: str = "post_id", time: str | None = None, delay: str | None = None, keep_all_keys: bool = False
+) -> DataFrame:
     """Score each unseen post once: repeats out, then any stateless ``score(DataFrame) -> DataFrame``.
 
-    With an event time the state is bounded by ``delay``, which must be given: later records are dropped.
-    Without one every key is kept.
+    With an event time the state is bounded by ``delay``: later records are dropped. Without one every key is kept
+    for ever, which must be asked for.
     """
     if (time is None) != (delay is None):
         raise ValueError("an event time and its delay come together")
+    if time is None and not keep_all_keys:
+        raise ValueError("give an event time and a delay, or keep_all_keys")
     if time is None:
         fresh = posts.dropDuplicates([key])
     else:
