@@ -168,7 +168,7 @@ def find_regions(
     selector order. ``items`` are the elements that match any ``scope`` selector, in document order and
     without repeats; with ``element`` each also carries its own text and markup as ``self``. A page without a
     body element is its own body. A null page has no regions; one that cannot be parsed has none either and
-    says why in ``error``.
+    says why in ``error``. To have a page parsed once, put the result into ``operators.stages.computed``.
     """
     page, scope, fields = page or {}, scope or [], fields or {}
     shape = lambda names: ",".join(f"{n}:array<{FIELD}>" for n in names)
@@ -214,5 +214,4 @@ def find_regions(
         rows = [dict.fromkeys(names) | (safe(t) if t is not None else {}) for t in s]
         return pd.DataFrame({n: pd.Series([r[n] for r in rows], index=s.index, dtype=object) for n in names})
 
-    # Not repeatable as far as the plan is concerned: a later filter must not have pages parsed twice.
-    return regions.asNondeterministic()(html)
+    return regions(html)

@@ -1,16 +1,19 @@
 """Raw answers to cleaned samples."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.annotations import empty_annotations
 from .dedup import answer_text
-from .stages import filter_computed
+from .stages import computed, filter_computed
 
 
-def drop_short(df: DataFrame, column: str = "answer_full_clean", n: int = fv.MIN_ANSWER_CHARS) -> DataFrame:
-    return filter_computed(df, F.length(column) >= n)
+def drop_short(
+    df: DataFrame, column: str = "answer_full_clean", n: int = fv.MIN_ANSWER_CHARS, costly: list[str] | None = None
+) -> DataFrame:
+    """Rows whose text is long enough. ``costly`` names computed columns that later filters must not compute again."""
+    return filter_computed(df, F.length(column) >= n, [column] if costly is None else costly)
 
 
 def purge_invalid(raw: DataFrame, n: int = fv.MIN_RAW_ANSWER_CHARS) -> DataFrame:
@@ -53,12 +56,21 @@ def _derived(raw: DataFrame, entities: bool) -> DataFrame:
     )
 
 
-def clean_answers(raw: DataFrame, include_answer_in_id: bool = False, entities: bool = True) -> DataFrame:
-    """Cleaned samples: short answers dropped, texts derived, annotations empty."""
+def clean_answers(
+    raw: DataFrame, include_answer_in_id: bool = False, entities: bool = True, observation: Observation | None = None
+) -> DataFrame:
+    """Cleaned samples: short answers dropped, texts derived, annotations empty.
+
+    An ``observation`` gets the counters of ``cleaning_stats`` while the samples are written, with no pass of its own.
+    """
     col = lambda name, default: (
         F.coalesce(F.col(name), F.lit(default)) if name in raw.columns else F.lit(default)
     )
-    d = drop_short(_derived(raw, entities), "_clean")
+    d = _derived(raw, entities)
+    if observation is not None:
+        d = computed(d, {c: F.col(c) for c in d.columns if c not in raw.columns})
+        d = d.observe(observation, *[c.alias(n) for n, c in stat_columns().items()])
+    d = drop_short(d, "_clean", costly=[c for c in d.columns if c not in raw.columns])
     platform = col("platform", fv.DEFAULT_PLATFORM)
     d = d.withColumn("model_input", tx.build_model_input(F.col("_question"), F.col("_preview")))
     return d.select(
@@ -91,21 +103,25 @@ def clean_answers(raw: DataFrame, include_answer_in_id: bool = False, entities:
     )
 
 
-def cleaning_stats(raw: DataFrame, entities: bool = True) -> DataFrame:
-    """One row of counters. Html, space and contact counts come before the length filter, the rest after."""
-    d = _derived(raw, entities)
+def stat_columns() -> dict[str, Column]:
+    """Counters over derived records. Html, space and contact counts come before the length filter, the rest after."""
     kept = F.col("_after") >= fv.MIN_ANSWER_CHARS
     changed = (F.col("_legacy") != "") & (F.col("_legacy") != F.col("_preview"))
-    return d.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(kept).alias("written"),
-        F.count_if(~kept).alias("filtered_short"),
-        F.count_if("_had_html").alias("html_touched"),
-        F.count_if("_spaced").alias("whitespace_normalized"),
-        F.count_if("_contact").alias("contact_hint_hits"),
-        F.count_if(kept & F.col("_cut")).alias("preview_truncated"),
-        F.count_if(kept & changed).alias("preview_changed_vs_legacy"),
-    )
+    return {
+        "total": F.count(F.lit(1)),
+        "written": F.count_if(kept),
+        "filtered_short": F.count_if(~kept),
+        "html_touched": F.count_if("_had_html"),
+        "whitespace_normalized": F.count_if("_spaced"),
+        "contact_hint_hits": F.count_if("_contact"),
+        "preview_truncated": F.count_if(kept & F.col("_cut")),
+        "preview_changed_vs_legacy": F.count_if(kept & changed),
+    }
+
+
+def cleaning_stats(raw: DataFrame, entities: bool = True) -> DataFrame:
+    """One row of counters."""
+    return _derived(raw, entities).agg(*[c.alias(n) for n, c in stat_columns().items()])
 
 
 def cleaning_example_view(raw: DataFrame, order: str, n: int = 5, entities: bool = True) -> DataFrame:
@@ -114,7 +130,7 @@ def cleaning_example_view(raw: DataFrame, order: str, n: int = 5, entities: bool
     clip = lambda name, size: F.substring(F.coalesce(F.col(name), F.lit("")), 1, size)
     changed = (F.col("_legacy") != "") & (F.col("_legacy") != F.col("_preview"))
     return (
-        filter_computed(d, (F.col("_after") >= fv.MIN_ANSWER_CHARS) & changed)
+        filter_computed(d, (F.col("_after") >= fv.MIN_ANSWER_CHARS) & changed, [c for c in d.columns if c not in raw.columns])
         .orderBy(order)
         .limit(n)
         .select(

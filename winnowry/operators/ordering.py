@@ -1,11 +1,15 @@
 """Order-based operators. "First" and "last" always name an order column: a distributed read has none."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import materialize, send_if_small
 
 LEVEL_BITS = 12
 KEY_BITS = 60
+# Of a row's digest, behind its order: together they fit 38 decimal digits.
+PLACE_BITS = 61
 COLLECT_ROWS = 4096
 
 
@@ -22,18 +26,46 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return _extreme_per_key(df, keys, order, F.max_by)
 
 
+def _as_number(c: Column, kind) -> Column | None:
+    """A whole or time column as a long in the same order; None for other types."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return c.cast("bigint")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    return None
+
+
 def _extreme_per_key(df, keys, order, pick):
-    """One row per key. Every map task sends at most one row per key, so a hot key stays cheap.
+    """One row per key. Rows without an order come last, for the last row first; among equal orders the row's digest
+    decides, so the choice does not depend on partitions.
 
-    Rows without an order come last, for the last row first; among equal orders the row's digest decides, so
-    the choice does not depend on partitions.
+    With a whole or time order, a row's place is one number: its order, then its digest. A hash aggregate
+    over (digest of the key, place) finds the first place of each key, and a semi join brings its row back; no text is
+    sorted to find it, and a hot key is one row for each map task in the aggregate. Equal rows are one. With
+    another order the row itself goes through the aggregate.
     """
+    first = pick is F.min_by
     rest = [c for c in df.columns if c not in keys]
-    known = F.col(order).isNull() if pick is F.min_by else F.col(order).isNotNull()
     content = [F.to_json(c) if "map<" in df.schema[c].dataType.simpleString() else F.col(c) for c in rest]
-    place = F.struct(known, F.col(order), F.xxhash64(*content))
-    best = df.groupBy(*keys).agg(pick(F.struct(*rest), place).alias("_row"))
-    return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    number = _as_number(F.col(order), df.schema[order].dataType)
+    if number is None:
+        known = F.col(order).isNull() if first else F.col(order).isNotNull()
+        place = F.struct(known, F.col(order), F.xxhash64(*content))
+        best = df.groupBy(*keys).agg(pick(F.struct(*rest), place).alias("_row"))
+        return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+    digest = F.shiftrightunsigned(F.xxhash64(*content), 64 - PLACE_BITS)
+    step = F.lit(Decimal(1 << PLACE_BITS))
+    shifted = (number.cast("decimal(20,0)") + F.lit(Decimal(1 << 63))) * step
+    unknown = F.lit(Decimal(1 << 64) if first else Decimal(-1)) * step
+    place = (F.coalesce(shifted.cast("decimal(38,0)"), unknown.cast("decimal(38,0)")) + digest).cast("decimal(38,0)")
+    key = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    placed = df.withColumns({"_key_digest": key, "_place": place})
+    best = placed.groupBy("_key_digest").agg((F.min if first else F.max)("_place").alias("_place"))
+    met = placed.join(best, ["_key_digest", "_place"], "left_semi")
+    same = Window.partitionBy("_key_digest", "_place").orderBy("_key_digest", "_place")
+    return met.withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").select(*df.columns)
 
 
 def hash_key(seed, *parts: Column) -> Column:

@@ -6,7 +6,7 @@ from .. import fixed_values as fv
 from ..functions import text as tx
 from ..functions.regions import find_regions
 from .ordering import first_per_key, hash_key
-from .stages import filter_computed
+from .stages import computed, filter_computed
 
 
 def _strip(c: Column) -> Column:
@@ -15,6 +15,11 @@ def _strip(c: Column) -> Column:
     )
 
 
+def _parsed(pages: DataFrame, regions: Column, keep: list[str] | None = None) -> DataFrame:
+    """The pages' columns with their regions ``r``. A page is parsed once; filters on other columns reach the scan."""
+    return computed(pages.select("page_id", "url", *(keep or []), "html"), {"r": regions}).drop("html")
+
+
 def _first(regions: Column) -> Column:
     return F.try_element_at(regions, F.lit(1))
 
@@ -28,7 +33,7 @@ def extract_answers(pages: DataFrame, collected_at: Column, selectors=None) -> D
     )
     text = lambda field: _strip(_first(F.col(field))["text"])
     found = (
-        pages.select("page_id", "url", regions.alias("r"))
+        _parsed(pages, regions)
         .select(
             "page_id", "url",
             text("r.page.title").alias("question"),
@@ -41,7 +46,7 @@ def extract_answers(pages: DataFrame, collected_at: Column, selectors=None) -> D
     named = _strip(F.coalesce(F.nullif(author["text"], F.lit("")), author["content"]))
     long_enough = _first(F.col("item.text")).isNotNull() & (F.length("answer_full") >= fv.MIN_RAW_ANSWER_CHARS)
     return (
-        filter_computed(found.withColumn("answer_full", text("item.text")), long_enough)
+        filter_computed(found.withColumn("answer_full", text("item.text")), long_enough, ["answer_full"])
         .select(
             "page_id", "position", "question", "question_detail", "answer_full",
             tx.truncate_legacy(F.col("answer_full")).alias("answer_truncated"),
@@ -71,14 +76,14 @@ def extract_cards(pages: DataFrame, selectors=None, keep: list[str] | None = Non
     )
     texts = lambda field, part: F.transform(F.col(field), lambda r: tx.page_space(r[part]))
     own = ["page_id", "url", *(keep or [])]
-    found = pages.select(*own, regions.alias("r")).select(
+    found = _parsed(pages, regions, keep).select(
         *own, _first(F.col("r.page.question"))["text"].alias("title"), F.posexplode("r.items").alias("position", "card"),
     )
     preview = tx.build_preview(first_long_enough(texts("card.preview", "visible"), 20))
     question = F.coalesce(first_long_enough(texts("card.question", "text"), 4), tx.page_space(F.col("title")))
     return (
         found.select(*own, "position", question.alias("question"), preview.alias("answer_preview"))
-        .transform(lambda d: filter_computed(d, F.length("answer_preview") >= 20))
+        .transform(lambda d: filter_computed(d, F.length("answer_preview") >= 20, ["question", "answer_preview"]))
         .withColumn("model_input", tx.build_model_input(F.col("question"), F.col("answer_preview")))
     )
 
@@ -86,7 +91,7 @@ def extract_cards(pages: DataFrame, selectors=None, keep: list[str] | None = Non
 def card_elements(pages: DataFrame, selectors=None) -> DataFrame:
     """The second platform's candidate elements with visible text and lower-cased markup."""
     regions = find_regions(F.col("html"), scope=fv.POST_CARDS if selectors is None else selectors, element=True)
-    return pages.select("page_id", "url", F.posexplode(regions["items"]).alias("position", "card")).select(
+    return _parsed(pages, regions).select("page_id", "url", F.posexplode("r.items").alias("position", "card")).select(
         "page_id", "url", "position", tx.page_space(F.col("card.self.visible")).alias("text"),
         F.col("card.self.markup").alias("markup"),
     )
@@ -96,14 +101,14 @@ def filter_post_like(cards: DataFrame, text: str = "text", markup: str = "markup
     """Cards of 10 characters that carry a signal word, or of more than 20 that carry a picture."""
     html = F.lower(markup)
     signal = html.rlike("|".join(fv.POST_SIGNALS)) | ((F.length(text) > 20) & html.contains("<img"))
-    return filter_computed(cards, (F.length(text) >= 10) & signal)
+    return filter_computed(cards, (F.length(text) >= 10) & signal, [text, markup])
 
 
 def broken_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, error) of the pages that give no answers, cards or texts because they are null or can't be parsed."""
-    parsed = pages.select("page_id", "url", F.col("html").isNull().alias("_none"), find_regions(F.col("html"), {"body": ["body"]})["error"].alias("_error"))
-    error = F.when(F.col("_none"), F.lit("no page")).otherwise(F.col("_error"))
-    return filter_computed(parsed.select("page_id", "url", error.alias("error")), F.col("error").isNotNull())
+    parsed = _parsed(pages.withColumn("_none", F.col("html").isNull()), find_regions(F.col("html"), {"body": ["body"]}), ["_none"])
+    error = F.when(F.col("_none"), F.lit("no page")).otherwise(F.col("r.error"))
+    return parsed.select("page_id", "url", error.alias("error")).filter(F.col("error").isNotNull())
 
 
 def is_detail_page(url: Column) -> Column:
@@ -119,7 +124,7 @@ def extract_detail_text(pages: DataFrame, detail_only: bool = True, selectors=No
     wanted = pages.filter(is_detail_page(F.col("url"))) if detail_only else pages
     texts = F.transform(F.col("p.region"), lambda r: tx.page_space(r["visible"]))
     body = tx.page_space(_first(F.col("p.body"))["visible"])
-    return wanted.select("page_id", "url", regions["page"].alias("p")).select(
+    return _parsed(wanted, regions).select("page_id", "url", F.col("r.page").alias("p")).select(
         "page_id", "url", F.when(F.col("p").isNotNull(), F.coalesce(first_long_enough(texts, 51), body)).alias("text")
     )
 

@@ -56,11 +56,13 @@ def classify(
     df: DataFrame, examples: DataFrame | None = None, example_order: str = "ordinal", predict_fn=None,
     threshold: float = fv.MODEL_CONFIDENCE, embed=embed_text, k: int = fv.NEIGHBORS,
     keywords=None, by_platform=None, ai_keywords=None, id_col: str | None = None, small: int = SMALL_BASE_ROWS,
+    search=knn_join_cells,
 ) -> DataFrame:
     """Adds the response columns to score requests (text, platform, task_ids).
 
     A base of at most ``small`` rows travels with the job: one pass without a shuffle. A larger one is searched
-    by cells, with the same results. The model is asked once per row. Rows it is sure about hand a null on to
+    by ``search(queries, base, k)``: by cells, with the same results, unless another search is given, like
+    ``ann.knn_join_lists``. The model is asked once per row. Rows it is sure about hand a null on to
     the embedder and the example search, which skip nulls, so those steps cost only what is needed.
     """
     base = example_rows(
@@ -75,18 +77,18 @@ def classify(
         scored = scored.withColumn("_embedding", vector)
         scored = scored.withColumn("_neighbors", nearest_examples(F.col("_embedding"), local, payload, k))
     else:
-        scored = _neighbors_from_cells(scored, vector, base, id_col, k)
+        scored = _neighbors_from_cells(scored, vector, base, id_col, k, search)
     scored = with_example_response(scored, "_neighbors", "_fallback", keywords, by_platform, ai_keywords)
     return scored.withColumn("_response", F.coalesce("_model", "_fallback")).select(*df.columns, "_response.*")
 
 
-def _neighbors_from_cells(scored: DataFrame, vector: Column, base: DataFrame, id_col: str | None, k: int) -> DataFrame:
+def _neighbors_from_cells(scored: DataFrame, vector: Column, base: DataFrame, id_col: str | None, k: int, search) -> DataFrame:
     """Neighbors from a base that is too large to travel. Model results and the vectors are stored first, under
     ``id_col`` or an id of their own, as they are used twice; so is the base with its vectors."""
     numbered = scored.withColumns({"_ask": F.col(id_col) if id_col else F.monotonically_increasing_id(), "_embedding": vector})
     stored, base = materialize(numbered, "scored"), materialize(base, "example-base")
     asked = stored.filter(F.col("_embedding").isNotNull()).select(F.col("_ask").alias("query_id"), F.col("_embedding").alias("embedding"))
-    found = knn_join_cells(asked, base.select("id", "embedding"), k)
+    found = search(asked, base.select("id", "embedding"), k)
     # A list has at most k entries.
     entry = F.struct("neighbor_rank", "id", "distance", "text", *fv.TASK_IDS)
     lists = (

@@ -51,6 +51,23 @@ def split_ratio_check(val: float, test: float, train: float | None = None) -> No
         raise ValueError("val + test must be below 1")
 
 
+def split_ratio_error(val: Column, test: Column, train: Column | None = None) -> Column:
+    """The same for a table of ratios: what is wrong with a row, null if nothing is."""
+    inside = lambda c: F.coalesce((c > 0) & (c < 1), F.lit(False))
+    whole = F.lit(False) if train is None else F.coalesce(F.abs(train + val + test - 1.0) > 1e-8, F.lit(False))
+    return (
+        F.when(whole, "the ratios must add up to 1")
+        .when(~inside(val), "val must lie between 0 and 1").when(~inside(test), "test must lie between 0 and 1")
+        .when(val + test >= 1, "val + test must be below 1")
+    )
+
+
+def class_checks(df: DataFrame, by: list[str], label: str = "task_label") -> DataFrame:
+    """(by, positive, negative, both_classes) for every group of rows, by one aggregate."""
+    counted = df.groupBy(*by).agg(F.count_if(F.col(label)).alias("positive"), F.count_if(~F.col(label)).alias("negative"))
+    return counted.withColumn("both_classes", (F.col("positive") > 0) & (F.col("negative") > 0))
+
+
 def class_counts(df: DataFrame, label: str = "task_label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -1,34 +1,10 @@
 """Rules that stored annotations must follow."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .. import fixed_values as fv
+from . import tasks as ts
 
 
-def validate_annotations(df: DataFrame, field: str = "task_annotations") -> DataFrame:
-    """One row per (sample, task) that breaks a rule, with the names of the broken rules."""
-    a = lambda name: F.col(f"annotation.{name}")
-    status = (
-        F.when(a("label").isNull(), "unlabeled").when(a("label"), "labeled_positive").otherwise("labeled_negative")
-    )
-    reason = F.coalesce(a("reason"), F.lit(""))
-    known_reason = F.lit(False)
-    for task in fv.TASKS:
-        known_reason = F.when(
-            F.col("task_id") == task["task_id"], reason.isin(task["reason_options"])
-        ).otherwise(known_reason)
-    rules = {
-        "unknown_task": ~F.col("task_id").isin(fv.TASK_IDS),
-        "status_mismatch": ~a("status").eqNullSafe(status),
-        "unknown_status": ~F.coalesce(a("status").isin(fv.ANNOTATION_STATUSES), F.lit(False)),
-        "unknown_source": ~F.coalesce(a("source").isin(fv.ANNOTATION_SOURCES), F.lit(False)),
-        "confidence_range": F.coalesce(~a("confidence").between(0.0, 1.0), F.lit(False)),
-        "positive_without_reason": F.coalesce(a("label"), F.lit(False)) & (reason == ""),
-        "unknown_reason": (reason != "") & ~known_reason,
-    }
-    broken = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
-    return (
-        df.select("sample_id", F.explode(field).alias("task_id", "annotation"))
-        .withColumn("violations", broken)
-        .filter(F.size("violations") > 0)
-    )
+def validate_annotations(df: DataFrame, field: str = "task_annotations", tasks: DataFrame | None = None) -> DataFrame:
+    """One row per (sample, task) that breaks a rule, with the names of the broken rules; ``tasks``: see ``tasks.py``."""
+    return ts.validate(df, ts.default_tasks(df.sparkSession) if tasks is None else tasks, field)

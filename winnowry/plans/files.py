@@ -1,6 +1,6 @@
 """Reader and writer queries: tables go out to the shared folder and come back."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from .. import fixed_values as fv, schemas
 from ..functions import annotations as an
@@ -8,10 +8,10 @@ from ..functions.embedding import embed_text
 from ..operators import knn, training as tr
 from ..operators.cleaning import clean_answers
 from ..session import scratch_path
-from ..sources import jsonl
+from ..sources import checked, jsonl
 from ..sources.tables import gold_annotations, table, wide_table
 from .cleaning import raw_answers
-from .registry import CLEAN, GOLD, query
+from .registry import CLEAN, GOLD, SQL, query
 from .training import SPLIT, labels_only
 
 LOW, AI = fv.LOW_QUALITY, fv.AI_GENERATED
@@ -136,3 +136,30 @@ def write_splits(spark, sf):
     return spark.read.schema(schema).json(path).select("doc_id", "task_id", "split")
 
 
+
+
+@query("write_split_files", f"WITH {SPLIT} SELECT '{LOW}_' || split || '.jsonl' AS file, doc_id FROM split")
+def write_split_files(spark, sf):
+    """One file for each task and split, named by them."""
+    path = scratch_path(spark, "split-files")
+    split = tr.stratified_split(labels_only(spark, sf), "doc_id").select("doc_id", "split", F.lit(LOW).alias("task_id"))
+    checked.write_split_files(split, path)
+    back = spark.read.schema("doc_id bigint").option("pathGlobFilter", "*.jsonl").json(path)
+    return back.select(F.col("_metadata.file_name").alias("file"), "doc_id")
+
+
+@query("write_task_dataset", "SELECT count(*) AS rows, count(*) FILTER (WHERE quality = 0) AS positive, count(*) FILTER (WHERE quality <> 0) AS negative, count(*) AS stored FROM labels")
+def write_task_dataset(spark, sf):
+    """The counts that were gathered and checked while the rows were written."""
+    path = scratch_path(spark, "task-rows")
+    rows = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("task_label"))
+    seen = checked.write_task_dataset(rows, path)
+    return spark.read.parquet(path).agg(*[F.lit(seen[c]).alias(c) for c in ("rows", "positive", "negative")], F.count(F.lit(1)).alias("stored"))
+
+
+@query("cleaning_stats_on_write", SQL["cleaning_stats"])
+def cleaning_stats_on_write(spark, sf):
+    """The counters of cleaning, gathered while the cleaned samples are written."""
+    seen = Observation()
+    clean_answers(raw_answers(spark, sf), observation=seen).write.parquet(scratch_path(spark, "cleaned"))
+    return spark.range(1).select(*[F.lit(v).alias(c) for c, v in seen.get.items()])

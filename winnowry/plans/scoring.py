@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import annotations as an, detectors as dt, prompts as pr
-from ..operators import actions as ac, knn, scoring as sc
+from ..functions.embedding import embed_text
+from ..operators import actions as ac, ann, knn, scoring as sc
 from ..sources.tables import table, wide_table
 from .registry import clean, query, quoted, round2, values
 
@@ -214,15 +215,20 @@ def _result(task, score, cutoff, hit_list):
 
 LOW_POS, LOW_CONF, LOW_WHY = _result(LOW, "low_score", 0.45, "low_hits")
 AI_POS, AI_CONF, AI_WHY = _result(AI, "ai_score", 0.5, "ai_hits")
-SCORED = f"""{_examples()}, {embedded('dv', 'documents', 'doc_id')}, {embedded('ev', 'ex', 'id')},
+def scored_by(examples: str, source: str) -> str:
+    """The scores of a source (doc_id, text) from examples ex(id, text, low, ai)."""
+    return f"""{examples}, {embedded('dv', source, 'doc_id')}, {embedded('ev', 'ex', 'id')},
 near AS ({nearest('dv', 'ev', 'doc_id', 'id')}),
 votes AS (SELECT query_id AS doc_id, CAST(sum(low) AS DOUBLE) / 3.0::DOUBLE AS low_votes, CAST(sum(ai) AS DOUBLE) / 3.0::DOUBLE AS ai_votes,
   max(CASE WHEN neighbor_rank = 1 THEN substring(text, 1, 80) || '...' END) AS rag_example FROM near JOIN ex USING (id) GROUP BY 1),
-hit AS (SELECT doc_id, text, {LOW_HITS} AS low_hits, {hits('text', AI_WORDS)} AS ai_hits FROM (SELECT *, {PLATFORM} AS platform FROM documents)),
+hit AS (SELECT doc_id, text, {LOW_HITS} AS low_hits, {hits('text', AI_WORDS)} AS ai_hits FROM (SELECT *, {PLATFORM} AS platform FROM {source})),
 score AS (SELECT *, low_votes * 0.6::DOUBLE + least(0.4::DOUBLE, len(low_hits)::DOUBLE * 0.15::DOUBLE) AS low_score,
   ai_votes * 0.6::DOUBLE + least(0.4::DOUBLE, len(ai_hits)::DOUBLE * 0.18::DOUBLE) AS ai_score FROM hit JOIN votes USING (doc_id)),
 by_examples AS (SELECT doc_id, {LOW_POS} AS low, {AI_POS} AS ai, {LOW_CONF} AS low_conf, {AI_CONF} AS ai_conf,
   {LOW_WHY} AS low_why, {AI_WHY} AS ai_why, rag_example FROM score)"""
+
+
+SCORED = scored_by(_examples(), "documents")
 ANSWER = f"""SELECT doc_id, low AS is_low_quality, ai AS is_ai_generated, greatest(low_conf, ai_conf) AS confidence,
   CASE WHEN ai THEN 'ai_generated' WHEN low THEN 'low_quality' ELSE 'genuine' END AS label,
   CASE WHEN low AND ai THEN '{LOW}: ' || low_why || ' | {AI}: ' || ai_why WHEN low THEN '{LOW}: ' || low_why
@@ -330,3 +336,45 @@ def merge_settings(spark, sf):
     defaults = events.groupBy("section").agg(F.max("value").alias("value"))
     stored = events.filter("event_type = 'signup'").groupBy("section").agg(F.min("value").alias("value"))
     return ac.merge_settings(defaults, stored)
+
+
+# ---- a base of more rows than travel with a job ------------------------------------------------------
+
+LARGE = """large AS (SELECT 'd' || doc_id AS place, text FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations),
+ex AS (SELECT 'example_' || place AS id, text, CAST(length(text) % 3 = 0 AS INT) AS low, CAST(length(text) % 3 = 1 AS INT) AS ai FROM large)"""
+TITLES = "titles AS (SELECT page_id AS doc_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS text FROM pages)"
+
+
+def large_base(spark, sf):
+    """All documents and turns as labeled examples; their label follows their length."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("place"), "text")
+    turns = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("place"), "text")
+    kind = F.length("text") % 3
+    label = F.when(kind == 0, "low_quality").when(kind == 1, "ai_generated").otherwise("genuine")
+    return docs.unionByName(turns).select(
+        "text", F.lit(None).cast("string").alias("category"), label.alias("label"),
+        F.lit(None).cast("map<string,struct<label:boolean,reason:string>>").alias("task_annotations"), "place",
+    )
+
+
+def titles(spark, sf):
+    title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
+    return table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), title.alias("text"))
+
+
+@query("classify_large_base", f"WITH {TITLES}, {LARGE}, {scored_by('', 'titles').removeprefix(', ')}, whole AS (SELECT *, '{fv.METHOD_EXAMPLES}' AS detect_method FROM by_examples) {ANSWER} FROM whole")
+def classify_large_base(spark, sf):
+    """Titles scored from a base that is searched by cells."""
+    asked = titles(spark, sf).select("*", F.expr(PLATFORM).alias("platform"), F.lit(None).cast("array<string>").alias("task_ids"))
+    return sc.classify(
+        asked, large_base(spark, sf), "place", keywords=WORDS, by_platform=PLATFORM_WORDS, ai_keywords=AI_WORDS, id_col="doc_id"
+    ).drop("text", "platform", "task_ids", "task_results")
+
+
+@query("knn_lists_recall", f"WITH {TITLES} SELECT count(*) AS queries, count(*) * 3 AS pairs, true AS recall_reached FROM titles")
+def knn_lists_recall(spark, sf):
+    """Whether the search by lists and codes meets at least nine tenths of the exact neighbors of all titles."""
+    base = large_base(spark, sf).select(F.col("place").alias("id"), embed_text(F.col("text")).alias("embedding"))
+    asked = titles(spark, sf).select(F.col("doc_id").alias("query_id"), embed_text(F.col("text")).alias("embedding"))
+    found = ann.recall_of(ann.knn_join_lists(asked, base), knn.knn_join_cells(asked, base))
+    return found.select("queries", "pairs", (F.col("recall") >= 0.9).alias("recall_reached"))

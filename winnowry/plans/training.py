@@ -142,3 +142,23 @@ def pack_tokens(spark, sf):
     return packed.select("doc_id", text("input_ids"), text("attention_mask"), text("labels"))
 
 
+
+
+@query("class_checks", """SELECT lang, source, count(*) FILTER (WHERE quality = 0) AS positive, count(*) FILTER (WHERE quality <> 0) AS negative,
+  count(*) FILTER (WHERE quality = 0) > 0 AND count(*) FILTER (WHERE quality <> 0) > 0 AS both_classes
+FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def class_checks(spark, sf):
+    """Which languages and sources have both classes."""
+    labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("task_label"))
+    return tr.class_checks(table(spark, sf, "documents").join(labels, "doc_id"), ["lang", "source"])
+
+
+@query("split_ratio_error", """WITH r AS (SELECT event_id, (event_id % 13 - 1) / 10.0::DOUBLE AS val, (event_id % 7) / 10.0::DOUBLE AS test, (event_id % 11) / 10.0::DOUBLE AS train FROM events)
+SELECT event_id, CASE WHEN event_id % 2 = 0 AND abs(train + val + test - 1.0::DOUBLE) > 1e-8 THEN 'the ratios must add up to 1'
+  WHEN NOT (val > 0 AND val < 1) THEN 'val must lie between 0 and 1' WHEN NOT (test > 0 AND test < 1) THEN 'test must lie between 0 and 1'
+  WHEN val + test >= 1 THEN 'val + test must be below 1' END AS error FROM r""")
+def split_ratio_error(spark, sf):
+    n = F.col("event_id")
+    val, test = (n % 13 - 1) / F.lit(10.0), (n % 7) / F.lit(10.0)
+    train = F.when(n % 2 == 0, (n % 11) / F.lit(10.0))
+    return table(spark, sf, "events").select("event_id", tr.split_ratio_error(val, test, train).alias("error"))

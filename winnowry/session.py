@@ -55,6 +55,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def rename_path(spark: SparkSession, old: str, new: str) -> None:
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if to.getParent() is not None:
+        files.mkdirs(to.getParent())
+    if not files.rename(at, to):
+        raise OSError(f"{old} could not become {new}")
+
+
 def send_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """A settings-like table, sent to all tasks if it has at most ``rows`` rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
