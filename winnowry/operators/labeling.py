@@ -43,10 +43,20 @@ def model_replies(prompt: Column, predict_fn) -> Column:
 
 
 def label_with_model(
-    df: DataFrame, prompt: Column, predict_fn, annotator: str, tokens=estimate_tokens
+    df: DataFrame, prompt: Column, predict_fn, annotator: str, tokens=estimate_tokens, store: str | None = None
 ) -> DataFrame:
-    """Adds ``predicted``, ``failed`` and the token counts. A failed row gets the failure annotations."""
-    answered = df.withColumn("_prompt", prompt).withColumn("_r", model_replies(F.col("_prompt"), predict_fn))
+    """Adds ``predicted``, ``failed`` and the token counts. A failed row gets the failure annotations.
+
+    With a ``store`` the replies are kept there under ``annotator``: the model is asked at once, and once for each
+    distinct prompt that it was not asked before. Without one, every action asks it again.
+    """
+    asked = df.withColumn("_prompt", prompt)
+    if store is None:
+        answered = asked.withColumn("_r", model_replies(F.col("_prompt"), predict_fn))
+    else:
+        from .reply_store import with_stored_replies
+
+        answered = with_stored_replies(asked, F.col("_prompt"), predict_fn, annotator, store, "_r")
     parsed = answered.withColumn("_p", parse_task_results(F.col("_r.reply"), F.lit(annotator)))
     error = F.coalesce(F.col("_r.error"), F.col("_p.error"))
     count = lambda c: F.when(error.isNull(), tokens(c)).otherwise(0).cast("bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions.annotations import task_entry, task_label
 from ..functions.prompts import build_sft_prompt, sft_answer
+from ..session import materialize
 from .ordering import class_histogram, hash_key, shuffle_rows, split_at_ranks, with_row_index
 
 TEXT_FIELDS = ["text", "model_input", "content"]
@@ -121,9 +122,11 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split``: test, val or train. Class sizes are exact; membership follows a seeded hash of the id.
 
-    No row moves: per-class ranks are turned into key limits by counting (see ``split_at_ranks``).
+    No row moves: per-class ranks are turned into key limits by counting (see ``split_at_ranks``). The rows are
+    stored first, so that whatever made them runs once; the counts then read two narrow columns of them.
     """
     split_ratio_check(val, test)
+    df = materialize(df, "split-rows")
     key = hash_key(seed, F.col(id_col))
     histogram = class_histogram(df, F.col(label), key)
     counts = {c: sum(cells.values()) for c, cells in histogram.items()}
@@ -147,6 +150,7 @@ def approximate_split(df: DataFrame, id_col: str, val: float = 0.1, test: float
 def train_test_split(df: DataFrame, id_col: str, test: float, seed=42, label: str = "task_label") -> DataFrame:
     if not 0 < test < 1:
         raise ValueError("test must lie between 0 and 1")
+    df = materialize(df, "split-rows")
     key = hash_key(seed, F.col(id_col))
     histogram = class_histogram(df, F.col(label), key)
     counts = {c: sum(cells.values()) for c, cells in histogram.items()}

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import annotations as an, prompts as pr, replies as rp
 from ..operators import labeling as lb
+from ..session import scratch_path
 from ..sources.jsonl import annotator_suffix
 from ..sources.tables import table, wide_table
-from .registry import query, quoted, round2
+from .registry import SQL, query, quoted, round2
 
 LOW, AI = fv.LOW_QUALITY, fv.AI_GENERATED
 
@@ -167,6 +168,18 @@ def label_with_model(spark, sf):
     )
 
 
+@query("label_with_store", SQL["label_with_model"])
+def label_with_store(spark, sf):
+    """The same from a reply store: each distinct prompt is asked once, though the labels are made twice."""
+    docs = wide_table(spark, sf, "documents").select("doc_id", "text")
+    store = scratch_path(spark, "replies")
+    for _ in range(2):
+        rows = lb.label_with_model(docs, pr.build_label_prompt(F.col("text")), reply_by_length, "qwen3:8b", store=store)
+    return rows.select(
+        "doc_id", "failed", *[an.task_entry(F.col("predicted"), LOW)[c].alias(c) for c in ("label", "reason", "annotator", "confidence")]
+    )
+
+
 @query("run_summary", f"""WITH {LABELED} SELECT count(*) AS rows, count(*) FILTER (WHERE failed) AS failures, count(*) AS need_review FROM labeled""")
 def run_summary(spark, sf):
     rows = lb.attach_auto_labels(labeled(spark, sf), "predicted", "hybrid", "local", "qwen3:8b", "")
