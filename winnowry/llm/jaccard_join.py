@@ -12,10 +12,10 @@ are not multiplied out. Their rows are dealt into blocks of at most ``BLOCK``, a
 only rows of different components, and only where sizes, positions and parity bits leave a link possible. Each row
 has 256 parity bits of its whole set; two rows differ in at least as many shingles as bits.
 
-What is left gets its full overlap count. A row first tries its most promising cell, then the more, the fewer are
-left; rows that are linked become one component and their cells need no test. So all links between components are
-found, and a group of n near copies costs about n tests. The blocks of common columns first meet only themselves,
-which joins the near copies, and all others then, until nothing was left untried.
+What is left gets its full overlap count. A row first tries its most promising cells only; rows that are linked
+become one component and cells inside it need no test; then all others are tested. So all links between components
+are found, and a group of n near copies costs about n tests. The blocks of common columns first meet only themselves,
+which joins the near copies, and all others then.
 
 Words are runs between white space, in lower case for A-Z. A null or empty text has an empty set, no links and itself
 as component; a text of fewer than five words is one shingle. Rows of equal sets are one row of the matrix; rows with
@@ -37,11 +37,12 @@ from .shingles import distinct_shingles
 PERCENT = 80
 FEW = 64
 BLOCK = 4096
-# Tests of a row at a time: the first, and by how much more then.
-FIRST_TESTS, MORE_TESTS = 1, 8
+# Tests of a row at a time; what is left after these goes through all tests at once.
+TESTS = (1, 8)
 # Bytes of text for each counter of columns, and the most counters (broadcast as one byte each).
 TEXT_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 25
 SLICE = 1 << 16
+TASKS_A_CORE = 2
 # Rows with a list of shingles that one task gets, where a table is small.
 LISTS_A_TASK = 5_000
 _BITS = [f"b{i}" for i in range(4)]
@@ -105,7 +106,9 @@ def column_levels(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def done(at, total):
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
 
-    parts = texts.select(text).mapInArrow(count, "slice int, kind string, counts binary")
+    # As many tables as tasks that run at once, whatever the rows.
+    few = texts.select(text).coalesce(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(count, "slice int, kind string, counts binary")
     # At most MOST_COUNTERS numbers, whatever the input.
     slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()
     counts = np.zeros(buckets)
@@ -305,19 +308,21 @@ class Labels:
 
 
 def join_cells(documents: DataFrame, classes: DataFrame, cells: DataFrame, labels: Labels, key: str, text: str) -> None:
-    """Test the cells of the product, the best ones of each row first, until all that could join components are tested."""
-    tests = FIRST_TESTS
-    while n := cells.count():
+    """Test the cells of the product: the best one of each row first, then all that could still join components."""
+    for tests in (TESTS[0], None):
+        n = cells.count()
+        if not n:
+            break
         few = lambda df, n=n: few_tasks(df, n)
         order = W.partitionBy("a").orderBy(F.desc("found"), "b")
         ranked = materialize(few(cells.withColumn("place", F.row_number().over(order))), "jaccard-cells")
         forget(cells)
-        now = ranked.filter(F.col("place") <= tests)
+        now = ranked if tests is None else ranked.filter(F.col("place") <= tests)
         labels.join(links_among(documents, classes, now.select("a", "b"), now.count(), key, text))
-        left = labels.on(labels.on(few(ranked.filter(F.col("place") > tests)), "a", "la", n), "b", "lb", n)
-        cells = materialize(left.filter("la <> lb").select("a", "b", "na", "nb", "found"), "jaccard-cells")
+        if tests is not None:
+            left = labels.on(labels.on(few(ranked.filter(F.col("place") > tests)), "a", "la", n), "b", "lb", n)
+            cells = materialize(left.filter("la <> lb").select("a", "b", "na", "nb", "found"), "jaccard-cells")
         forget(ranked)
-        tests *= MORE_TESTS
 
 
 def common_entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -383,10 +388,10 @@ def compare_blocks(entries: DataFrame, alone: bool, tests: int, n: int) -> DataF
 
 
 def join_common(documents: DataFrame, classes: DataFrame, entries: DataFrame, labels: Labels, key: str, text: str) -> None:
-    """Test what blocks of common columns leave possible, until every row has tried all."""
-    alone, tests = True, FIRST_TESTS
+    """Test what blocks of common columns leave possible: at last, every row has tried all."""
     n = entries.count()
-    while n:
+    # Two blocks have at most 2 * BLOCK rows; hashing makes some larger, so the last round has no limit at all.
+    for alone, tests in ((True, TESTS[0]), (False, TESTS[1]), (False, 1 << 30)) if n else ():
         few = lambda df, n=n: few_tasks(df, n)
         marked = materialize(labels.on(entries, "c", "label", n), "jaccard-marked")
         mixed = few(marked.groupBy("col").agg(F.min("label").alias("x"), F.max("label").alias("y"))).filter("x <> y").select("col")
@@ -399,7 +404,6 @@ def join_common(documents: DataFrame, classes: DataFrame, entries: DataFrame, la
         forget(cells)
         if not alone and not shape["rest"]:
             break
-        alone, tests = False, tests if alone else tests * MORE_TESTS
 
 
 def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,17 +412,20 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     classes = classes_of(rows)
     labels = Labels(documents.sparkSession)
     raw = materialize(product(rows), "jaccard-cells")
+    entries = common_entries(rows, classes)
+    # The heads have been read; what documents belong to which set stays.
+    members = materialize(rows.select("_key", "_hash", "c", "n"), "jaccard-members")
+    forget(rows)
     cells = materialize(few_tasks(within_parity(raw, classes), raw.count()), "jaccard-cells")
     forget(raw)
     join_cells(documents, classes, cells, labels, key, text)
-    entries = common_entries(rows, classes)
     join_common(documents, classes, entries, labels, key, text)
     forget(entries)
     n = classes.count()
     marked = labels.on(classes.select("c", "least"), "c", "label", n)
     names = marked.groupBy("label").agg(F.min("least").alias("least"))
     by_set = marked.select("c", "label").join(names, "label").select("c", "least")
-    return rows.select("_key", "_hash", "n", "c").join(by_set, "c", "left").select(
+    return members.join(by_set, "c", "left").select(
         "_key", "_hash", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("_key")).alias("least")
     )
 
