@@ -2,7 +2,7 @@
 
 from .common import table
 from .decision_lists import op3_decision_lists
-from .hard_negatives import op12_hard_negatives
+from .hard_negatives import SQL as NEGATIVES_SQL, op12_hard_negatives
 from .jaccard_join import op5_jaccard_join
 from .language_crf import op9_language_crf
 from .mixing import SQL as MIXING_SQL, op8_mixing
@@ -12,7 +12,7 @@ from .secret_ledger import op1_secret_ledger
 from .token_files import op10_token_files
 from .url_models import op6_url_models
 from .vector_packing import op4_vector_packing
-from .warc_records import op13_warc_records
+from .warc_records import SQL as WARC_SQL, op13_warc_records
 from .whitening import op11_whitening
 
 QUERIES = {
@@ -30,4 +30,4 @@ QUERIES = {
     "op12_hard_negatives": lambda spark, d: op12_hard_negatives(table(spark, d, "embeddings")),
     "op13_warc_records": lambda spark, d: op13_warc_records(table(spark, d, "pages")),
 }
-SQL = {"op8_mixing": MIXING_SQL}
+SQL = {"op8_mixing": MIXING_SQL, "op12_hard_negatives": NEGATIVES_SQL, "op13_warc_records": WARC_SQL}

@@ -335,3 +335,11 @@ def op13_warc_records(pages: DataFrame) -> DataFrame:
         F.col("key").cast("bigint").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("kind").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+
+
+# Base 32 of a hex digest: ten hex digits are eight characters of five bits.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST((CAST('0x' || substr(digest, 10 * (i // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1)), '')"""
+SQL = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> lead THEN lead END AS refers_to FROM p"""
