@@ -84,6 +84,15 @@ class _Block:
         self.x = take("x", "<i8").reshape(n, -1)
         self.lists = take("lists", "<i4").reshape(-1, n) if len(row["lists"]) else None
         self.most = int(np.abs(self.x).max(initial=0))
+        self.real = self.x.astype(np.float64) if self.lists is not None and self.most < 1 << 53 else None
+
+    def scores(self, some: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Integer scores of some rows."""
+        if self.real is not None and self.x.shape[1] * self.most * int(np.abs(anchor).max(initial=0)) < 1 << 53:
+            # Doubles hold such sums exactly; for many rows the whole block is faster than picking them.
+            real = anchor.astype(np.float64)
+            return ((self.real @ real)[some] if 4 * len(some) > len(self.real) else self.real[some] @ real).astype(np.int64)
+        return self.x[some] @ anchor
 
     def first(self, some: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
         """Places in ``some`` of the first k: score falling, then id, then number."""
@@ -102,35 +111,38 @@ def search(block: _Block, anchor: np.ndarray, fits, windows: list[tuple[int, int
     if d * block.most * int(np.abs(anchor).max(initial=0)) >= 1 << 63:
         raise OverflowError("a score is too large for a long")
     used = np.flatnonzero(anchor)
+    # From the end of each list that the anchor's sign prefers.
+    up = anchor[used] > 0
+    rising, falling = used[up], used[~up]
     held = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in windows]
     seen = np.zeros(n, bool)
     at, step = 0, FIRST_RANKS
     while at < n and windows:
         to = min(n, at + step)
+        before = seen.copy()
         if len(used):
-            # From the end of each list that the anchor's sign prefers.
-            up = anchor[used] > 0
-            lists = block.lists[used]
-            part = np.where(up[:, None], lists[:, n - to : n - at][:, ::-1], lists[:, at:to])
-            rows = np.unique(part)
-            new = rows[~seen[rows]]
-            threshold = int(anchor[used] @ block.x[part[:, -1], used])
+            seen[block.lists[rising, n - to : n - at]] = True
+            seen[block.lists[falling, at:to]] = True
+            last = np.append(block.lists[rising, n - to], block.lists[falling, to - 1])
+            dims = np.append(rising, falling)
+            threshold = int(anchor[dims] @ block.x[last, dims])
         else:
             # A zero anchor scores 0 everywhere and has no list to read.
-            new, to, threshold = np.arange(n), n, 0
-        seen[new] = True
+            seen[:], to, threshold = True, n, 0
+        new = np.flatnonzero(seen & ~before)
         new = new[fits(new)]
-        scores = block.x[new] @ anchor
+        scores = block.scores(new, anchor)
         at, step = to, 2 * step
         done = True
         for w, (low, high) in enumerate(windows):
-            inside = (scores >= low) & (scores <= high)
-            rows, values = np.append(held[w][0], new[inside]), np.append(held[w][1], scores[inside])
-            first = block.first(rows, values, k)
-            held[w] = rows[first], values[first]
-            kth = held[w][1][-1] if len(first) == k else None
-            done &= threshold < low or (kth is not None and threshold < kth)
-        if done:
+            inside = np.flatnonzero((scores >= low) & (scores <= high))
+            if len(inside):
+                rows, values = np.append(held[w][0], new[inside]), np.append(held[w][1], scores[inside])
+                first = block.first(rows, values, k)
+                held[w] = rows[first], values[first]
+            done &= threshold < low or (len(held[w][1]) == k and threshold < held[w][1][-1])
+        # Nothing left to read behind the threshold, or nothing at all.
+        if done or seen.all():
             break
     return held
 
@@ -209,3 +221,14 @@ def op12_hard_negatives(embeddings: DataFrame) -> DataFrame:
     moved = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = usable(embeddings.select("vec_id", "embedding", "label"), "vec_id", "embedding", moved)
     return mine(rows, rows.filter(F.col("id") % ANCHOR_STEP == 0))
+
+
+SQL = f"""WITH r AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda c: CAST(floor(c::DOUBLE * {SCALE}) AS BIGINT)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM r a, r b WHERE a.vec_id % {ANCHOR_STEP} = 0 AND a.k <> b.k),
+p AS (SELECT * FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES}),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+  WHERE s.label <> s.own AND {LOW_PERCENT} * p.score <= 100 * s.score AND 100 * s.score <= {HIGH_PERCENT} * p.score)
+SELECT *, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank FROM n QUALIFY rank <= {NEGATIVES}"""
