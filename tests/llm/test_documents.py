@@ -347,3 +347,15 @@ def test_forward_backward_is_exact():
     for p, v in paths.items():
         want[range(4), p] += np.exp(v) / z
     assert np.allclose(post[0], want) and np.isclose(logz, np.log(z)) and np.isclose(pairs.sum(), 3)
+
+
+def test_columns_that_clash_with_our_own(odd):
+    """Columns named like the steps' own go through unharmed."""
+    names = {"_d": "a", "_k": "b", "_digest": "c", "_h": "d", "_id": "e", "_row": "f", "_text": "g", "_own": "h", "_hash": "i", "epoch": "j"}
+    df = odd.withColumns({n: F.lit(v) for n, v in names.items()}).withColumn("domain", F.lit("x"))
+    items = odd.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id = 9")
+    for out in (mixing.mix(df, levels=("domain",), weights={}), pi.drop_contaminated(df, items), language_crf.keep_known(df), jaccard_join.keep_one(df)):
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert all(r[n] == v for r in rows for n, v in names.items())
+    assert pi.drop_contaminated(df, items).count() < df.count()

@@ -12,6 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """The frame as one column ``_row`` beside columns of our own, so that none of its names can clash with them.
+
+    ``select("_row.*")`` gives it back.
+    """
+    return df.select(F.struct(*df.columns).alias("_row"), *[c.alias(n) for n, c in own.items()])
+
+
 def few_tasks(df: DataFrame, rows: int, a_task: int = 50_000) -> DataFrame:
     """A table of about ``rows`` rows in no more tasks than they need, at least one for each core.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..session import materialize
-from .common import few_tasks, forget, whole
+from .common import few_tasks, forget, packed, whole
 from .components import components
 from .positional_index import bounded
 from .shingles import distinct_shingles
@@ -435,9 +435,9 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = join_components(documents, key, text)
     kept = found.filter((F.col("n") == 0) | F.col("_key").eqNullSafe(F.col("least")) | F.col("least").isNull())
     kept = kept.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).agg(F.first("n").alias("_n"))
-    held = documents.withColumn("_hash", F.xxhash64(whole(F.col(text))))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
-    return held.join(kept, same, "left_semi").dropDuplicates([key, "_hash"]).drop("_hash")
+    held = packed(documents, _id=F.col(key), _own=F.xxhash64(whole(F.col(text))))
+    same = F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_h"))
+    return held.join(kept, same, "left_semi").dropDuplicates(["_id", "_own"]).select("_row.*")
 
 
 def op5_jaccard_join(documents: DataFrame) -> DataFrame:

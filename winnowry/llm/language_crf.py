@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialize
+from .common import packed
 
 CHAIN = 64
 SPAN, CONTEXT = 128, 16
@@ -269,12 +270,13 @@ def label_words(documents: DataFrame, model: dict, key: str, text: str = "text")
 
 def keep_known(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is known with at least the given score."""
-    with_hash = documents.withColumn("_id", F.to_json(F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))))
-    found = predict(with_hash.select("_id", text), fit(documents, key, text, lang), "_id", text)
+    own = F.to_json(F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")))
+    held = packed(documents, _id=own, _text=F.col(text))
+    found = predict(held.select("_id", "_text"), fit(documents, key, text, lang), "_id", "_text")
     bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("_id").distinct()
     # Few are rejected: their ids meet the documents, which are not sent through Python as a whole.
     bad = materialize(bad, "language-rejects")
-    return with_hash.join(bad, "_id", "left_anti").select(*documents.columns)
+    return held.join(bad, "_id", "left_anti").select("_row.*")
 
 
 def op9_language_crf(documents: DataFrame) -> DataFrame:

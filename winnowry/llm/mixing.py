@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.ordering import hash_key
 from ..session import materialize
-from .common import split_words, whole
+from .common import packed, split_words, whole
 
 LEVELS = ("domain", "lang", "source")
 RANGE_BITS, KEY_BITS = 12, 60
@@ -158,8 +158,8 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", **options
     """The taken documents, once for each epoch, with all columns; one at a cut is kept whole."""
     plan = choose(documents, key, text, **options).filter("taken > 0")
     once = plan.select(F.col(key).alias("_k"), "_digest", "epoch").dropDuplicates()
-    held = documents.withColumn("_d", F.md5(whole(F.col(text))))
-    return held.join(once, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_d") == F.col("_digest"))).select(*documents.columns)
+    held = packed(documents, _id=F.col(key), _d=F.md5(whole(F.col(text))))
+    return held.join(once, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_d") == F.col("_digest"))).select("_row.*")
 
 
 def op8_mixing(documents: DataFrame) -> DataFrame:

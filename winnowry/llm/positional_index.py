@@ -16,7 +16,7 @@ Other columns are left alone.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import ascii_lower, whole
+from .common import ascii_lower, packed, whole
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 13
@@ -156,8 +156,8 @@ def verdict(found: DataFrame) -> DataFrame:
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     bad = verdict(contamination(documents, benchmark, key, item, text)).filter("contaminated")
     bad = bounded(materialize(bad.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h")), "contaminated"))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(whole(F.col(text))) == F.col("_h"))
-    return documents.join(bad, same, "left_anti")
+    held = packed(documents, _id=F.col(key), _own=F.xxhash64(whole(F.col(text))))
+    return held.join(bad, F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_own") == F.col("_h")), "left_anti").select("_row.*")
 
 
 def op7_positional_index(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
