@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions.annotations import annotation, can_accept_prediction
+from ..session import materialize
 from .dedup import latest_by_key
 
 CHUNK = 65536
@@ -68,13 +69,14 @@ def apply_review_decisions(
     at = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(None).cast("timestamp")
     last = F.max_by("annotation", F.struct(at.isNotNull(), at, F.xxhash64("choice", "reason_no")))
     group = ["reviewer", "session", "seq", "sample_id"]
+    # The prediction of a sample is the same in all its rows, and comes along from the join that judged them.
+    predicted = F.first("predicted_task_annotations").alias("predicted_task_annotations")
     per_sample = (
-        decided.filter("task_id is not null").groupBy(*group, "task_id").agg(last.alias("annotation"))
-        .groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("task_id", "annotation"))).alias("task_annotations"))
+        decided.filter("task_id is not null").groupBy(*group, "task_id").agg(last.alias("annotation"), predicted)
+        .groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("task_id", "annotation"))).alias("task_annotations"), predicted)
     )
     unlabeled = latest_by_key(samples, "sample_id", sample_order).drop("task_annotations", "predicted_task_annotations")
-    joined = per_sample.join(unlabeled, "sample_id")
-    return reviewed_record(attach_predictions(joined, predictions, prediction_order), keep=["reviewer", "session", "seq"])
+    return reviewed_record(per_sample.join(unlabeled, "sample_id"), keep=["reviewer", "session", "seq"])
 
 
 def reviewed_record(df: DataFrame, keep=()) -> DataFrame:
@@ -108,7 +110,8 @@ def undo_last(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     A session may be long, so it is cut into chunks of ``seq``. With +1 for a sample and -1 for an undo, a
     chunk alone tells which of its samples outlive its own undo rows and at which height they lie, how far it
     digs into earlier chunks, and how many it leaves. One row per chunk then carries that across the session:
-    a sample stands if no later chunk digs down to its height. Rows move once, by chunk.
+    a sample stands if no later chunk digs down to its height. Rows move once, by chunk, and are stored with their heights,
+    as the chunks are summed up and then joined to them.
     """
     session = ["reviewer", "session"]
     piece = [*session, "_chunk"]
@@ -129,6 +132,7 @@ def undo_last(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .withColumn("_height", F.col("_sum") - F.col("_low"))
         .withColumn("_least", F.min("_height").over(from_here))
     )
+    rows = materialize(rows, "undo-rows")
     across = Window.partitionBy(*session).orderBy("_chunk")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*session).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)

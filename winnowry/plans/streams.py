@@ -96,7 +96,7 @@ def stream_page_scan(spark, sf):
     settings = default_settings(spark) | {
         "platforms": spark.createDataFrame(SITES, schemas.PLATFORMS), "detectors": spark.createDataFrame(LIMITS, schemas.DETECTORS)
     }
-    pages = table(spark, sf, "pages").withColumn("seen_at", F.timestamp_seconds("page_id"))
+    pages = table(spark, sf, "pages").withColumn("seen_at", F.timestamp_seconds(F.col("page_id") + 1_700_000_000))
     inbox, store, checkpoint = (scratch_path(spark, n) for n in ("inbox", "scan", "scan-state"))
     detect = lambda posts: page_scan.detect_by_cascade(posts, keywords=WORDS, by_platform=PLATFORM_WORDS, ai_keywords=AI_WORDS)
     for some in (pages.filter("page_id % 2 = 0"), pages):
