@@ -42,6 +42,8 @@ TESTS = (1, 8)
 # Bytes of text for each counter of columns, and the most counters (broadcast as one byte each).
 TEXT_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 25
 SLICE = 1 << 16
+# Texts of a batch that are held as bytes at a time, and pairs of rows that are compared at a time.
+TEXTS, PAIRS = 512, 1 << 18
 TASKS_A_CORE = 2
 # Rows with a list of shingles that one task gets, where a table is small.
 LISTS_A_TASK = 5_000
@@ -68,7 +70,8 @@ def parity(items: np.ndarray) -> np.ndarray:
 
 
 def _sets(batch: pa.RecordBatch, column: str):
-    return distinct_shingles(v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist())
+    texts = batch.column(column).cast(pa.binary())
+    return distinct_shingles(v or b"" for i in range(0, len(texts), TEXTS) for v in texts.slice(i, TEXTS).to_pylist())
 
 
 def column_levels(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -356,7 +359,7 @@ def compare_blocks(entries: DataFrame, alone: bool, tests: int, n: int) -> DataF
         pos = pos.astype(np.int64)
         bits = np.stack([table.column(b).to_numpy() for b in _BITS], 1).view(np.uint64)
         out = []
-        step = max(1, (1 << 20) // len(c))
+        step = max(1, PAIRS // len(c))
         for first in range(0, len(c), step):
             a = np.arange(first, min(len(c), first + step))[:, None]
             b = np.arange(len(c))[None, :]

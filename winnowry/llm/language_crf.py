@@ -30,7 +30,9 @@ FEATURES = 1 << 16
 EPOCHS, RATE, DECAY, SPLICED = 25, 0.3, 1e-3, 0.25
 LEXICON_WORDS, LEXICON_SHARE = 2_000, 0.8
 UNKNOWN = "und"
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
+# Texts of a batch that are held as strings at a time.
+TEXTS = 512
 KNOWN_WORDS = 300_000
 LEAST_SCORE = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -179,7 +181,7 @@ class Labeler:
         begin = np.concatenate([np.arange(s, s + n, SPAN) for s, n in zip(starts, sizes, strict=True) if n])
         first, stop = np.repeat(starts, -(-sizes // SPAN)), np.repeat(starts + sizes, -(-sizes // SPAN))
         low, high = np.maximum(begin - CONTEXT, first), np.minimum(begin + SPAN + CONTEXT, stop)
-        place = low[:, None] + np.arange(SPAN + 2 * CONTEXT)[None, :]
+        place = low[:, None] + np.arange(int((high - low).max()))[None, :]
         inside = place < high[:, None]
         scores = self.scores[ids[np.where(inside, place, 0)]].astype(np.float64)
         post, _, _ = forward_backward(scores, high - low, self.model["moves"])
@@ -210,6 +212,12 @@ class Labeler:
                 yield self.model["languages"][best], min(1.0, max(0.0, float(mean[best])))
 
 
+def texts_of(column):
+    """The texts of an Arrow column, some at a time."""
+    for i in range(0, len(column), TEXTS):
+        yield from column.slice(i, TEXTS).to_pylist()
+
+
 def held_out(key: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
 
@@ -238,7 +246,7 @@ def predict(documents: DataFrame, model: dict | None, key: str, text: str = "tex
     def label(batches):
         labeler = Labeler(shared.value)
         for batch in batches:
-            found = list(labeler.languages(batch.column(text).to_pylist()))
+            found = list(labeler.languages(texts_of(batch.column(text))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names
             )
@@ -257,7 +265,7 @@ def label_words(documents: DataFrame, model: dict, key: str, text: str = "text")
         names = shared.value["languages"]
         for batch in batches:
             out = []
-            for lists, post in labeler.chunks(batch.column(text).to_pylist()):
+            for lists, post in labeler.chunks(texts_of(batch.column(text))):
                 best, at = post.argmax(1), 0
                 for x in lists:
                     out.append([{"word": w, "lang": names[best[at + i]], "p": float(post[at + i].max())} for i, w in enumerate(x)])

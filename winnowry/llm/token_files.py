@@ -28,10 +28,9 @@ END_ID = 2
 LANES = 1024
 # How the tokenizer that can be given chunks splits a text, and characters for which that is plain.
 LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BLANKS = str.maketrans("\t\n\r", "   ")
 TAIL = ".,!?;:"
 ASCII_WORD = frozenset(string.ascii_letters + string.digits)
-KNOWN_CHUNKS = 400_000
+KNOWN_PARTS = 150_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,7 +40,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def splits_at_blanks(tokenizer: dict) -> bool:
-    """Whether the ids of a text are those of its parts between BLANKS, by the tokenizer's own steps.
+    """Whether the ids of a text are those of its parts between blanks, by the tokenizer's own steps.
 
     So it is where normalizing never looks over a blank (NFC, runs of white space to one, lower case), where the first
     step after it keeps only matches of LETTERS, none of which holds white space, and where no other token does.
@@ -58,37 +57,44 @@ def splits_at_blanks(tokenizer: dict) -> bool:
 class TextEncoder:
     """Texts to the ids that the tokenizer gives the whole text.
 
-    Where ``splits_at_blanks`` holds, a chunk between blanks is encoded once and remembered, up to KNOWN_CHUNKS; marks
-    of TAIL behind an ASCII letter or digit are a match of their own there, and remembered apart. Any other tokenizer
-    gets whole texts.
+    Where ``splits_at_blanks`` holds, a chunk between blanks is encoded once and remembered, up to about KNOWN_PARTS of
+    those met last; marks of TAIL behind an ASCII letter or digit are a match of their own there, and remembered
+    apart. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         with open(path, encoding="utf-8") as f:
             self.by_chunk = splits_at_blanks(json.load(f))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: set[str]) -> None:
+        """Have the ids of all parts in ``known``."""
+        known, older = self.known, self.older
+        for p in parts.intersection(older).difference(known):
+            known[p] = older[p]
+        new = sorted(parts.difference(known))
+        known.update(zip(new, self._encode(new), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._encode(texts)
-        lists = [[c for c in t.translate(BLANKS).split(" ") if c] for t in texts]
-        new = {c for x in lists for c in x}.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_CHUNKS:
-            self.known, new = {}, {c for x in lists for c in x}
-        cores = {c: c.rstrip(TAIL) for c in new}
-        cores = {c: x if x and x[-1] in ASCII_WORD else c for c, x in cores.items()}
-        parts = sorted({p for c, x in cores.items() for p in (x, c[len(x) :]) if p}.difference(self.known))
-        self.known.update(zip(parts, self._encode(parts), strict=True))
-        for c, x in cores.items():
-            if x != c:
-                self.known[c] = self.known[x] + self.known[c[len(x) :]]
+        lists = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
+        split = {}
+        for c in {c for x in lists for c in x}:
+            core = c.rstrip(TAIL)
+            split[c] = (core, c[len(core) :]) if core and core[-1] in ASCII_WORD else (c, "")
+        if len(self.known) > KNOWN_PARTS:
+            # What was not met since the last time is forgotten.
+            self.known, self.older = {}, self.known
+        self._learn({p for parts in split.values() for p in parts if p})
         known = self.known
-        return [b"".join([known[c] for c in x]) for x in lists]
+        own = {c: (known[x] if x else b"") + (known[y] if y else b"") for c, (x, y) in split.items()}
+        return [b"".join([own[c] for c in x]) for x in lists]
 
 
 def _encoder(path: str) -> TextEncoder:
