@@ -124,3 +124,13 @@ def test_keys_of_whole_answers(spark, tmp_path):
 def test_keys_kept_for_ever_must_be_asked_for(spark):
     with pytest.raises(ValueError):
         jobs.stream_score(spark.range(1), lambda d: d, "id")
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from winnowry.plans import streams
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (streams.stream_label_stats, streams.stream_score):
+        one, many = (query(spark, at) for at in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert one.count() and sorted(one.collect()) == sorted(many.collect())

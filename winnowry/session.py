@@ -43,6 +43,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it does not exist."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
