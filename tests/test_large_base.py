@@ -104,3 +104,12 @@ def test_split_files(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         checked.write_split_files(df.withColumn("x", F.when(F.col("n") == 39, F.raise_error(F.lit("broken")))), str(tmp_path / "failed"))
     assert not [n for n in os.listdir(tmp_path / "failed") if not n.startswith(".")] if (tmp_path / "failed").exists() else True
+
+
+def test_list_search_does_not_copy_queries_for_every_list(crowd):
+    """Chunks of queries and blocks of codes are moved, and no vector is joined back to a pair."""
+    asked, base = crowd
+    books = ann.fit(base)
+    found = ann.search(asked, ann.build_index(base, books), books, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join Inner" not in plan and "Join Cross" in plan

@@ -2,7 +2,7 @@
 
 A coarse codebook divides the base into lists; what a vector differs by from its list's center is cut into parts, each
 of which is replaced by the nearest of at most 256 words. A query looks into the lists of its nearest centers, reads the
-codes there with one table of distances per part, and keeps the ``rerank`` rows that seem nearest; these are measured
+codes there by their distances from its own rest, and keeps the ``rerank`` rows that seem nearest; these are measured
 exactly, with distances and ties as in the exact search, which stays beside this one. What may be missed is a neighbor
 in a list that was not visited or behind more than ``rerank`` seemingly nearer rows; ``recall_of`` measures it.
 
@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed_values as fv
 from ..session import materialize
-from .knn import BLOCK_ROWS, DIGITS, knn_join_cells
+from .knn import (
+    BLOCK_ROWS, CHUNK_ROWS, Best, _squares, chunks_of, id_dtype, knn_join_cells, likely_pairs, pack, pair_distances, search_blocks, slots_of, vector_dtype,
+)
 from .ordering import hash_key
 
 SAMPLE_ROWS, ROUNDS = 20_000, 12
 MOST_LISTS, MOST_PARTS, WORDS = 1024, 16, 256
 PROBE_SHARE, RERANK = 0.25, 20
+# A chunk of queries keeps at most so many rows between its blocks.
+CHUNK_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -39,10 +43,6 @@ class Codebooks:
         return np.cumsum([0] + [w.shape[1] for w in self.words])
 
 
-def _squares(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((q * q).sum(1)[:, None] - 2 * (q @ b.T) + (b * b).sum(1)[None, :], 0)
-
-
 def _means(rows: np.ndarray, n: int, rng) -> np.ndarray:
     """Centers of n groups; a group that runs empty keeps its center."""
     centers = rows[rng.permutation(len(rows))[: min(n, len(rows))]].copy()
@@ -95,55 +95,51 @@ def search(
     rerank = max(k, rerank or RERANK * k)
     queries = queries.filter(F.col("embedding").isNotNull())
 
-    @F.pandas_udf("array<int>")
-    def visits(v: pd.Series) -> pd.Series:
-        near = np.argsort(_squares(np.stack(v.to_numpy()).astype(float), books.centers), axis=1, kind="stable")[:, :probes]
-        return pd.Series([row.tolist() for row in near.astype(np.int32)])
-
-    routed = queries.select("query_id", F.col("embedding").alias("q"), F.explode(visits("embedding")).alias("list"))
+    known = queries.select("query_id", "embedding")
     # One row for each list reaches the driver.
-    sizes, loads = ({r["list"]: r["count"] for r in df.groupBy("list").count().collect()} for df in (index, routed))
-    pieces = lambda counts: F.create_map(*[x for i in range(len(books.centers)) for x in (F.lit(i), F.lit(max(1, math.ceil(counts.get(i, 0) / block))))])
-    n_blocks, n_shares = F.element_at(pieces(sizes), F.col("list")), F.element_at(pieces(loads), F.col("list"))
-    left = routed.withColumn("share", F.pmod(F.xxhash64("query_id"), n_shares).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    right = index.select("id", "list", "code").withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), n_shares - 1)))
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, seems double"
-
-    def look(qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(rows):
-            none = pd.Series(dtype=object)
-            return pd.DataFrame({"query_id": none, "id": none, "seems": pd.Series(dtype=float)})
-        rows = rows.sort_values("id", ignore_index=True)
-        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        rest = np.stack(qs["q"].to_numpy()).astype(float) - books.centers[int(qs["list"].iloc[0])]
-        at, kept, found = books.bounds, min(rerank, len(rows)), []
-        for start in range(0, len(qs), 256):
-            seems = np.zeros((len(rest[start : start + 256]), len(rows)))
-            for i, w in enumerate(books.words):
-                seems += _squares(rest[start : start + 256, at[i] : at[i + 1]], w)[:, codes[:, i]]
-            order = np.argsort(seems, axis=1, kind="stable")[:, :kept]
-            ids = qs["query_id"].to_numpy()[start : start + 256]
-            found.append(pd.DataFrame({"query_id": np.repeat(ids, kept), "id": rows["id"].to_numpy()[order.ravel()], "seems": np.take_along_axis(seems, order, 1).ravel()}))
-        return pd.concat(found, ignore_index=True)
-
-    keys = ["list", "block", "share"]
-    seen = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, kinds)
+    sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
+    rerank = max(1, min(rerank, sum(sizes.values())))
+    query_type, id_type = known.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+    if not sizes:
+        return index.sparkSession.createDataFrame([], f"query_id {query_type}, neighbor_rank int, id {id_type}, distance double")
+    dtype = vector_dtype(known, index)
+
+    class Chunk:
+        names = ["seems", "distance"]
+
+        def __init__(self, q, n, ids):
+            self.q = np.frombuffer(q, dtype).reshape(n, -1).copy()
+            self.visits = np.zeros((n, len(books.centers)), dtype=bool)
+            for start in range(0, n, 1024):
+                near = np.argsort(_squares(self.q[start : start + 1024].astype(float), books.centers), axis=1, kind="stable")[:, :probes]
+                np.put_along_axis(self.visits[start : start + 1024], near, True, axis=1)
+            self.id_type, self.best = ids.type, Best(n, rerank, id_dtype(ids))
+
+        def look(self, row):
+            own, ids = row["list"].as_py(), row["ids"].values.to_numpy(zero_copy_only=False)
+            asked = np.flatnonzero(self.visits[:, own])
+            if not len(asked):
+                return
+            codes = np.frombuffer(row["code"].as_py(), np.uint8).reshape(len(ids), -1)
+            vectors = np.frombuffer(row["vectors"].as_py(), dtype).reshape(len(ids), -1)
+            coded = np.concatenate([w[codes[:, i]] for i, w in enumerate(books.words)], 1).astype(np.float32)
+            rest = (self.q[asked] - books.centers[own]).astype(np.float32)
+            for rows, places, seems in likely_pairs(rest, coded, self.best.limit()[asked], rerank, exact=False):
+                # What seems near is measured at once, while its vector is at hand.
+                self.best.offer(asked[rows], seems, ids[places], pair_distances(self.q, vectors, asked[rows], places))
+
+        def rows(self):
+            row, seems, ids, d = self.best.rows()
+            return row, ids, seems, d
+
+    slot, n_blocks = slots_of("list", sizes, "id", block)
+    blocks = pack(index, slot, "id", "embedding", dtype, {"list": "int", "code": "binary"}, rerank)
+    chunks, n_chunks = chunks_of(known, dtype, max(256, min(CHUNK_ROWS, CHUNK_CELLS // rerank)))
+    seen = search_blocks(chunks, n_chunks, blocks, n_blocks, Chunk, f"query_id {query_type}, id {id_type}, seems double, distance double")
     first = Window.partitionBy("query_id").orderBy("seems", "id")
-    some = seen.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank).select("query_id", "id")
-
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.stack(v.to_numpy()).astype(float) for v in (a, b))
-        d = np.zeros(len(x))
-        for i in range(x.shape[1]):
-            step = x[:, i] - y[:, i]
-            d += step * step
-        return pd.Series(np.round(d, DIGITS))
-
-    exact = some.join(index.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    measured = exact.select("query_id", "id", distance("q", "embedding").alias("distance"))
+    some = seen.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rerank)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return measured.withColumn("neighbor_rank", F.row_number().over(best)).filter(F.col("neighbor_rank") <= k).select("query_id", "neighbor_rank", "id", "distance")
+    return some.withColumn("neighbor_rank", F.row_number().over(best)).filter(F.col("neighbor_rank") <= k).select("query_id", "neighbor_rank", "id", "distance")
 
 
 def knn_join_lists(queries: DataFrame, base: DataFrame, k: int = fv.NEIGHBORS, **options) -> DataFrame:

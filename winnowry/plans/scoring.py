@@ -6,6 +6,7 @@ from .. import fixed_values as fv
 from ..functions import annotations as an, detectors as dt, prompts as pr
 from ..functions.embedding import embed_text
 from ..operators import actions as ac, ann, knn, scoring as sc
+from ..session import materialize
 from ..sources.tables import table, wide_table
 from .registry import clean, query, quoted, round2, values
 
@@ -376,5 +377,7 @@ def knn_lists_recall(spark, sf):
     """Whether the search by lists and codes meets at least nine tenths of the exact neighbors of all titles."""
     base = large_base(spark, sf).select(F.col("place").alias("id"), embed_text(F.col("text")).alias("embedding"))
     asked = titles(spark, sf).select(F.col("doc_id").alias("query_id"), embed_text(F.col("text")).alias("embedding"))
+    # Both are read many times, by two searches.
+    base, asked = materialize(base, "recall-base"), materialize(asked, "recall-asked")
     found = ann.recall_of(ann.knn_join_lists(asked, base), knn.knn_join_cells(asked, base))
     return found.select("queries", "pairs", (F.col("recall") >= 0.9).alias("recall_reached"))
