@@ -4,10 +4,11 @@ import html
 from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
+from .pieces import arrow_type, by_pieces
 
 _HIDDEN_BLOCKS = "(?is)" + "|".join(
     [r"<!--.*?(?:-->|\z)"]
@@ -22,9 +23,11 @@ def text_or_empty(c: Column) -> Column:
 def decode_entities(c: Column) -> Column:
     """HTML entities decoded in one pass. Only rows with an ampersand carry text to Python."""
 
-    @F.pandas_udf("string")
-    def decode(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+    text = arrow_type("string")
+
+    @F.arrow_udf("string")
+    def decode(texts: pa.Array) -> pa.Array:
+        return by_pieces(texts, lambda some: [t if t is None else html.unescape(t) for t in some.to_pylist()], text)
 
     return F.coalesce(decode(F.when(c.contains("&"), c)), c)
 
