@@ -1,9 +1,11 @@
 """Default text embedder: hashed character pairs, unit length. A caller may pass any other."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from .pieces import arrow_type, by_pieces
+
 DIMENSIONS = 64
 
 
@@ -15,8 +17,11 @@ def hash_embed(text: str, dimensions: int = DIMENSIONS):
 
 
 def embed_text(c: Column, dimensions: int = DIMENSIONS) -> Column:
-    @F.pandas_udf("array<float>")
-    def embed(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: hash_embed(t, dimensions).astype(np.float32), na_action="ignore")
+    vectors = arrow_type("array<float>")
+
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        one = lambda t: t if t is None else hash_embed(t, dimensions).astype(np.float32)
+        return by_pieces(texts, lambda some: [one(t) for t in some.to_pylist()], vectors)
 
     return embed(c)
