@@ -200,6 +200,39 @@ def test_blocks_of_common_columns(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_pairs_come_once_for_a_run_of_shared_columns(spark, monkeypatch):
+    """Texts that share passages of many common columns: what leaves the blocks does not grow with the length of a passage."""
+    from pyspark.sql import GroupedData
+
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    passages = [[word() for _ in range(150)] for _ in range(3)]
+    rows = {}
+    for i in range(24):
+        own = [word() for _ in range(int(rng.integers(60, 90)))]
+        rows[i] = " ".join(own + [w for k, p in enumerate(passages) if (i >> k) & 1 for w in p])
+    rows[24] = rows[23] + " last"
+    seen, plain = [], GroupedData.applyInArrow
+
+    def counted(self, func, schema):
+        found = plain(self, func, schema)
+        if "rest" in schema:
+            seen.append((found.filter("a is not null").count(), found.filter("a is not null").select("a", "b").distinct().count()))
+        return found
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    monkeypatch.setattr(jaccard_join, "LEAST_COUNTERS", 1)
+    monkeypatch.setattr(jaccard_join, "TEXT_A_COUNTER", 1 << 20)
+    for block in (4096, 5):
+        seen.clear()
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.op5_jaccard_join(df).collect()}
+        assert got == plain_components(rows) and got[24][1] == 23
+        assert any(pairs for _, pairs in seen) and all(made <= 4 * pairs for made, pairs in seen)
+
+
 def test_urls(spark):
     urls = ["http://A.example.ORG/es/1?x#y", "https://example.org/en/12", "https://a.org", "x", None, "http://b.com/fr/1", "ftp://b.com/de/2#z", "http://c.net/q"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id bigint, url string, host string, path string")

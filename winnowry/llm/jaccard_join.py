@@ -329,14 +329,22 @@ def join_cells(documents: DataFrame, classes: DataFrame, cells: DataFrame, label
 
 
 def common_entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(col, c, n, pos, bits, blocks): the entries of common columns that two rows or more share, stored."""
+    """(col, c, n, pos, prev, bits, blocks): the entries of common columns that two rows or more share, stored.
+
+    Of columns that the same rows share one stays, as a link shows in each column that its rows share. ``prev`` is the column
+    before in the row, where all rows have their columns in one order, those of many rows first (null: none).
+    """
     high = rows.filter("low < size(head)").select("c", "n", "low", F.posexplode(F.slice("head", F.col("low") + 1, F.size("head"))).alias("at", "col"))
     one = high.groupBy("col", "c").agg(F.first("n").alias("n"), F.first(F.col("at") + F.col("low")).alias("pos"))
     one = materialize(one, "jaccard-common")
-    shared = one.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1").select("col", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    held_by = [F.bit_xor(F.xxhash64(F.lit(i), "c")).alias(f"h{i}") for i in range(2)]
+    shared = one.groupBy("col").agg(F.count("*").alias("m"), *held_by).filter("m > 1")
+    shared = shared.groupBy("m", "h0", "h1").agg(F.min("col").alias("col")).select("col", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     n = one.count()
     held = few_tasks(one.join(shared, "col"), n)
-    out = materialize(few_tasks(held.join(classes.select("c", *_BITS), "c"), n), "jaccard-common")
+    before = F.lag("col").over(W.partitionBy("c").orderBy(F.desc("m"), "col"))
+    placed = few_tasks(held.join(classes.select("c", *_BITS), "c"), n).withColumn("prev", before).drop("m")
+    out = materialize(few_tasks(placed, n), "jaccard-common")
     forget(one)
     return out
 
@@ -344,12 +352,15 @@ def common_entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def compare_blocks(entries: DataFrame, alone: bool, tests: int, n: int) -> DataFrame:
     """(a, b, rest): for each row and column the ``tests`` most promising rows of other components, from blocks of rows.
 
-    ``alone``: blocks meet only themselves. ``rest`` says that a row had more.
+    ``alone``: blocks meet only themselves. ``rest`` says that a row had more; it may come without rows.
+
+    Two rows that also share the column before, in both of them, have met there. So a pair comes once for each run of
+    columns that it shares, not for each column.
     """
     placed = entries.withColumn("_i", F.pmod(F.xxhash64("c", "col"), F.col("blocks")).cast("int"))
     other = F.array("_i") if alone else F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = few_tasks(placed.withColumn("_j", F.explode(other)), n).select(
-        "col", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "c", "n", "pos", "label", *_BITS
+        "col", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.col("_i").alias("own"), "c", "n", "pos", "prev", "label", *_BITS
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -358,7 +369,9 @@ def compare_blocks(entries: DataFrame, alone: bool, tests: int, n: int) -> DataF
         c, n, pos, label, own = (table.column(x).to_numpy() for x in ("c", "n", "pos", "label", "own"))
         pos = pos.astype(np.int64)
         bits = np.stack([table.column(b).to_numpy() for b in _BITS], 1).view(np.uint64)
-        out = []
+        first_one = table.column("prev").is_null().to_numpy()
+        prev = table.column("prev").fill_null(0).to_numpy()
+        out, more = [], False
         step = max(1, PAIRS // len(c))
         for first in range(0, len(c), step):
             a = np.arange(first, min(len(c), first + step))[:, None]
@@ -379,12 +392,16 @@ def compare_blocks(entries: DataFrame, alone: bool, tests: int, n: int) -> DataF
                 order = np.lexsort((y, off, x))
                 x, y = x[order], y[order]
                 starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-                sizes = np.diff(np.append(starts, len(x)))
-                place = np.arange(len(x)) - np.repeat(starts, sizes)
-                keep = place < tests
-                out.append((c[x[keep]], c[y[keep]], np.repeat(sizes > tests, sizes)[keep]))
-        made = [np.concatenate(v) for v in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
-        return pa.table({"a": pa.array(made[0]), "b": pa.array(made[1]), "rest": pa.array(made[2])})
+                place = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+                # A column is in both or in neither, so two rows without one before have not met.
+                new = first_one[x] | first_one[y] | (prev[x] != prev[y])
+                keep = new & (place < tests)
+                more = more or bool((new & ~keep).any())
+                out.append((c[x[keep]], c[y[keep]]))
+        made = [pa.array(np.concatenate(v)) for v in zip(*out)] if out else [pa.array([], pa.int64())] * 2
+        # That there is more is said by one row of the block, which names no pair.
+        made = [pa.concat_arrays([v, pa.nulls(int(more), pa.int64())]) for v in made]
+        return pa.table({"a": made[0], "b": made[1], "rest": made[0].is_null()})
 
     found = dealt.groupBy("col", "i", "j").applyInArrow(compare, "a bigint, b bigint, rest boolean")
     return found.groupBy("a", "b").agg(F.max("rest").alias("rest"))
@@ -401,9 +418,9 @@ def join_common(documents: DataFrame, classes: DataFrame, entries: DataFrame, la
         open_ = few(marked.join(mixed, "col", "left_semi"))
         cells = materialize(few(compare_blocks(open_, alone, tests, n)), "jaccard-cells")
         forget(marked)
-        shape = cells.agg(F.count("*").alias("n"), F.max("rest").alias("rest")).first()
+        shape = cells.agg(F.count("a").alias("n"), F.max("rest").alias("rest")).first()
         if shape["n"]:
-            labels.join(links_among(documents, classes, cells.select("a", "b"), shape["n"], key, text))
+            labels.join(links_among(documents, classes, cells.filter("a is not null").select("a", "b"), shape["n"], key, text))
         forget(cells)
         if not alone and not shape["rest"]:
             break
