@@ -22,3 +22,19 @@ def test_rows_stay_in_place_over_many_pieces(spark):
         none = r["id"] % 7 == 0
         assert (r["r"], r["d"]) == ((None, None) if none else (f"{r['id']}&", f"<body><p>{r['id']}&</p></body>"))
         assert (r["e"] is None) == none
+
+
+def test_stored_steps_exchange_few_rows_at_a_time(spark, tmp_path):
+    """Whatever the session says, which is as before afterwards; a smaller number of its own stays."""
+    from winnowry.session import BATCH, BATCH_ROWS, materialize
+
+    rows = spark.range(0, 5000, 1, 1)
+    sizes = lambda: rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"]) for b in batches), "n bigint")
+    own = spark.conf.get(BATCH)
+    try:
+        for set_, most in ((own, BATCH_ROWS), ("0", BATCH_ROWS), ("100", 100)):
+            spark.conf.set(BATCH, set_)
+            found = [r["n"] for r in materialize(sizes(), "batches").collect()]
+            assert sum(found) == 5000 and max(found) <= most and spark.conf.get(BATCH) == set_
+    finally:
+        spark.conf.set(BATCH, own)

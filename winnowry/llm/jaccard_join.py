@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..session import materialize
+from ..session import materialize, small_batches
 from .common import few_tasks, forget, packed, whole
 from .components import components
 from .positional_index import bounded
@@ -113,7 +113,8 @@ def column_levels(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
     few = texts.select(text).coalesce(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
     parts = few.mapInArrow(count, "slice int, kind string, counts binary")
     # At most MOST_COUNTERS numbers, whatever the input.
-    slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()
+    with small_batches(texts.sparkSession):
+        slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()
     counts = np.zeros(buckets)
     for r in slices:
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint64)

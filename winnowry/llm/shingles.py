@@ -3,7 +3,7 @@
 import numpy as np
 
 WORDS = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

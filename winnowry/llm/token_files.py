@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from ..session import scratch_path
+from ..session import scratch_path, small_batches
 from .common import whole
 from .mixing_coder import BLOCK_IDS, decode, encode
 
@@ -175,7 +175,8 @@ def write_blocks(documents: DataFrame, path: str, key: str, text: str = "text",
         if blocks:
             yield flush()
 
-    ordered.mapInArrow(make, schema).write.parquet(path)
+    with small_batches(documents.sparkSession):
+        ordered.mapInArrow(make, schema).write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Session defaults and the shared scratch folder."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -8,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A setting of this library: into how many tasks a table for heavy work is dealt, on one machine.
 SPREAD = "spark.winnowry.spread"
+# Rows of a batch between Spark and Python, where a step is run here.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
 
 def local_session(cores="*", shuffle_partitions=8, memory="12g"):
@@ -74,9 +77,27 @@ def send_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Have what runs inside exchange at most BATCH_ROWS rows at a time with Python.
+
+    A batch of Spark's 10,000 texts is held several times: by the JVM beside its heap, and by each worker on both ways.
+    """
+    own = spark.conf.get(BATCH)
+    if 0 < int(own) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, own)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
