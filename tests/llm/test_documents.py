@@ -200,6 +200,26 @@ def test_blocks_of_common_columns(spark, monkeypatch):
     assert got == plain_components(rows)
 
 
+def test_column_counts_stay_small_on_the_driver(spark, docs, monkeypatch):
+    """The counts are read as they come, not as a double for each; their levels are those of plain counting."""
+    import tracemalloc
+
+    from winnowry.llm.shingles import distinct_shingles
+
+    monkeypatch.setattr(jaccard_join, "LEAST_COUNTERS", 1 << 20)
+    jaccard_join.column_levels(docs, "text")
+    tracemalloc.start()
+    levels, common = jaccard_join.column_levels(docs, "text")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.zeros(1 << 20)
+    for s in distinct_shingles((r["text"] or "").encode() for r in docs.select("text").collect()):
+        np.add.at(counts, (s & np.uint64((1 << 20) - 1)).astype(np.int64), 1)
+    usual = max(1.0, counts.mean()) + 3 * max(1.0, counts.mean()) ** 0.5
+    assert (levels == np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 60)).all() and common > 0
+    assert peak < 8 << 20
+
+
 def test_pairs_come_once_for_a_run_of_shared_columns(spark, monkeypatch):
     """Texts that share passages of many common columns: what leaves the blocks does not grow with the length of a passage."""
     from pyspark.sql import GroupedData

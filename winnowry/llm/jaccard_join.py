@@ -107,20 +107,22 @@ def column_levels(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
             yield done(at, total)
 
     def done(at, total):
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+        kind = np.min_scalar_type(total.max())
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([kind.str]), pa.array([total.astype(kind).tobytes()], pa.binary())], ["slice", "kind", "counts"])
 
     # As many tables as tasks that run at once, whatever the rows.
     few = texts.select(text).coalesce(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
     parts = few.mapInArrow(count, "slice int, kind string, counts binary")
     # At most MOST_COUNTERS numbers, whatever the input.
     with small_batches(texts.sparkSession):
-        slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()
-    counts = np.zeros(buckets)
-    for r in slices:
-        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint64)
-    mean = max(1.0, counts.mean())
+        slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, kind string, counts binary").collect()
+    # Read as they came, one slice at a time: as doubles they would take several times that.
+    counts = {r["slice"]: np.frombuffer(r["counts"], r["kind"]) for r in slices}
+    mean = max(1.0, sum(int(c.sum(dtype=np.uint64)) for c in counts.values()) / buckets)
     usual = mean + 3 * mean**0.5
-    levels = np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 60).astype(np.uint8)
+    levels = np.zeros(buckets, np.uint8)
+    for at, c in counts.items():
+        levels[at * SLICE : at * SLICE + len(c)] = np.clip(np.ceil(np.log2(np.maximum(c, 1) / usual)), 0, 60)
     # A column of a level is in at most usual * 2 ** level rows.
     return levels, max(0, int(np.floor(np.log2(FEW / usual))) + 1) if usual <= FEW else 0
 
