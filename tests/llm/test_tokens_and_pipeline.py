@@ -152,3 +152,48 @@ def test_long_documents_span_blocks(spark, tmp_path):
         assert (r["start"], r["n_tokens"]) == (start, len(want[r["key"]]))
         start += r["n_tokens"]
     assert spark.read.parquet(path).filter("begin is not null").count() > 4
+
+
+def test_new_words_share_a_text():
+    """New words go to the tokenizer many at a time, known ones not at all."""
+    _, coder = _both()
+    asked = []
+
+    class Asked:
+        def __init__(self, own):
+            self.__dict__["own"] = own
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    coder = token_files.TextEncoder(token_files.tokenizer_path())
+    for name in {"tokenizer", "words"}.intersection(vars(coder)):
+        setattr(coder, name, Asked(getattr(coder, name)))
+    words = [f"{a}{b}é{c}" for a in "klmnopqrst" for b in "aeiou" for c in "bcdfghjklm"] + [a + b + c + "q" for a in "klmnopqrst" for b in "aeiou" for c in "bcdfghjklm"]
+    text = " ".join(w + mark for w in words for mark in ("", ",", "***"))
+    (first,) = coder.ids([text])
+    assert len(asked) < len(words) // 10
+    asked.clear()
+    assert coder.ids([text.upper()]) == [first] and not asked
+
+
+def test_parts_are_forgotten_and_met_again(monkeypatch):
+    tokenizer, _ = _both()
+    coder = token_files.TextEncoder(token_files.tokenizer_path())
+    monkeypatch.setattr(token_files, "KNOWN_PARTS", 30)
+    for i in [*range(40), *range(40)]:
+        text = f"the word{i} {i} wörd{i}x ab{chr(97 + i % 26)}c... é{i}"
+        assert np.frombuffer(coder.ids([text, "", text])[2], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(coder.parts) < 60
+
+
+def test_coder_carries():
+    """Many blocks of ids that are all but sure, so that carries run through words already made."""
+    rng = np.random.default_rng(7)
+    blocks = [np.where(rng.random(n) < 0.002, 65535, top).astype(np.int64) for n in (300, 1100, 5000, 17000) for top in (0, 1, 65535) for _ in range(4)]
+    back = mixing_coder.decode(mixing_coder.encode(blocks))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back, strict=True))

@@ -20,110 +20,85 @@ BLOCK_IDS = 8192
 STEPS = 1024
 _RENEWALS = (256, 1024, 4096)
 _ORDER1, _ORDER2 = 11, 12
-_TRUST = np.array([0, 64, 256, 768, 1536, 3072, 6144, 8192], np.int64)
-# Registers of 48 bits, of which 16 leave at a time.
-_TOP, _BOTTOM, _WORD = 1 << 32, 1 << 24, (1 << 48) - 1
+_TRUST = np.array([0, 64, 256, 768, 1536, 3072, 6144, 8192], float)
+# What is added to how sure a guess is: when it was wrong, then when it was right.
+_CHANGE = np.array([(n >> 1) - n for n in range(8)] + [min(n + 1, 7) - n for n in range(8)], np.int32)
+# Registers hold whole numbers of 48 bits as doubles; 16 bits leave at a time, once a range is below _LEAST.
+_FULL, _LEAST, _WORD = 2.0**48, 2.0**32, 2.0**16
 _HEADER = "<4sII"
 _HEADER_BYTES = struct.calcsize(_HEADER)
-_MAGIC = b"CMR1"
+_MAGIC = b"CMR2"
 
 
 def _escape(history: int) -> int:
     return 64 + history // 8
 
 
-def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a // b for 0 <= a < 2 ** 48 and b > 0: floating division is faster, and one too many is taken back."""
-    q = (a / b).astype(np.int64)
-    return q - (q * b > a)
-
-
-def _steps(lanes: list[np.ndarray], a: int, b: int, width: int) -> np.ndarray:
-    """Ids a to b of the first ``width`` lanes [step, lane]; 0 behind the end of a lane."""
-    out = np.zeros((width, b - a), np.int64)
+def _steps(lanes: list[np.ndarray], a: int, b: int, width: int, dtype=np.int64) -> np.ndarray:
+    """Numbers a to b of the first ``width`` lanes [step, lane]; 0 behind the end of a lane."""
+    out = np.zeros((width, b - a), dtype)
     for lane in range(width):
         part = lanes[lane][a:b]
         out[lane, : len(part)] = part
     return out.T.copy()
 
 
-class _Counts:
-    """Order 0 of many blocks: their first ``t`` ids, sorted [block, place], with the run that each place belongs to."""
+class _Seen:
+    """Order 0 of a block that is known: start and size of the run of each of its ids among its first ``t`` ids, sorted."""
 
     def __init__(self, ids: np.ndarray):
-        self.total = t = len(ids)
-        self.sorted = np.sort(ids.T.astype(np.uint16), axis=1, kind="stable")
-        place = np.arange(t, dtype=np.int32)[None, :]
-        new = np.ones(self.sorted.shape, bool)
-        new[:, 1:] = self.sorted[:, 1:] != self.sorted[:, :-1]
-        self.start = np.maximum.accumulate(np.where(new, place, np.int32(0)), axis=1)
-        last = np.ones_like(new)
-        last[:, :-1] = new[:, 1:]
-        self.end = np.minimum.accumulate(np.where(last, place + np.int32(1), np.int32(t))[:, ::-1], axis=1)[:, ::-1]
-        self.keys = None
-
-    def find(self, ids: np.ndarray):
-        """Start and size of the runs of ids [step, block]; size 0 where an id was not seen."""
-        lane = np.arange(len(self.sorted), dtype=np.int64)[:, None] << 17
-        if self.keys is None:
-            self.keys, self.end = (lane + self.sorted).ravel(), np.ascontiguousarray(self.end)
-        asked = lane[: ids.shape[1]] + ids.T
-        at = np.minimum(np.searchsorted(self.keys, asked.ravel()), len(self.keys) - 1).reshape(asked.shape)
-        start = self.start.ravel()[at]
-        size = np.where(self.keys[at] == asked, self.end.ravel()[at] - start, 0)
-        return start.T.astype(np.int64), size.T.astype(np.int64)
-
-
-class _State:
-    """Predictions and coder registers of n blocks."""
-
-    def __init__(self, n):
-        self.ids = [np.zeros(n << k, np.uint16) for k in (_ORDER1, _ORDER2)]
-        self.right = [np.zeros(n << k, np.uint8) for k in (_ORDER1, _ORDER2)]
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, _WORD, np.int64)
-        self.lane = np.arange(n)
-        self.at1, self.at2 = self.lane << _ORDER1, self.lane << _ORDER2
-
-    def look(self, n):
-        """Guesses and their weights for the next id of the first n blocks."""
-        self.slots = (self.at1[:n] + self.one[:n], self.at2[:n] + self.two[:n])
-        self.guess = [self.ids[k][s].astype(np.int64) for k, s in enumerate(self.slots)]
-        self.sure = [self.right[k][s] for k, s in enumerate(self.slots)]
-        return self.guess[0], self.guess[1], _TRUST[self.sure[0]], _TRUST[self.sure[1]]
-
-    def learn(self, n, x):
-        for k in (0, 1):
-            sure = self.sure[k]
-            hit = (self.guess[k] == x) & (sure > 0)
-            sure = np.where(hit, np.minimum(sure + 1, 7), sure >> 1).astype(np.uint8)
-            fresh = sure == 0
-            slots = self.slots[k]
-            self.right[k][slots] = np.maximum(sure, 1)
-            changed = slots[fresh]
-            self.ids[k][changed] = x[fresh]
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        new = np.ones(len(ids), np.int32)
+        new[1:] = ids[order][1:] != ids[order][:-1]
+        self.rank = np.empty(len(ids), np.int32)
+        self.rank[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.distinct = int(new.sum())
+
+    def runs(self, t: int, a: int, b: int):
+        count = np.bincount(self.rank[:t], minlength=self.distinct)
+        own = self.rank[a:b]
+        return (np.cumsum(count) - count)[own], count[own]
+
+
+def _table(ids: np.ndarray) -> np.ndarray:
+    """Order 0 of blocks that are read: [block, place] of their first ids, sorted; id, start and size of its run in 16, 24, 24 bits."""
+    t = len(ids)
+    found = np.sort(ids.T.astype(np.uint16), axis=1, kind="stable")
+    place = np.arange(t, dtype=np.int32)[None, :]
+    new = np.ones(found.shape, bool)
+    new[:, 1:] = found[:, 1:] != found[:, :-1]
+    start = np.maximum.accumulate(np.where(new, place, np.int32(0)), axis=1)
+    last = np.ones_like(new)
+    last[:, :-1] = new[:, 1:]
+    end = np.minimum.accumulate(np.where(last, place + np.int32(1), np.int32(t))[:, ::-1], axis=1)[:, ::-1]
+    return ((end - start).astype(np.int64) << 40) | (start.astype(np.int64) << 16) | found
+
+
+class _Guesses:
+    """Orders 1 and 2 of n blocks, side by side: an entry is the id that followed and, in 3 bits, how often that was right."""
+
+    def __init__(self, n: int):
+        self.entries = np.full((n << _ORDER1) + (n << _ORDER2), LIMIT << 3, np.int32)
+        lane = np.arange(n)
+        self.at = np.stack([lane << _ORDER1, (n << _ORDER1) + (lane << _ORDER2)])
+        self.context = np.zeros((2, n), np.int64)
+
+    def look(self, n: int):
+        """Guesses [order, block] and their weights for the next id of the first n blocks; LIMIT where there is none."""
+        self.slots = self.at[:, :n] + self.context[:, :n]
+        self.found = self.entries.take(self.slots, mode="clip")
+        self.sure = self.found & 7
+        return self.found >> 3, _TRUST.take(self.sure, mode="clip")
+
+    def learn(self, n: int, x: np.ndarray, hit: np.ndarray):
+        new = self.found + _CHANGE.take(self.sure + (hit << 3), mode="clip")
+        # A guess that was last right too long ago gives way.
+        np.copyto(new, (x << 3) + 1, where=(self.sure < 2) & ~hit, casting="same_kind")
+        self.entries[self.slots.ravel()] = new.ravel()
         low = (x * 40503) >> 3
-        self.two[:n] = (low + self.one[:n] * 30529) & ((1 << _ORDER2) - 1)
-        self.one[:n] = low & ((1 << _ORDER1) - 1)
-
-    def take(self, lanes, r, start, size, move):
-        """Narrow the registers to an interval, then move out bytes; ``move(lanes)`` writes or reads them."""
-        low, width = self.low, self.range
-        low[lanes] += r * start
-        width[lanes] = r = r * size
-        # Most intervals wider than this need no move.
-        act = self.lane[lanes][r < _TOP]
-        while len(act):
-            lo, r = low[act], width[act]
-            settled = (lo ^ (lo + r)) < _TOP
-            tight = (r < _BOTTOM) & ~settled
-            due = settled | tight
-            act, lo, r = act[due], lo[due], np.where(tight, -lo & (_BOTTOM - 1), r)[due]
-            if not len(act):
-                return
-            move(act)
-            low[act] = (lo << 16) & _WORD
-            width[act] = r << 16
+        context = self.context[:, :n]
+        context[1] = (low + context[0] * 30529) & ((1 << _ORDER2) - 1)
+        context[0] = low & ((1 << _ORDER1) - 1)
 
 
 def _pieces(longest: int):
@@ -151,48 +126,69 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n, own = len(blocks), [blocks[i] for i in order]
     lengths = np.array([len(b) for b in own])
-    s = _State(n)
-    made, out, used = [[] for _ in range(n)], None, np.zeros(n, np.int64)
-
-    def write(lanes):
-        nonlocal out
-        if used[lanes].max() >= out.shape[1]:
-            out = np.concatenate([out, np.zeros_like(out)], 1)
-        out[lanes, used[lanes]] = s.low[lanes] >> 32
-        used[lanes] += 1
+    shorter = -lengths
+    seen = [_Seen(b) if len(b) > _RENEWALS[0] else None for b in own]
+    guesses, low, width = _Guesses(n), np.zeros(n), np.full(n, _FULL)
+    made = [[] for _ in range(n)]
 
     for a, begin, stop in _pieces(int(lengths[0])):
-        if a and begin == a:
-            counts = _Counts(_steps(own, 0, a, int((lengths > a).sum())))
-        width = int((lengths > begin).sum())
-        ids, out = _steps(own, begin, stop, width), np.zeros((width, stop - begin + 64), "<u2")
+        wide = int((lengths > begin).sum())
+        ids = _steps(own, begin, stop, wide, np.int32)
+        # A step makes two words at most; a word may hold a carry in its 17th bit.
+        room = 2 * (stop - begin) + 1
+        out, first = np.zeros(wide * room, np.int32), np.arange(wide) * room
+        at, esc = first.copy(), float(_escape(a))
         if a:
-            first, count = counts.find(ids)
-        esc = _escape(a)
+            runs = [seen[lane].runs(a, begin, stop) for lane in range(wide)]
+            starts, counts = (_steps([r[k] for r in runs], 0, stop - begin, wide, np.int32) for k in (0, 1))
         for t in range(stop - begin):
-            live = int(np.searchsorted(-lengths, -(begin + t)))
-            x, lanes = ids[t, :live], slice(0, live)
-            g1, g2, w1, w2 = s.look(live)
-            total = w1 + w2 + (esc + a)
-            r = _divide(s.range[:live], total)
-            start, size = (first[t, :live] + esc, count[t, :live]) if a else (np.zeros(live, np.int64), np.zeros(live, np.int64))
-            hit1, hit2 = (g1 == x) & (w1 > 0), (g2 == x) & (w2 > 0)
-            start, size = np.where(hit1, esc + a, start), np.where(hit1, w1, size)
-            start, size = np.where(hit2, esc + a + w1, start), np.where(hit2, w2, size)
+            live = int(np.searchsorted(shorter, -(begin + t)))
+            x, lo, wd, to = ids[t, :live], low[:live], width[:live], at[:live]
+            guess, (w1, w2) = guesses.look(live)
+            hit = guess == x
+            base = w1 + (esc + a)
+            r = np.floor(wd / (base + w2))
+            start, size = (starts[t, :live] + esc, counts[t, :live].astype(float)) if a else (np.zeros(live), np.zeros(live))
+            np.copyto(start, esc + a, where=hit[0])
+            np.copyto(size, w1, where=hit[0])
+            np.copyto(start, base, where=hit[1])
+            np.copyto(size, w2, where=hit[1])
             new = np.flatnonzero(size == 0)
             start[new], size[new] = 0, esc
-            s.take(lanes, r, start, size, write)
+            lo += r * start
+            np.multiply(r, size, out=wd)
+            # A word leaves every lane; it counts where the range is small.
+            due = wd < _LEAST
+            word = np.floor(lo * (1 / _LEAST))
+            out[to] = word
+            lo -= word * (due * _LEAST)
+            more = np.where(due, _WORD, 1.0)
+            lo *= more
+            wd *= more
+            to += due
             if len(new):
-                s.take(new, s.range[new] >> 16, x[new], np.ones(len(new), np.int64), write)
-            s.learn(live, x)
-        for lane in range(width):
-            made[lane].append(out[lane, : used[lane]].tobytes())
-        used[:width] = 0
-    tails = np.stack([(s.low >> shift) & 0xFFFF for shift in (32, 16, 0)], 1).astype("<u2")
+                r = np.floor(wd[new] * (1 / _WORD))
+                some = lo[new] + r * x[new]
+                word = np.floor(some * (1 / _LEAST))
+                out[to[new]] = word
+                lo[new], wd[new] = (some - word * _LEAST) * _WORD, r * _WORD
+                to[new] += 1
+            guesses.learn(live, x, hit)
+        for lane in range(wide):
+            made[lane].append(out[first[lane] : at[lane]].copy())
     codes = [b""] * n
     for lane, i in enumerate(order):
+        rest, tail = int(low[lane]), []
+        for shift in (32, 16, 0):
+            tail.append(rest >> shift)
+            rest &= (1 << shift) - 1
+        words = np.concatenate([*made[lane], np.array(tail, np.int32)])
+        made[lane] = None
+        while (carry := words >> 16).any():
+            words &= 0xFFFF
+            words[:-1] += carry[1:]
         data = own[lane].astype("<u4").tobytes()
-        codes[i] = b"".join([struct.pack(_HEADER, _MAGIC, len(own[lane]), zlib.crc32(data)), *made[lane], tails[lane].tobytes()])
+        codes[i] = struct.pack(_HEADER, _MAGIC, len(own[lane]), zlib.crc32(data)) + words.astype("<u2").tobytes()
     return codes
 
 
@@ -205,55 +201,67 @@ def decode(codes: list[bytes]) -> list[np.ndarray]:
         raise ValueError("not a token block")
     order = sorted(range(len(codes)), key=lambda i: -heads[i][1])
     n, lengths = len(codes), np.array([heads[i][1] for i in order])
-    s = _State(n)
-    # All codes in a row, zeros between them.
-    bodies = [np.frombuffer(codes[i], "<u2", offset=_HEADER_BYTES) for i in order]
-    gap = np.zeros(4, "<u2")
-    data = np.concatenate([x for body in bodies for x in (body, gap)]).astype(np.uint16)
-    ends = np.cumsum([len(body) + len(gap) for body in bodies])
-    at, last = np.append(0, ends[:-1]), ends - 1
-    code = np.zeros(n, np.int64)
-
-    def read(lanes):
-        code[lanes] = ((code[lanes] << 16) & _WORD) | data[np.minimum(at[lanes], last[lanes])]
-        at[lanes] += 1
-
+    shorter = -lengths
+    # All codes in a row; what is read behind the last of them fails the checksum.
+    bodies = [np.frombuffer(codes[i], "<u2", len(codes[i]) - _HEADER_BYTES >> 1, _HEADER_BYTES) for i in order]
+    data = np.concatenate(bodies).astype(np.uint16)
+    at = np.cumsum([0, *map(len, bodies)])[:-1]
+    guesses, width, code = _Guesses(n), np.full(n, _FULL), np.zeros(n)
     for _ in range(3):
-        read(s.lane)
+        code = code * _WORD + data.take(at, mode="clip")
+        at += 1
     made = [np.empty(size, np.uint32) for size in lengths]
-    for a, begin, stop in _pieces(int(lengths[0])):
-        if a and begin == a:
-            counts = _Counts(_steps(made, 0, a, int((lengths > a).sum())))
-        width = int((lengths > begin).sum())
-        out = np.zeros((stop - begin, width), np.int64)
-        esc = _escape(a)
-        for t in range(stop - begin):
-            live = int(np.searchsorted(-lengths, -(begin + t)))
-            lanes = slice(0, live)
-            g1, g2, w1, w2 = s.look(live)
-            total = w1 + w2 + (esc + a)
-            r = _divide(s.range[:live], total)
-            value = np.minimum(_divide((code[:live] - s.low[:live]) & _WORD, r), total - 1)
-            hit2, hit1 = value >= esc + a + w1, value >= esc + a
-            x, start, size = np.zeros(live, np.int64), np.zeros(live, np.int64), np.full(live, esc)
-            if a:
-                old = np.flatnonzero((value >= esc) & ~hit1)
-                row = value[old] - esc
-                first = counts.start[old, row]
-                x[old], start[old], size[old] = counts.sorted[old, row], first + esc, counts.end[old, row] - first
-            x, start, size = np.where(hit1, g1, x), np.where(hit1, esc + a, start), np.where(hit1, w1, size)
-            x, start, size = np.where(hit2, g2, x), np.where(hit2, esc + a + w1, start), np.where(hit2, w2, size)
-            s.take(lanes, r, start, size, read)
-            new = np.flatnonzero(value < esc)
-            if len(new):
-                r = s.range[new] >> 16
-                x[new] = np.minimum(_divide((code[new] - s.low[new]) & _WORD, r), LIMIT - 1)
-                s.take(new, r, x[new], np.ones(len(new), np.int64), read)
-            s.learn(live, x)
-            out[t, :live] = x
-        for lane, ids in enumerate(out.T):
-            part = made[lane][begin:stop]
-            part[:] = ids[: len(part)]
+    with np.errstate(all="ignore"):
+        for a, begin, stop in _pieces(int(lengths[0])):
+            if a and begin == a:
+                table = _table(_steps(made, 0, a, int((lengths > a).sum())))
+                rows = np.arange(len(table)) * a
+                table = table.ravel()
+            wide = int((lengths > begin).sum())
+            out = np.zeros((stop - begin, wide), np.int32)
+            esc = float(_escape(a))
+            for t in range(stop - begin):
+                live = int(np.searchsorted(shorter, -(begin + t)))
+                cd, wd, to = code[:live], width[:live], at[:live]
+                guess, (w1, w2) = guesses.look(live)
+                base = w1 + (esc + a)
+                total = base + w2
+                r = np.floor(wd / total)
+                total -= 1
+                value = np.minimum(np.floor(cd / r), total)
+                hit1, hit2, new = value >= esc + a, value >= base, np.flatnonzero(value < esc)
+                if a:
+                    entry = table.take(rows[:live] + np.minimum(np.maximum(value - esc, 0), a - 1).astype(np.int64), mode="clip")
+                    x = (entry & (LIMIT - 1)).astype(np.int32)
+                    start, size = (entry >> 16 & 0xFFFFFF) + esc, (entry >> 40).astype(float)
+                else:
+                    x, start, size = np.zeros(live, np.int32), np.zeros(live), np.zeros(live)
+                np.copyto(x, guess[0], where=hit1)
+                np.copyto(start, esc + a, where=hit1)
+                np.copyto(size, w1, where=hit1)
+                np.copyto(x, guess[1], where=hit2)
+                np.copyto(start, base, where=hit2)
+                np.copyto(size, w2, where=hit2)
+                start[new], size[new] = 0, esc
+                cd -= r * start
+                np.multiply(r, size, out=wd)
+                due = wd < _LEAST
+                more = np.where(due, _WORD, 1.0)
+                cd *= more
+                wd *= more
+                cd += data.take(to, mode="clip") * due
+                to += due
+                if len(new):
+                    r = np.floor(wd[new] * (1 / _WORD))
+                    found = np.minimum(np.floor(cd[new] / r), LIMIT - 1)
+                    x[new] = found
+                    cd[new], wd[new] = (cd[new] - r * found) * _WORD + data.take(to[new], mode="clip"), r * _WORD
+                    to[new] += 1
+                guesses.learn(live, x, guess == x)
+                out[t, :live] = x
+            for lane, ids in enumerate(out.T):
+                part = made[lane][begin:stop]
+                part[:] = ids[: len(part)]
     blocks = [None] * n
     for lane, i in enumerate(order):
         if zlib.crc32(made[lane].astype("<u4").tobytes()) != heads[i][2]:

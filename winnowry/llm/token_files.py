@@ -10,12 +10,14 @@ A null or empty text is its end id alone. Rows with equal ids follow each other
 digests; null ids come first. An empty table gives an empty file and no rows. Other columns are not stored.
 """
 
+import itertools
 import json
 import re
 import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -28,9 +30,14 @@ END_ID = 2
 LANES = 1024
 # How the tokenizer that can be given chunks splits a text, and characters for which that is plain.
 LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-TAIL = ".,!?;:"
-ASCII_WORD = frozenset(string.ascii_letters + string.digits)
-KNOWN_PARTS = 150_000
+TAIL = "".join(x for x in string.punctuation if x not in "'<>")
+# Letters that no normalizing of a text but lower case changes, alone or before what TAIL holds.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+WORD, WORD_END = rf"\A[{LATIN}]+\z", rf"[{LATIN}0-9]\z"
+KNOWN_PARTS, WORDS_A_TEXT = 150_000, 64
+TEXT_BYTES = 1 << 21
+BLANKS = np.arange(256, dtype=np.uint8)
+BLANKS[[9, 10, 13]] = 32
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -50,51 +57,138 @@ def splits_at_blanks(tokenizer: dict) -> bool:
     local = all(x["type"] in ("NFC", "Lowercase") or x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in normal)
     parted = len(before) == 2 and before[0] == {"type": "Split", "pattern": {"Regex": LETTERS}, "behavior": "Removed", "invert": True}
     bytewise = parted and before[1]["type"] == "ByteLevel" and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
-    alone = all(not re.search(r"\s", t["content"]) and not t["single_word"] for t in tokenizer["added_tokens"])
+    alone = all(not re.search(r"\s", t["content"]) and not t["single_word"] and t["content"][-1] not in TAIL for t in tokenizer["added_tokens"])
     return local and bytewise and alone and tokenizer["post_processor"] is None
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of large strings."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    own = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], own[offsets[0] : offsets[-1]]
+
+
+def _strings(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.ascontiguousarray(offsets, np.int64)
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of values, one behind the other."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    found = texts.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
 class TextEncoder:
     """Texts to the ids that the tokenizer gives the whole text.
 
-    Where ``splits_at_blanks`` holds, a chunk between blanks is encoded once and remembered, up to about KNOWN_PARTS of
-    those met last; marks of TAIL behind an ASCII letter or digit are a match of their own there, and remembered
-    apart. Any other tokenizer gets whole texts.
+    Where ``splits_at_blanks`` holds, the different chunks between blanks are encoded once; marks of TAIL behind a plain
+    letter or digit are a match of their own there, and encoded apart. Words of LATIN letters go to the tokenizer's model
+    many in one text, without the steps that leave them as they are; each ends at its only token with the model's mark
+    for ends. The ids of the last KNOWN_PARTS parts or so are remembered. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = splits_at_blanks(json.load(f))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: set[str]) -> None:
-        """Have the ids of all parts in ``known``."""
-        known, older = self.known, self.older
-        for p in parts.intersection(older).difference(known):
-            known[p] = older[p]
-        new = sorted(parts.difference(known))
-        known.update(zip(new, self._encode(new), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+            described = json.load(f)
+        self.by_chunk, suffix = splits_at_blanks(described), described["model"].get("end_of_word_suffix")
+        self.by_word = self.by_chunk and described["model"]["type"] == "BPE" and bool(suffix)
+        if self.by_word:
+            self.lower = '{"type": "Lowercase"}' in json.dumps(described["normalizer"])
+            self.words = Tokenizer(self.tokenizer.model)
+            # Letters of ASCII are their own marks for bytes.
+            split, to_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.steps = {True: split, False: pre_tokenizers.Sequence([split, to_bytes])}
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        # Parts and their places, where the ids of a place begin and end, and the ids.
+        self.parts, self.at, self.held = {}, np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the number of them for each."""
+        found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of LATIN letters, all or none of ASCII."""
+        joined = [" ".join(words[i : i + WORDS_A_TEXT]) for i in range(0, len(words), WORDS_A_TEXT)]
+        self.words.pre_tokenizer = self.steps[words[0].isascii()]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(joined, add_special_tokens=False)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        # A model without all of the letters leaves some out.
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(words) else self._encode(words)
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """The places of different parts among those remembered; new ones are encoded."""
+        if len(self.parts) > KNOWN_PARTS:
+            # The older half is forgotten.
+            half = len(self.parts) // 2
+            self.parts, first = {p: i for i, p in enumerate(list(self.parts)[half:])}, self.at[half]
+            self.at, self.held = self.at[half:] - first, self.held[first:].copy()
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.parts.get, names, itertools.repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        kind = np.zeros(len(new), np.int8)
+        if self.by_word:
+            some = parts.take(pa.array(new))
+            kind = pc.match_substring_regex(some, WORD).to_numpy(zero_copy_only=False) * (1 + pc.string_is_ascii(some).to_numpy(zero_copy_only=False))
+        for k, encode in enumerate((self._encode, self._encode_words, self._encode_words)):
+            own = new[kind == k]
+            if len(own):
+                place[own] = len(self.parts) + np.arange(len(own))
+                chosen = [names[i] for i in own.tolist()]
+                ids, sizes = encode(chosen)
+                self.parts.update(zip(chosen, place[own].tolist(), strict=True))
+                self.held, self.at = np.concatenate([self.held, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        return place
+
+    def ids(self, texts) -> list[bytes]:
         if not self.by_chunk:
-            return self._encode(texts)
-        lists = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
-        split = {}
-        for c in {c for x in lists for c in x}:
-            core = c.rstrip(TAIL)
-            split[c] = (core, c[len(core) :]) if core and core[-1] in ASCII_WORD else (c, "")
-        if len(self.known) > KNOWN_PARTS:
-            # What was not met since the last time is forgotten.
-            self.known, self.older = {}, self.known
-        self._learn({p for parts in split.values() for p in parts if p})
-        known = self.known
-        own = {c: (known[x] if x else b"") + (known[y] if y else b"") for c, (x, y) in split.items()}
-        return [b"".join([own[c] for c in x]) for x in lists]
+            ids, sizes = self._encode(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
+            return self._cut(ids, np.cumsum(sizes))
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        begins, data = _bytes_of(texts)
+        data = BLANKS[data]
+        # A chunk takes the blank behind it along.
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:] = data == 32
+        cut[begins] = True
+        cuts = np.flatnonzero(cut)
+        of_chunk, chunks = _distinct(_strings(cuts, data))
+        chunks = pc.ascii_rtrim(chunks, " ")
+        core = pc.ascii_rtrim(chunks, TAIL)
+        core = pc.if_else(pc.match_substring_regex(core, WORD_END), core, chunks)
+        offsets, data = _bytes_of(chunks)
+        long = pc.binary_length(core).to_numpy()
+        rest = np.diff(offsets) - long
+        tails = _strings(np.concatenate([[0], np.cumsum(rest)]), _runs(data, offsets[:-1] + long, rest))
+        if self.by_word and self.lower:
+            core = pc.if_else(pc.match_substring_regex(core, WORD), pc.utf8_lower(core), core)
+        of_part, parts = _distinct(pa.concat_arrays([core, tails]))
+        place = self._places(parts)[of_part]
+        start, size = self.at[place], self.at[place + 1] - self.at[place]
+        # The ids of a chunk: those of its core, then of its tail.
+        n = len(chunks)
+        pair = np.arange(2 * n).reshape(2, n).T.ravel()
+        own, sizes = _runs(self.held, start[pair], size[pair]), size[:n] + size[n:]
+        begin, size = (np.cumsum(sizes) - sizes)[of_chunk], sizes[of_chunk]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(cuts[:-1], begins[1:])]
+        return self._cut(_runs(own, begin, size), ends)
+
+    @staticmethod
+    def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        code, ends = ids.tobytes(), (4 * ends).tolist()
+        return [code[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _encoder(path: str) -> TextEncoder:
@@ -109,6 +203,23 @@ def _encoder(path: str) -> TextEncoder:
     return held[path]
 
 
+def _by_load(batches, *columns: str):
+    """Columns of the batches, the last of texts, anew: of about TEXT_BYTES of texts, a single row may have more."""
+    held, size = [], 0
+    for batch in batches:
+        load = np.cumsum(pc.binary_length(batch.column(columns[-1])).to_numpy(), dtype=np.int64) // TEXT_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(load)) + 1).tolist(), len(load)]
+        for i, j in zip(bounds, bounds[1:]):
+            piece = batch.slice(i, j - i)
+            held.append(piece)
+            size += pc.sum(pc.binary_length(piece.column(columns[-1]))).as_py() or 0
+            if size >= TEXT_BYTES:
+                yield [pa.concat_arrays([x.column(c) for x in held]) for c in columns]
+                held, size = [], 0
+    if held:
+        yield [pa.concat_arrays([x.column(c) for x in held]) for c in columns]
+
+
 def _schema(key: T.StructField) -> T.StructType:
     return T.StructType(
         [T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("before", T.LongType()),
@@ -150,26 +261,23 @@ def write_blocks(documents: DataFrame, path: str, key: str, text: str = "text",
             blocks, keys, lengths, begins = [], [], [], []
             return batch
 
-        for batch in batches:
-            kind = batch.schema.field("k").type
-            column = batch.column("t")
-            for i in range(0, len(column), 256):
-                coded = coder.ids(column.slice(i, 256).to_pylist())
-                for k, ids in zip(batch.column("k").slice(i, 256).to_pylist(), coded, strict=True):
-                    n = len(ids) // 4 + 1
-                    if size and size + n > BLOCK_IDS:
-                        close()
-                    ids += end
-                    for first in range(0, n, BLOCK_IDS):
-                        own.append(ids[4 * first : 4 * (first + BLOCK_IDS)])
-                        own_keys.append(k)
-                        own_lengths.append(len(own[-1]) // 4)
-                        size += own_lengths[-1]
-                        if n > BLOCK_IDS:
-                            close(placed)
-                        if len(blocks) >= LANES:
-                            yield flush()
-                    placed += n
+        for names, texts in _by_load(batches, "k", "t"):
+            kind = names.type
+            for k, ids in zip(names.to_pylist(), coder.ids(texts), strict=True):
+                n = len(ids) // 4 + 1
+                if size and size + n > BLOCK_IDS:
+                    close()
+                ids += end
+                for first in range(0, n, BLOCK_IDS):
+                    own.append(ids[4 * first : 4 * (first + BLOCK_IDS)])
+                    own_keys.append(k)
+                    own_lengths.append(len(own[-1]) // 4)
+                    size += own_lengths[-1]
+                    if n > BLOCK_IDS:
+                        close(placed)
+                    if len(blocks) >= LANES:
+                        yield flush()
+                placed += n
         if size:
             close()
         if blocks:
