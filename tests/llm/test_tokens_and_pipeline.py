@@ -197,3 +197,41 @@ def test_coder_carries():
     blocks = [np.where(rng.random(n) < 0.002, 65535, top).astype(np.int64) for n in (300, 1100, 5000, 17000) for top in (0, 1, 65535) for _ in range(4)]
     back = mixing_coder.decode(mixing_coder.encode(blocks))
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back, strict=True))
+
+
+def test_steps_do_not_follow_the_longest_block(monkeypatch):
+    """A long block beside short ones is coded in lanes side by side, in groups of bounded size."""
+    widths = []
+    learn = mixing_coder._Guesses.learn
+    monkeypatch.setattr(mixing_coder._Guesses, "learn", lambda self, x, *more: widths.append(np.shape(x)[-1]) or learn(self, x, *more))
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 900, n) for n in (9000, *range(40), 1025, 700)]
+    back = mixing_coder.decode(mixing_coder.encode(blocks))
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back, strict=True))
+    assert len(widths) <= 2 * 1024
+    monkeypatch.setattr(mixing_coder, "GROUP", 8)
+    codes = mixing_coder.encode(blocks)
+    widths.clear()
+    assert mixing_coder.encode(blocks) == codes and max(widths) <= 8
+    back = mixing_coder.decode(codes)
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True)) and max(widths) <= 8
+
+
+def test_any_broken_byte_is_noticed():
+    (code,) = mixing_coder.encode([np.arange(1500) % 70])
+    for at in [*range(20), len(code) // 2, len(code) - 1]:
+        broken = bytearray(code)
+        broken[at] ^= 4
+        with pytest.raises(ValueError):
+            mixing_coder.decode([bytes(broken)])
+    with pytest.raises(ValueError):
+        mixing_coder.decode([code[:-1]])
+
+
+def test_remembered_parts_take_little_memory():
+    """Parts are held as bytes in a row, not as objects of Python, so that many are remembered."""
+    coder = token_files.TextEncoder(token_files.tokenizer_path())
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz" for d in "aeiou"]
+    (first,) = coder.ids([" ".join(words)])
+    assert len(coder.parts) >= len(words) and coder.parts.nbytes < 16 * len(coder.parts)
+    assert coder.ids([" ".join(words)]) == [first]

@@ -10,7 +10,6 @@ A null or empty text is its end id alone. Rows with equal ids follow each other
 digests; null ids come first. An empty table gives an empty file and no rows. Other columns are not stored.
 """
 
-import itertools
 import json
 import re
 import string
@@ -21,20 +20,19 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from ..session import scratch_path, small_batches
+from ..session import BATCH_ROWS, scratch_path, small_batches
 from .common import whole
-from .mixing_coder import BLOCK_IDS, decode, encode
+from .mixing_coder import BLOCK_IDS, GROUP_IDS, decode, encode
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-LANES = 1024
 # How the tokenizer that can be given chunks splits a text, and characters for which that is plain.
 LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TAIL = "".join(x for x in string.punctuation if x not in "'<>")
 # Letters that no normalizing of a text but lower case changes, alone or before what TAIL holds.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 WORD, WORD_END = rf"\A[{LATIN}]+\z", rf"[{LATIN}0-9]\z"
-KNOWN_PARTS, WORDS_A_TEXT = 150_000, 64
+KNOWN_PARTS, WORDS_A_TEXT = 800_000, 64
 TEXT_BYTES = 1 << 21
 BLANKS = np.arange(256, dtype=np.uint8)
 BLANKS[[9, 10, 13]] = 32
@@ -111,8 +109,8 @@ class TextEncoder:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        # Parts and their places, where the ids of a place begin and end, and the ids.
-        self.parts, self.at, self.held = {}, np.zeros(1, np.int64), np.zeros(0, "<u4")
+        # Parts in order of their places, where the ids of a place begin and end, and the ids.
+        self.parts, self.at, self.held = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the number of them for each."""
@@ -133,22 +131,23 @@ class TextEncoder:
         if len(self.parts) > KNOWN_PARTS:
             # The older half is forgotten.
             half = len(self.parts) // 2
-            self.parts, first = {p: i for i, p in enumerate(list(self.parts)[half:])}, self.at[half]
-            self.at, self.held = self.at[half:] - first, self.held[first:].copy()
-        names = parts.to_numpy(zero_copy_only=False).tolist()
-        place = np.fromiter(map(self.parts.get, names, itertools.repeat(-1)), np.int64, len(names))
+            first = self.at[half]
+            self.parts, self.at, self.held = pa.concat_arrays([self.parts[half:]]), self.at[half:] - first, self.held[first:].copy()
+        # The look-up is built from the parts asked for, as those remembered are more.
+        asked = pc.fill_null(pc.index_in(self.parts, value_set=parts), -1).to_numpy()
+        met, place = np.flatnonzero(asked >= 0), np.full(len(parts), -1, np.int64)
+        place[asked[met]] = met
         new = np.flatnonzero(place < 0)
-        kind = np.zeros(len(new), np.int8)
+        some, kind = parts.take(pa.array(new)), np.zeros(len(new), np.int8)
         if self.by_word:
-            some = parts.take(pa.array(new))
             kind = pc.match_substring_regex(some, WORD).to_numpy(zero_copy_only=False) * (1 + pc.string_is_ascii(some).to_numpy(zero_copy_only=False))
         for k, encode in enumerate((self._encode, self._encode_words, self._encode_words)):
-            own = new[kind == k]
+            own = np.flatnonzero(kind == k)
             if len(own):
-                place[own] = len(self.parts) + np.arange(len(own))
-                chosen = [names[i] for i in own.tolist()]
-                ids, sizes = encode(chosen)
-                self.parts.update(zip(chosen, place[own].tolist(), strict=True))
+                place[new[own]] = len(self.parts) + np.arange(len(own))
+                chosen = some.take(pa.array(own))
+                ids, sizes = encode(chosen.to_pylist())
+                self.parts = pa.concat_arrays([self.parts, chosen])
                 self.held, self.at = np.concatenate([self.held, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         return place
 
@@ -238,19 +237,20 @@ def write_blocks(documents: DataFrame, path: str, key: str, text: str = "text",
     def make(batches):
         coder = _encoder(where)
         part = TaskContext.get().partitionId()
-        blocks, keys, lengths, begins, at, number, placed = [], [], [], [], 0, 0, 0
+        blocks, keys, lengths, begins, at, number, placed, waiting = [], [], [], [], 0, 0, 0, 0
         own, own_keys, own_lengths, size = [], [], [], 0
 
         def close(begin=None):
-            nonlocal own, own_keys, own_lengths, size
+            nonlocal own, own_keys, own_lengths, size, waiting
             begins.append(begin)
             blocks.append(np.frombuffer(b"".join(own), "<u4"))
             keys.append(own_keys)
             lengths.append(own_lengths)
+            waiting += size
             own, own_keys, own_lengths, size = [], [], [], 0
 
         def flush():
-            nonlocal at, number, blocks, keys, lengths, begins
+            nonlocal at, number, blocks, keys, lengths, begins, waiting
             sizes = [len(b) for b in blocks]
             before = (at + np.cumsum([0] + sizes))[:-1]
             batch = pa.RecordBatch.from_arrays(
@@ -258,7 +258,7 @@ def write_blocks(documents: DataFrame, path: str, key: str, text: str = "text",
                  pa.array(begins, pa.int64()), pa.array(keys, pa.list_(kind)), pa.array(lengths, pa.list_(pa.int32())), pa.array(encode(blocks), pa.binary())], names=schema.names
             )
             at, number = at + sum(sizes), number + len(blocks)
-            blocks, keys, lengths, begins = [], [], [], []
+            blocks, keys, lengths, begins, waiting = [], [], [], [], 0
             return batch
 
         for names, texts in _by_load(batches, "k", "t"):
@@ -275,7 +275,7 @@ def write_blocks(documents: DataFrame, path: str, key: str, text: str = "text",
                     size += own_lengths[-1]
                     if n > BLOCK_IDS:
                         close(placed)
-                    if len(blocks) >= LANES:
+                    if waiting >= GROUP_IDS:
                         yield flush()
                 placed += n
         if size:
@@ -298,24 +298,30 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     def restore(batches):
         for batch in batches:
-            kind = batch.schema.field("keys").type.value_type
-            for i in range(0, len(batch), LANES):
-                some = batch.slice(i, LANES)
-                blocks = decode(some.column("code").to_pylist())
-                part, before, begin, keys, ids = [], [], [], [], []
-                columns = (some.column(c).to_pylist() for c in ("part", "before", "begin", "keys", "lengths"))
-                for p, b, g, ks, ls, block in zip(*columns, blocks, strict=True):
-                    at = 0
-                    for k, n in zip(ks, ls, strict=True):
-                        part.append(p)
-                        before.append(b + at)
-                        begin.append(g)
-                        keys.append(k)
-                        ids.append(block[at : at + n].astype("<u4").tobytes())
-                        at += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int32()), pa.array(before, pa.int64()), pa.array(begin, pa.int64()), pa.array(keys, kind), pa.array(ids, pa.binary())], names=schema.names
-                )
+            counts, lengths = pc.list_value_length(batch.column("lengths")).to_numpy(), batch.column("lengths").flatten().to_numpy()
+            sizes = np.diff(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])])
+            load = np.cumsum(sizes) // GROUP_IDS
+            bounds = [0, *(np.flatnonzero(np.diff(load)) + 1).tolist(), len(batch)]
+            for i, j in zip(bounds, bounds[1:]):
+                yield from restored(batch.slice(i, j - i), counts[i:j])
+
+    def restored(some, counts):
+        ids = np.concatenate([np.zeros(0, np.uint32), *decode(some.column("code").to_pylist())]).astype("<u4", copy=False)
+        lengths = some.column("lengths").flatten().to_numpy()
+        ends = np.cumsum(lengths, dtype=np.int64)
+        if len(ends) and ends[-1] != len(ids):
+            raise ValueError("the lengths of documents are not those of their blocks")
+        block = np.repeat(np.arange(len(some)), counts)
+        # Where a document begins in its block.
+        inside = ends - lengths
+        inside = inside - inside[(np.cumsum(counts) - counts)[block]]
+        offsets = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32))
+        before = some.column("before").to_numpy()[block] + inside
+        texts = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(ids)])
+        taken = [some.column(c).take(pa.array(block)) for c in ("part", "begin")]
+        out = pa.RecordBatch.from_arrays([taken[0], pa.array(before, pa.int64()), taken[1], some.column("keys").flatten(), texts], names=schema.names)
+        for i in range(0, len(out), BATCH_ROWS):
+            yield out.slice(i, BATCH_ROWS)
 
     short = rows.filter("begin is null").mapInArrow(restore, schema).select("part", "before", "key", "ids")
     # Each block is restored once; only the pieces of long documents meet by a shuffle.
