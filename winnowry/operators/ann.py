@@ -16,18 +16,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed_values as fv
 from ..session import materialize
 from .knn import (
-    BLOCK_ROWS, CHUNK_ROWS, Best, _squares, chunks_of, id_dtype, knn_join_cells, likely_pairs, pack, pair_distances, search_blocks, slots_of, vector_dtype,
+    BLOCK_ROWS, CHUNK_ROWS, Asked, Axes, Best, _squares, chunks_of, id_dtype, knn_join_cells, leaves_of, likely_pairs, pack, pair_distances, search_blocks,
+    slots_of, vector_dtype, with_squares,
 )
 from .ordering import hash_key
 
 SAMPLE_ROWS, ROUNDS = 20_000, 12
 MOST_LISTS, MOST_PARTS, WORDS = 1024, 16, 256
 PROBE_SHARE, RERANK = 0.25, 20
+# So many offers of a query may lie beside those that are kept.
+WAITING = 24
 # A chunk of queries keeps at most so many rows between its blocks.
 CHUNK_CELLS = 1 << 20
 
@@ -42,6 +46,10 @@ class Codebooks:
     def bounds(self) -> np.ndarray:
         return np.cumsum([0] + [w.shape[1] for w in self.words])
 
+    def rest(self, codes: np.ndarray) -> np.ndarray:
+        """What rows of these codes differ by from the centers of their lists."""
+        return np.concatenate([w[codes[:, i]] for i, w in enumerate(self.words)], 1)
+
 
 def _means(rows: np.ndarray, n: int, rng) -> np.ndarray:
     """Centers of n groups; a group that runs empty keeps its center."""
@@ -102,38 +110,47 @@ def search(
     query_type, id_type = known.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
     if not sizes:
         return index.sparkSession.createDataFrame([], f"query_id {query_type}, neighbor_rank int, id {id_type}, distance double")
-    dtype = vector_dtype(known, index)
+    dtype, axes = vector_dtype(known, index), Axes(books.centers)
+
+    def seen(t: pa.Table, _) -> np.ndarray:
+        """A row lies where its code says."""
+        codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return axes.seen(books.centers[t["list"][0].as_py()] + books.rest(codes))
 
     class Chunk:
         names = ["seems", "distance"]
 
         def __init__(self, q, n, ids):
             self.q = np.frombuffer(q, dtype).reshape(n, -1).copy()
-            self.visits = np.zeros((n, len(books.centers)), dtype=bool)
+            self.visits = np.zeros((len(books.centers), n), dtype=bool)
             for start in range(0, n, 1024):
-                near = np.argsort(_squares(self.q[start : start + 1024].astype(float), books.centers), axis=1, kind="stable")[:, :probes]
-                np.put_along_axis(self.visits[start : start + 1024], near, True, axis=1)
-            self.id_type, self.best = ids.type, Best(n, rerank, id_dtype(ids))
+                far = _squares(self.q[start : start + 1024].astype(float), books.centers)
+                near = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                np.put_along_axis(self.visits[:, start : start + 1024], near.T, True, axis=0)
+            self.asked = Asked(axes.seen(self.q.astype(float)).astype(dtype))
+            self.id_type, self.best = ids.type, Best(n, rerank, id_dtype(ids), WAITING)
 
         def look(self, row):
-            own, ids = row["list"].as_py(), row["ids"].values.to_numpy(zero_copy_only=False)
-            asked = np.flatnonzero(self.visits[:, own])
-            if not len(asked):
+            own, ids = row["list"].as_py(), row["ids"].values
+            meet = np.flatnonzero(self.visits[own])
+            if not len(meet):
                 return
             codes = np.frombuffer(row["code"].as_py(), np.uint8).reshape(len(ids), -1)
             vectors = np.frombuffer(row["vectors"].as_py(), dtype).reshape(len(ids), -1)
-            coded = np.concatenate([w[codes[:, i]] for i, w in enumerate(books.words)], 1).astype(np.float32)
-            rest = (self.q[asked] - books.centers[own]).astype(np.float32)
-            for rows, places, seems in likely_pairs(rest, coded, self.best.limit()[asked], rerank, exact=False):
-                # What seems near is measured at once, while its vector is at hand.
-                self.best.offer(asked[rows], seems, ids[places], pair_distances(self.q, vectors, asked[rows], places))
+            coded, center = books.rest(codes).astype(np.float32), books.centers[own].astype(dtype)
+            for some, asked in leaves_of(row, len(ids), self.asked, meet, self.best.limit):
+                left = with_squares((self.q[asked] - center).astype(np.float32, copy=False))
+                for rows, places, seems in likely_pairs(None, coded[some], self.best.limit()[asked], rerank, exact=False, left=left):
+                    # What seems near is measured at once, while its vector is at hand.
+                    d = pair_distances(self.q, vectors[some], asked[rows], places)
+                    self.best.offer(asked[rows], seems, ids.take(pa.array(places + some.start)).to_numpy(zero_copy_only=False), d)
 
         def rows(self):
             row, seems, ids, d = self.best.rows()
             return row, ids, seems, d
 
     slot, n_blocks = slots_of("list", sizes, "id", block)
-    blocks = pack(index, slot, "id", "embedding", dtype, {"list": "int", "code": "binary"}, rerank)
+    blocks = pack(index, slot, "id", "embedding", dtype, {"list": "int", "code": "binary"}, rerank, seen)
     chunks, n_chunks = chunks_of(known, dtype, max(256, min(CHUNK_ROWS, CHUNK_CELLS // rerank)))
     seen = search_blocks(chunks, n_chunks, blocks, n_blocks, Chunk, f"query_id {query_type}, id {id_type}, seems double, distance double")
     first = Window.partitionBy("query_id").orderBy("seems", "id")
