@@ -138,9 +138,13 @@ def search(
             codes = np.frombuffer(row["code"].as_py(), np.uint8).reshape(len(ids), -1)
             vectors = np.frombuffer(row["vectors"].as_py(), dtype).reshape(len(ids), -1)
             coded, center = books.rest(codes).astype(np.float32), books.centers[own].astype(dtype)
+            left = None
             for some, asked in leaves_of(row, len(ids), self.asked, meet, self.best.limit):
-                left = with_squares((self.q[asked] - center).astype(np.float32, copy=False))
-                for rows, places, seems in likely_pairs(None, coded[some], self.best.limit()[asked], rerank, exact=False, left=left):
+                if left is None:
+                    left = with_squares((self.q[meet] - center).astype(np.float32, copy=False))
+                at = np.searchsorted(meet, asked)
+                some_left = [x.take(at, axis=0) for x in left]
+                for rows, places, seems in likely_pairs(None, coded[some], self.best.limit()[asked], rerank, exact=False, left=some_left):
                     # What seems near is measured at once, while its vector is at hand.
                     d = pair_distances(self.q, vectors[some], asked[rows], places)
                     self.best.offer(asked[rows], seems, ids.take(pa.array(places + some.start)).to_numpy(zero_copy_only=False), d)
